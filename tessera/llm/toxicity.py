@@ -2,7 +2,7 @@
 
 A document is toxic if at least one of its sentences is: its probability is
 the noisy-or of its sentences' probabilities. The sentence model (logistic,
-on words) is trained from document labels through that noisy-or, and then
+on words and parts of words) is trained from document labels through that noisy-or, and then
 tells which sentences offend. The fit runs in one task on a bounded sample;
 scoring is one pass over whole texts without a shuffle.
 """
@@ -22,7 +22,9 @@ from .common import held_out, joined, record, sample_by_class, session, slices,
 
 #: Training documents of each label, at most about; the fit's only bound.
 PER_LABEL = 3000
-VOCABULARY = 40_000
+VOCABULARY = 60_000
+#: Besides whole words, runs of so many bytes within words are features.
+GRAM = 6
 THRESHOLD = 0.3
 SENTENCE_THRESHOLD = 0.3
 
@@ -41,9 +43,10 @@ _stop[list(b".!?\n")] = True
 def sentences(data: np.ndarray, bounds: np.ndarray):
     """Words and sentences of documents joined in one buffer.
 
-    Returns the words' hashes, the number of each word's sentence, and for
-    every sentence its document and its bytes [start, end). Sentences end
-    after . ! ? or a line end, and at a document's end.
+    Returns the hashes of the features (words, and GRAM bytes within longer
+    words), the number of each one's sentence, and for every sentence its
+    document and its bytes [start, end). Sentences end after . ! ? or a line
+    end, and at a document's end.
     """
     data = _lower[data]
     n = len(data)
@@ -56,8 +59,14 @@ def sentences(data: np.ndarray, bounds: np.ndarray):
     stop[edge - 1] = ~gap[edge - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     cut = np.unique(np.concatenate([bounds, np.flatnonzero(_stop[data]) + 1]))
-    hashes = K.word_hashes(data, starts, ends)
-    of = np.searchsorted(cut, starts, side="right") - 1
+    pre = K.prefix(K.BYTE_VALUE[data])
+    filled = np.zeros(n + 1, np.int32)
+    np.cumsum(gap, out=filled[1:])
+    inner = np.flatnonzero(filled[GRAM:] == filled[:-GRAM]) if n > GRAM else np.empty(0, np.int64)
+    crossing = np.searchsorted(bounds, inner, side="right") != np.searchsorted(bounds, inner + GRAM - 1, side="right")
+    inner = inner[~crossing]
+    hashes = np.concatenate([K.span_hash(pre, starts, ends), K.span_hash(pre, inner, inner + GRAM) ^ np.uint64(1)])
+    of = np.searchsorted(cut, np.concatenate([starts, inner]), side="right") - 1
     doc = np.searchsorted(bounds, cut[:-1], side="right") - 1
     return hashes, of, doc, cut[:-1], cut[1:]
 
@@ -71,9 +80,13 @@ class ToxicityModel:
     def sentence_logits(self, hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         if not len(self.vocabulary):
             return np.full(n, self.bias)
+        maybe = np.zeros(1 << 20, bool)
+        maybe[self.vocabulary >> np.uint64(44)] = True
+        some = np.flatnonzero(maybe[hashes >> np.uint64(44)])
+        hashes = hashes[some]
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         w = np.where(self.vocabulary[at] == hashes, self.weights[at], 0.0)
-        return np.bincount(of, weights=w, minlength=n) + self.bias
+        return np.bincount(of[some], weights=w, minlength=n) + self.bias
 
 
 def noisy_or(logits: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -81,11 +94,11 @@ def noisy_or(logits: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return -np.expm1(-np.bincount(doc, weights=np.logaddexp(0, logits), minlength=n_docs))
 
 
-def fit(hashes, of, doc, labels, vocabulary=VOCABULARY, steps=300, rate=0.3, l1=2e-4) -> ToxicityModel:
+def fit(hashes, of, doc, labels, vocabulary=VOCABULARY, steps=300, rate=0.3, l1=5e-4) -> ToxicityModel:
     """Maximum likelihood of the document labels under the noisy-or, by Adam.
 
     hashes, of, doc: as from sentences(), over all training documents. The
-    vocabulary has the words that occur in most documents, at least three.
+    vocabulary has the features that occur in most documents, at least three.
     """
     n_docs, n_sent = len(labels), len(doc)
     word, inverse = np.unique(hashes, return_inverse=True)
