@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -97,3 +98,15 @@ def sample_by_class(rows: DataFrame, label: str, key: str, per_class: int) -> Da
         share = min(unit, int(unit * per_class / n))
         keep = keep | ((F.col(label) == F.lit(name)) & (F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(unit)) < share))
     return rows.filter(keep)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the checkpoint folder, so that nothing before it is needed again.
+
+    The shuffle files behind it are then garbage; asking for a collection
+    lets Spark remove them now and not when memory happens to run short.
+    """
+    kept = df.checkpoint()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return kept
