@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .jaccard_join import op6_jaccard_join
 from .language import op10_language_id
 from .packing import op7_packing
 from .quality import op1_quality_rules
+from .substring_dedup import op4_substring_dedup
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_packing": op7_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
