@@ -4,8 +4,9 @@ DataFrame functions only. Rows whose digest occurs once have no copy, so only
 rows with a repeated digest carry their text on. Those are combined three
 times, each time by digest and full content: within a task (the partial
 aggregate), within a salt, and over the at most `salts` winners of a group.
-The answer goes back to the rows by (digest, content, salt), so that even a
-group with a third of all rows is spread over `salts` tasks.
+The answer goes back to the rows by (digest, content, salt). Digests that
+hold over a thousandth of all rows (fewer than a thousand can) are salted in
+the joins too, so even a group with a third of all rows is spread out.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import session, table
 
 SALTS = 64
+#: A digest with more than one in so many rows is hot; there are fewer hot ones than this.
+HOT_SHARE = 1000
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
@@ -28,15 +31,23 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sal
     """
     session(docs)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("content"))
-    rows = rows.select("doc_id", "content", F.sha2("content", 256).alias("text_sha256"))
-    repeated = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("text_sha256")
+    rows = rows.withColumn("digest", F.xxhash64("content"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
 
-    alone = rows.select("doc_id", "text_sha256").join(repeated, "text_sha256", "left_anti").select(
+    repeated = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").checkpoint()
+    copied = repeated.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in repeated.filter(F.col("n") * HOT_SHARE > copied).select("digest").collect()]
+    spread = F.when(F.col("digest").isin(hot), salt).otherwise(0) if hot else F.lit(0)
+    targets = F.when(F.col("digest").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+    repeated = repeated.select("digest", F.explode(targets).alias("spread"))
+
+    alone = rows.select("doc_id", "digest", spread.alias("spread"), F.sha2("content", 256).alias("text_sha256"))
+    alone = alone.join(repeated, ["digest", "spread"], "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256"
     )
 
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
-    copies = rows.join(repeated, "text_sha256", "left_semi").select("doc_id", "text_sha256", "content", salt).checkpoint()
+    copies = rows.withColumn("spread", spread).join(repeated, ["digest", "spread"], "left_semi")
+    copies = copies.select("doc_id", F.sha2("content", 256).alias("text_sha256"), "content", salt.alias("salt")).checkpoint()
     by_salt = copies.groupBy("text_sha256", "content", "salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy("text_sha256", "content")
     winners = by_salt.select(
