@@ -24,8 +24,8 @@ from .common import record, session, slices, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Matches and chunks whose ids a worker remembers, each; longer ones are never kept.
-CACHED, CACHED_CHARS = 250_000, 64
+#: Matches and chunks whose ids a worker remembers (and as many again); longer ones are never kept.
+CACHED_MATCHES, CACHED_CHUNKS, CACHED_CHARS = 450_000, 200_000, 64
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = 1 << 62
@@ -85,15 +85,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Bounded(dict):
-    """Remembers short keys, up to CACHED of them, then starts anew."""
+    """Remembers short keys: the last `limit` or more that were used, up to twice as many."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, limit):
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.make(key)
         if len(key) <= CACHED_CHARS:
-            if len(self) >= CACHED:
+            if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -108,9 +111,9 @@ class ByteBPE:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         #: ids as decimal text, which is what the digests are made of
-        self.match_text = _Bounded(lambda m: " ".join(map(str, merge(m.encode(), self.ranks))))
-        self.chunk_text = _Bounded(self._chunk)
-        self.decoded = _Bounded(lambda ids: b"".join([self.tokens[int(i)] for i in ids.split(" ")]) if ids else b"")
+        self.match_text = _Bounded(lambda m: " ".join(map(str, merge(m.encode(), self.ranks))), CACHED_MATCHES)
+        self.chunk_text = _Bounded(self._chunk, CACHED_CHUNKS)
+        self.decoded = _Bounded(lambda ids: b"".join([self.tokens[int(i)] for i in ids.split(" ")]) if ids else b"", CACHED_CHUNKS)
 
     def encode(self, text: str) -> list[int]:
         return [i for m in self.find(text) for i in merge(m.encode(), self.ranks)]
