@@ -31,8 +31,8 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 #: Ranks are counted in groups of about this many pieces.
 RANK_ROWS = 100_000
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker remembers (and as many again that it met before).
+CACHED_WORDS = 700_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -50,11 +50,16 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.old: dict[bytes, bytes] = {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self) > CACHED_WORDS:
+            self.old = dict(self)
             self.clear()
-        new = list(set().union(*texts).difference(self))
+        new = set().union(*texts).difference(self)
+        for word in new.intersection(self.old):
+            self[word] = self.old[word]
+        new = list(new.difference(self.old))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for word, x in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
