@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,13 +102,38 @@ def sample_by_class(rows: DataFrame, label: str, key: str, per_class: int) -> Da
     return rows.filter(keep)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
     """Writes df to the checkpoint folder, so that nothing before it is needed again.
 
-    The shuffle files behind it are then garbage; asking for a collection
-    lets Spark remove them now and not when memory happens to run short.
+    The shuffle files behind it are then garbage once df itself is (give it
+    as an expression, not by a name that lives on). release asks for the
+    collections that let Spark remove them now, and not when memory happens
+    to run short; worth a second where gigabytes were shuffled.
     """
-    kept = df.checkpoint()
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark, kept = df.sparkSession, df.checkpoint()
+    del df
+    for _ in range(2 if release else 0):
+        gc.collect()  # lets go of the plan on Python's side, which the next call tells the JVM
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
     return kept
+
+
+class Written:
+    """df as a Parquet table in the checkpoint folder, compressed, until drop()."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, schema = df.sparkSession, df.schema
+        self.path = f"{session(df).sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.path)
+        del df
+        self.df = self.spark.read.schema(schema).parquet(self.path)
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
+
+    def drop(self) -> None:
+        """Only once nothing that is still to be computed reads the table."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

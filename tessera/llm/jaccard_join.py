@@ -193,7 +193,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     counted = cut(shingle_counts(rows))
     signed = set_signatures(rows, percent)
     shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
-    members = cut(signed.join(shared, "sig", "left_semi").distinct())
+    members = cut(signed.join(shared, "sig", "left_semi").distinct(), release=True)
     centres = members.groupBy("sig").agg(F.min("whole").alias("centre"))
     edges = members.join(centres, "sig").filter("whole <> centre").select(F.col("whole").alias("a"), F.col("centre").alias("b"))
     clusters = components(edges)
@@ -202,7 +202,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     first = counted.filter("n_shingles > 0").groupBy("whole").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(clusters.select(F.col("node").alias("whole"), F.col("component").alias("cluster")), "whole")
     wanted = wanted.join(rows, "doc_id").select("whole", "cluster", "text")
-    links = cut(verified_links(cut(_sets(wanted)), percent))
+    links = cut(verified_links(cut(_sets(wanted), release=True), percent))
     linked = components(links).select(F.col("node").alias("whole"), F.col("component").alias("joined"))
 
     # a component's least doc_id, by way of each set's least doc_id

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut, joined, record, slices
+from .common import Written, cut, joined, record, slices
 
 #: Where the windows off .. off + len - 1 of a content start first: document and token position of the window at off.
 RUNS = "array<struct<off:int,len:int,doc:long,pos:long>>"
@@ -115,8 +115,10 @@ def removed_spans(rows: DataFrame, w: Windows, search: Search, strict: bool) ->
     returns for every window the document and place where it starts first.
     """
     rows = rows.filter("doc_id IS NOT NULL")
-    repeated = _segments(rows, w, False).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    hits = cut(_segments(rows, w, True).join(repeated, "h", "left_semi"))
+    # cut here, so that the join below has nothing but an exchange on either side and a hot key can be split
+    repeated = cut(_segments(rows, w, False).groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), release=True)
+    kept = Written(_segments(rows, w, True).join(repeated, "h", "left_semi"))
+    hits = kept.df
     firsts = hits.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.first("n").alias("n"))
     firsts = firsts.select("h", "g", "f.doc_id", "f.start", "n")
     tokens = firsts.agg(F.sum(F.col("n") + w.width)).first()[0] or 0
@@ -135,7 +137,10 @@ def removed_spans(rows: DataFrame, w: Windows, search: Search, strict: bool) ->
         earlier = earlier | ((F.col("r.doc") == F.col("doc_id")) & (F.col("r.pos") < F.col("start") + F.col("r.off")))
     lo = F.col("start") + F.col("r.off")
     gone = verdict.filter(earlier).select("doc_id", F.struct(lo.alias("lo"), (lo + F.col("r.len") + (w.width - 1)).alias("hi")).alias("span"))
-    return gone.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    # cut, so that the contents' shuffles are gone before the texts are joined
+    spans = cut(gone.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), release=True)
+    kept.drop()
+    return spans
 
 
 def covered(spans: pa.Array, bounds: np.ndarray) -> np.ndarray:
