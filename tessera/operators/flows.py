@@ -150,6 +150,31 @@ def early_drop(packets: DataFrame, low: float, high: float, most: float, weight:
     return _by_flow(packets, "flow", ["time", "event_id"], start, "event_id long, flow long, average double, dropped boolean")
 
 
+def lru_lookup(packets: DataFrame, buckets: int, size: int) -> DataFrame:
+    """event_id, flow, hit: an exact table whose buckets hold `size` keys and evict the least recently used.
+
+    A key that misses is entered. Keys are dealt to buckets by their number,
+    and each bucket sees its packets in order of event_id.
+    """
+
+    def start():
+        held: dict = {}
+
+        def step(first, row):
+            if first:
+                held.clear()
+            hit = held.pop(row.flow, False)
+            held[row.flow] = True  # the newest stands last
+            if len(held) > size:
+                del held[next(iter(held))]
+            return [(row.event_id, row.flow, hit)]
+
+        return step
+
+    dealt = packets.withColumn("bucket", F.pmod(F.col("flow"), F.lit(buckets)))
+    return _by_flow(dealt, "bucket", ["event_id"], start, "event_id long, flow long, hit boolean")
+
+
 def reorder(packets: DataFrame, size: int) -> DataFrame:
     """event_id, flow, seq, outcome of packets (event_id, flow, seq) in order of arrival (event_id).
 

@@ -131,7 +131,7 @@ def bfs_parents(spark, sf_dir):
     return A.bfs_tree(bought(spark, sf_dir), SOURCE).select("id", "parent")
 
 
-@query("SELECT * FROM (VALUES ('root', 0), ('levels', 0), ('reached', 0), ('parent level', 0), ('parent edge', 0)) AS t(\"check\", violations)")
+@query("SELECT \"check\", CAST(violations AS BIGINT) AS violations FROM (VALUES ('root', 0), ('levels', 0), ('reached', 0), ('parent level', 0), ('parent edge', 0)) AS t(\"check\", violations)")
 def bfs_valid(spark, sf_dir):
     g = bought(spark, sf_dir)
     return A.bfs_violations(g, A.bfs_tree(g, SOURCE), SOURCE)
@@ -228,12 +228,12 @@ def soft_sql(steps: int) -> str:
     return with_(COPURCHASE, SOFT, *parts)
 
 
-@query(soft_sql(2) + " SELECT id, label, round(p, 4) AS p FROM s2")
+@query(soft_sql(2) + " SELECT id, label, round(p + 1e-9, 6) AS p FROM s2")
 def softlabels2(spark, sf_dir):
     g = bought(spark, sf_dir)
     seeds = read(spark, sf_dir, "part").filter("p_size <= 10").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"))
     seeds = seeds.join(g.vertices.select("id"), "id", "left_semi")
-    return A.soft_labels(g, seeds, 2).withColumn("p", F.round("p", 4))
+    return A.soft_labels(g, seeds, 2).withColumn("p", F.round(F.col("p") + 1e-9, 6))
 
 
 @query(with_(COPURCHASE, BOTH) + " SELECT id, min(hop) AS hop FROM (SELECT 0 AS id, 0 AS hop UNION ALL SELECT dst, 1 FROM both_ways WHERE src = 0 UNION ALL SELECT b.dst, 2 FROM both_ways a JOIN both_ways b ON a.dst = b.src WHERE a.src = 0) AS r GROUP BY id")

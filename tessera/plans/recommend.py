@@ -103,7 +103,8 @@ t AS (SELECT item, other, sim, row_number() OVER (PARTITION BY item ORDER BY sim
 
 @query(TOP + " SELECT item, other, round(sim, 6) AS sim, rank FROM t WHERE rank <= 5")
 def sim_topk(spark, sf_dir):
-    return S.top_similar(S.similarity(ratings(spark, sf_dir), "jaccard", COMMON), 5).withColumn("sim", F.round("sim", 6))
+    top = S.top_similar(S.similarity(ratings(spark, sf_dir), "jaccard", COMMON), 5)
+    return top.withColumns({"sim": F.round("sim", 6), "rank": F.col("rank").cast("long")})
 
 
 @query(TOP + """, c AS (SELECT r."user", other AS item, sum(pow(round(sim, 9), 3)) AS score FROM ratings r JOIN b ON b.item = r.item GROUP BY 1, 2),
@@ -117,7 +118,7 @@ def rec_from_sim(spark, sf_dir):
     from pyspark.sql import Window
 
     every = S.recommend_from_similar(r, sims, 1 << 30).drop("rank").withColumn("score", F.round("score", 6))
-    return every.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("score"), "item"))).filter("rank <= 5")
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("score"), "item")).cast("long")).filter("rank <= 5")
 
 
 def _baseline(by, sql_by):

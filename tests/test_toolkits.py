@@ -194,3 +194,32 @@ def test_machine_and_cold_start(spark, planted):
     got = {r.item: r.prediction for r in m.predict(new).collect()}
     assert got[3] == pytest.approx(planted.filter("item = 3").agg(F.avg("rating")).first()[0]) and got[777] == pytest.approx(m.mean)
     assert rows(sparse_rows(spark.createDataFrame([("1 3:0.5 7:2",)], "value string")).selectExpr("label", "features[7]")) == [(1.0, 2.0)]
+
+
+def test_lru_bucket_evicts_the_oldest(spark):
+    p = spark.createDataFrame([(i, f) for i, f in enumerate([1, 2, 1, 3, 2, 1])], "event_id long, flow long")
+    got = {r.event_id: r.hit for r in W.lru_lookup(p, 1, 2).collect()}
+    assert got == {0: False, 1: False, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_vector_functions(spark):
+    from tessera.functions import vectors as V
+
+    df = spark.createDataFrame([([3.0, 1.0, 2.0], [1.0, 0.5, 2.0], {1: 2.0, 5: 1.0}, {5: 4.0})], "a array<double>, b array<double>, m map<long,double>, n map<long,double>")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(V.dot(a, b), V.norm(a), V.abs_sum(V.subtract(a, b)), V.running_sum(a), V.sort_index(a), V.sort_index(a, True), V.head(a, 2), V.tail(a, 2), V.middle(a, 1, 1),
+                    V.remove_at(a, 0), V.sparse_dot(F.col("m"), F.col("n")), V.clamp(F.lit(9.0), 0, 5), V.safe_log(F.lit(0.0)), V.dot3(a, b, b), V.outer(a, b)[0]).first()
+    assert list(got) == [7.5, pytest.approx(14**0.5), 2.5, [3.0, 4.0, 6.0], [1, 2, 0], [0, 2, 1], [3.0, 1.0], [1.0, 2.0], [1.0], [1.0, 2.0], 4.0, 5.0, 0.0, 11.25, [3.0, 1.5, 6.0]]
+
+
+def test_metrics():
+    from tessera.metrics import Metrics
+
+    m = Metrics("run")
+    m.add("n")
+    m.add("n", 2)
+    m.set_entry("v", 2, 5)
+    with m.timed("t"):
+        pass
+    assert m.values["n"] == 3 and m.values["v"] == [0, 0, 5] and m.values["t"]["count"] == 1
+    assert "n = 3" in m.as_text() and "<table>" in m.as_html() and '"n": 3' in m.as_json()
