@@ -112,13 +112,19 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     """
     spark, kept = df.sparkSession, df.checkpoint()
     del df
-    for _ in range(2 if release else 0):
-        gc.collect()  # lets go of the plan on Python's side, which the next call tells the JVM
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    if release:
+        _collect(spark)
     return kept
 
 
+def _collect(spark: SparkSession) -> None:
+    """Python lets go of plans, the JVM of what they held, and Spark removes the files; each tells the next with a delay."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.6)
+
+
 class Written:
     """df as a Parquet table in the checkpoint folder, compressed, until drop()."""
 
@@ -128,10 +134,7 @@ class Written:
         df.write.option("compression", "zstd").parquet(self.path)
         del df
         self.df = self.spark.read.schema(schema).parquet(self.path)
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.4)
+        _collect(self.spark)
 
     def drop(self) -> None:
         """Only once nothing that is still to be computed reads the table."""
