@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * np.tanh(x / 2)
+
+
 @dataclass
 class Model:
     """gather(own, other, rows) -> statistics for each rating; apply(own, total, n) -> new factor.
@@ -242,18 +246,29 @@ class TimeGradient(BiasedGradient):
         return np.hstack([other[:, : self.size], self._bin(rows), np.ones((len(other), 1))])
 
 
-class RankGradient(Gradient):
-    """Smoothed reciprocal rank of relevant items (rating over a threshold): pushes their scores up and apart."""
+class RankGradient(Model):
+    """CLiMF: ascends the smoothed reciprocal rank of a user's relevant items (rating at or over a threshold).
+
+    The objective of a user is the sum over relevant j of ln g(f_j) + sum over relevant k of ln g(f_j - f_k), with
+    f = p.q and g logistic, less regularization / 2 of the squared factors. Its slope is c_j q_j for p and c_j p for
+    q_j, with c_j = g(-f_j) - sum over k of tanh((f_j - f_k) / 2). (The reference leaves out p in the first term of
+    q's slope; here it is the objective's own.) Each side divides its slope by a bound of the curvature, so no step
+    lowers the objective. Items that aren't relevant and users with fewer than 2 relevant items are not trained on;
+    their factors stay as they began. Trained by fit_rank.
+    """
 
     threshold = 25.0
 
     def predict(self, user, item, rows, mean):
-        return np.einsum("ij,ij->i", user, item)
+        """The predicted reciprocal rank, in 0..1."""
+        return _logistic(np.einsum("ij,ij->i", user, item))
 
-    def error(self, own, other, rows, mean, side):
-        relevant = rows["rating"].to_numpy(float) > self.threshold
-        z = np.einsum("ij,ij->i", own, other)
-        return np.where(relevant, 1 / (1 + np.exp(z)), -0.1 / (1 + np.exp(-z)))
+    def gather(self, own, other, rows, mean, side):
+        bound = (0.25 + rows["relevant"].to_numpy(float) / 2) * np.einsum("ij,ij->i", other, other)
+        return np.hstack([other * rows["slope"].to_numpy(float)[:, None], bound[:, None]])
+
+    def apply(self, own, total, n, side):
+        return own + (total[:-1] - self.regularization * own) / (total[-1] + self.regularization)
 
 
 class SampledFactors(LeastSquares):
@@ -373,6 +388,70 @@ def fit(ratings: DataFrame, model: Model, iterations: int = 4) -> Fitted:
     return Fitted(model, users, items, mean)
 
 
+#: Relevant items in one part of a user, about; a user with n of them costs (n / PART)^2 rows.
+PART = 256
+
+
+def _rank_terms(relevant: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """user, item, relevant, slope, gain of relevant (user, item, relevant): c_j and the objective's terms of j.
+
+    A user's items are dealt in parts of about PART, and each pair of parts is one row, so no task holds all pairs of a
+    user.
+    """
+    score = F.aggregate(F.zip_with("f", "g", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rows = relevant.join(users.withColumnRenamed("id", "user"), "user").join(items.select(F.col("id").alias("item"), F.col("f").alias("g")), "item")
+    rows = rows.select("user", "item", "relevant", score.alias("score"), F.ceil(F.col("relevant") / PART).alias("parts"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")))
+    blocks = cut(rows.groupBy("user", "part").agg(F.first("relevant").alias("relevant"), F.first("parts").alias("parts"), F.collect_list(F.struct("item", "score")).alias("j")))
+    left = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").withColumn("first", F.col("part") == 0)
+    pairs = left.join(blocks.select("user", "part", F.col("j.score").alias("k")), ["user", "part"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                f = np.array([x["score"] for x in row.j])
+                apart = f[:, None] - np.asarray(row.k)[None]
+                slope, gain = -np.tanh(apart / 2).sum(axis=1), -np.logaddexp(0, -apart).sum(axis=1)
+                if row.first:
+                    slope, gain = slope + _logistic(-f), gain - np.logaddexp(0, -f)
+                yield pd.DataFrame({"user": row.user, "item": [x["item"] for x in row.j], "relevant": row.relevant, "slope": slope, "gain": gain})
+
+    terms = pairs.select("user", "relevant", "j", "k", "first").mapInPandas(run, "user long, item long, relevant long, slope double, gain double")
+    return terms.groupBy("user", "item").agg(F.first("relevant").alias("relevant"), F.sum("slope").alias("slope"), F.sum("gain").alias("gain"))
+
+
+def rank_rows(ratings: DataFrame, threshold: float) -> DataFrame:
+    """user, item, relevant: each relevant pair once, of users with 2 at least, and the user's number of them."""
+    pairs = ratings.filter(F.col("rating") >= threshold).select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item")).distinct()
+    return pairs.join(pairs.groupBy("user").agg(F.count(F.lit(1)).alias("relevant")).filter("relevant > 1"), "user")
+
+
+def rank_objective(fitted: Fitted, relevant: DataFrame) -> float:
+    """The smoothed reciprocal rank that RankGradient ascends, over trained users and all items."""
+    square = F.aggregate("f", F.lit(0.0), lambda s, x: s + x * x)
+    trained = fitted.users.join(relevant.select(F.col("user").alias("id")).distinct(), "id", "left_semi")
+    squares = trained.union(fitted.items).agg(F.sum(square)).first()[0] or 0.0
+    return (_rank_terms(relevant, fitted.users, fitted.items).agg(F.sum("gain")).first()[0] or 0.0) - fitted.model.regularization / 2 * squares
+
+
+def fit_rank(ratings: DataFrame, model: RankGradient, iterations: int = 4) -> tuple[Fitted, DataFrame]:
+    """The model fitted to ratings (user, item, rating), and the relevant rows it was trained on."""
+    ratings = cut(ratings)
+    relevant = cut(rank_rows(ratings, model.threshold))
+    users = cut(_start(ratings.select(F.col("user").alias("id")).distinct(), model, 0))
+    items = cut(_start(ratings.select(F.col("item").alias("id")).distinct(), model, 1))
+
+    def stepped(own: DataFrame, other: DataFrame, names: dict[str, str], side: int) -> DataFrame:
+        pair = (own, other) if side == 0 else (other, own)
+        new = _side_step(_rank_terms(relevant, *pair).withColumnsRenamed(names), own, other, model, 0.0, side)
+        return cut(own.join(new.select("id", F.col("f").alias("new")), "id", "left").select("id", F.coalesce("new", "f").alias("f")))
+
+    for _ in range(iterations):
+        users = stepped(users, items, {"user": "own", "item": "other"}, 0)
+        items = stepped(items, users, {"item": "own", "user": "other"}, 1)
+    return Fitted(model, users, items, 0.0), relevant
+
+
 def top_items(fitted: Fitted, ratings: DataFrame, k: int) -> DataFrame:
     """user, item, score, rank: the k best items that a user hasn't rated, by p.q.
 

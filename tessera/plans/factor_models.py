@@ -49,12 +49,20 @@ QUERIES |= {
     "bias_sgd2": _losses(M.LogisticGradient),
     "svdpp": _losses(M.ImplicitGradient),
     "time_svdpp": _losses(M.TimeGradient),
-    "climf": _losses(M.RankGradient),
     "rbm": _losses(M.Boltzmann),
     "bpmf": _losses(M.SampledFactors),
 }
 
 
+def climf(spark, sf_dir):
+    """The smoothed reciprocal rank reached, in all and for each user, with the numbers of users and pairs trained on."""
+    fitted, relevant = M.fit_rank(_ratings(spark, sf_dir), M.RankGradient(), 2)
+    reached = M.rank_objective(fitted, relevant)
+    n = relevant.agg(F.countDistinct("user").alias("users"), F.count(F.lit(1)).alias("n"))
+    objective = F.lit(reached)
+    return n.select(F.round(objective, 4).alias("objective"), F.round(objective / F.nullif("users", F.lit(0)), 4).alias("for_each_user"), "users", "n")
+
+
 def als_topn(spark, sf_dir):
     r = ratings(spark, sf_dir)
     return M.top_items(M.fit(r, M.LeastSquares(), 2), r, 5).withColumn("score", F.round("score", 4))
@@ -75,6 +83,7 @@ def _machine(make):
 
 
 QUERIES |= {
+    "climf": climf,
     "als_topn": als_topn,
     "svd": svd,
     "fm": _machine(lambda: Machine(["user", "item", "time"], [], steps=5)),

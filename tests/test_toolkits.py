@@ -223,3 +223,35 @@ def test_metrics():
         pass
     assert m.values["n"] == 3 and m.values["v"] == [0, 0, 5] and m.values["t"]["count"] == 1
     assert "n = 3" in m.as_text() and "<table>" in m.as_html() and '"n": 3' in m.as_json()
+
+
+def test_rank_model_ascends_the_pairwise_objective(spark, planted, monkeypatch):
+    model = M.RankGradient(size=3)
+    model.threshold = 9.0
+    few = planted.filter("user <> 1").union(planted.filter("user = 1").orderBy("item").limit(3).withColumn("rating", F.when(F.col("item") < 0, 20.0).otherwise(1.0)))
+    (start, relevant), (end, _) = M.fit_rank(few, model, 0), M.fit_rank(few, model, 2)
+    p = few.toPandas().query("rating >= 9")
+    want = p.groupby("user").filter(lambda x: len(x) > 1)
+    assert rows(relevant.select("user", "item")) == sorted(zip(want.user, want.item)) and M.rank_objective(end, relevant) > M.rank_objective(start, relevant)
+    u, v = ({r.id: np.array(r.f) for r in side.collect()} for side in (start.users, start.items))
+    assert dict((r.id, r.f) for r in end.users.collect())[1] == u[1].tolist()
+
+    def objective(u, v):
+        total = 0.0
+        for user, of in want.groupby("user"):
+            f = np.array([u[user] @ v[i] for i in of.item])
+            total += -np.logaddexp(0, -f).sum() - np.logaddexp(0, f[None] - f[:, None]).sum() - model.regularization / 2 * u[user] @ u[user]
+        return total - model.regularization / 2 * sum(x @ x for x in v.values())
+
+    assert M.rank_objective(start, relevant) == pytest.approx(objective(u, v))
+    whole = {(r.user, r.item): r.slope for r in M._rank_terms(relevant, start.users, start.items).collect()}
+    monkeypatch.setattr(M, "PART", 4)
+    parts = {(r.user, r.item): r.slope for r in M._rank_terms(relevant, start.users, start.items).collect()}
+    assert parts == pytest.approx(whole)
+    user, item = next(iter(whole))
+    for side, key, slope in ((u, user, sum(c * v[i] for (x, i), c in whole.items() if x == user)), (v, item, sum(c * u[x] for (x, i), c in whole.items() if i == item))):
+        for d in range(3):
+            step = 1e-5 * np.eye(3)[d]
+            up, down = ({**side, key: side[key] + s} for s in (step, -step))
+            found = (objective(up, v) - objective(down, v) if side is u else objective(u, up) - objective(u, down)) / 2e-5
+            assert found == pytest.approx(slope[d] - model.regularization * side[key][d], rel=1e-4, abs=1e-6)
