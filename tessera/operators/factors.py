@@ -272,14 +272,33 @@ class RankGradient(Model):
 
 
 class SampledFactors(LeastSquares):
-    """Bayesian factors: drawn from their normal posterior by a seeded generator, for Gibbs sampling."""
+    """Bayesian matrix factorization by Gibbs sampling, from a seeded generator for each sweep, side and id.
 
-    noise = 4.0
+    A sweep draws the noise's precision (Wishart, 1 and 1), each side's mean and precision (normal and Wishart around 0
+    and the identity), then the factors of users and of items. The first burn_in sweeps are discarded; a prediction is
+    the mean of those of all later draws, which a fitted factor holds one after another.
+    """
 
-    def solve(self, a, b, own):
-        rng = np.random.default_rng(abs(int(np.float64(b.sum()).view(np.int64))) % (1 << 32))
-        cover = np.linalg.inv(a)
-        return rng.multivariate_normal(cover @ b, self.noise * (cover + cover.T) / 2, method="eigh")
+    burn_in = 10
+
+    def predict(self, user, item, rows, mean):
+        return np.einsum("ij,ij->i", user, item) / (user.shape[1] // self.size)
+
+    def hyper(self, n: int, total: np.ndarray, square: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+        """A side's mean and precision given the count, sum and sum of outer products of its factors."""
+        d = self.size
+        spread = np.eye(d) + square - np.outer(total, total) / (n + 1)
+        root = np.linalg.cholesky(np.linalg.inv((spread + spread.T) / 2))
+        bartlett = np.tril(rng.standard_normal((d, d)), -1) + np.diag(np.sqrt(rng.chisquare(d + n - np.arange(d))))
+        precision = root @ bartlett @ bartlett.T @ root.T
+        return rng.multivariate_normal(total / (n + 1), np.linalg.inv((n + 1) * precision), method="eigh"), precision
+
+    def draw(self, ids, a, b, alpha: float, mean: np.ndarray, precision: np.ndarray, sweep: int, side: int) -> np.ndarray:
+        """A factor for each id from its posterior, given the sums a of q q' and b of r q."""
+        root = np.linalg.cholesky(precision + alpha * a)
+        z = np.array([np.random.default_rng([self.seed, sweep, side, int(i) % (1 << 64)]).standard_normal(self.size) for i in ids])
+        half = np.linalg.solve(root, (precision @ mean + alpha * b)[..., None])
+        return np.linalg.solve(root.transpose(0, 2, 1), half + z[..., None])[..., 0]
 
 
 class Boltzmann(Model):
@@ -333,8 +352,8 @@ def _start(ids: DataFrame, model: Model, side: int) -> DataFrame:
     return ids.mapInPandas(run, "id long, f array<double>")
 
 
-def _side_step(ratings: DataFrame, own: DataFrame, other: DataFrame, model: Model, mean: float, side: int) -> DataFrame:
-    """New factors (id, f) of one side, from ratings (own, other, rating, ...)."""
+def _parts(ratings: DataFrame, own: DataFrame, other: DataFrame, model: Model, mean: float, side: int) -> DataFrame:
+    """id, s, n: sums of statistics of one side within batches, from ratings (own, other, rating, ...)."""
     rows = ratings.join(other.select(F.col("id").alias("other"), F.col("f").alias("g")), "other").join(own.withColumnRenamed("id", "own"), "own")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,7 +365,12 @@ def _side_step(ratings: DataFrame, own: DataFrame, other: DataFrame, model: Mode
                 np.add.at(total, at, s)
                 yield pd.DataFrame({"id": ids, "s": list(total), "n": np.bincount(at)})
 
-    parts = rows.mapInPandas(gather, "id long, s array<double>, n long").join(own, "id")
+    return rows.mapInPandas(gather, "id long, s array<double>, n long")
+
+
+def _side_step(ratings: DataFrame, own: DataFrame, other: DataFrame, model: Model, mean: float, side: int) -> DataFrame:
+    """New factors (id, f) of one side, from ratings (own, other, rating, ...)."""
+    parts = _parts(ratings, own, other, model, mean, side).join(own, "id")
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
         new = model.apply(np.array(pdf["f"].iloc[0], float), np.stack(pdf["s"]).sum(axis=0), int(pdf["n"].sum()), side)
@@ -376,8 +400,67 @@ class Fitted:
         return rows.mapInPandas(run, schema)
 
 
+def _moments(side: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray, float]:
+    """Count, sum and sum of outer products of a side's factors, and the sum of its e; a row of each task comes to the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(2 + size + size * size)
+        for pdf in batches:
+            if len(pdf):
+                f = np.stack(pdf["f"])
+                total += np.concatenate([[len(f), pdf["e"].sum()], f.sum(axis=0), (f.T @ f).ravel()])
+        yield pd.DataFrame({"s": [total]})
+
+    total = np.sum([r.s for r in side.select("f", "e").mapInPandas(run, "s array<double>").collect()], axis=0)
+    return int(total[0]), total[2 : 2 + size], total[2 + size :].reshape(size, size), float(total[1])
+
+
+def _draw_step(ratings: DataFrame, own: DataFrame, other: DataFrame, model: SampledFactors, alpha: float, prior: tuple, sweep: int, side: int) -> DataFrame:
+    """id, f, kept, e of one side: a draw, those kept so far, and the squared error of its ratings less their squares."""
+    d = model.size
+    parts = _parts(ratings, own.select("id", "f"), other.select("id", "f"), model, 0.0, side)
+    sums = parts.groupBy("id").agg(F.collect_list("s").alias("s")).join(own.select("id", "kept"), "id")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                total = np.array([np.stack(s).sum(axis=0) for s in pdf["s"]])
+                a, b = total[:, : d * d].reshape(-1, d, d), total[:, d * d :]
+                f = model.draw(pdf["id"], a, b, alpha, *prior, sweep, side)
+                kept = [np.concatenate([k, x]) for k, x in zip(pdf["kept"], f)] if sweep >= model.burn_in else pdf["kept"]
+                yield pd.DataFrame({"id": pdf["id"], "f": list(f), "kept": kept, "e": np.einsum("ni,nij,nj->n", f, a, f) - 2 * (f * b).sum(axis=1)})
+
+    return sums.mapInPandas(draw, "id long, f array<double>, kept array<double>, e double")
+
+
+def _sampled(ratings: DataFrame, model: SampledFactors, iterations: int) -> Fitted:
+    """burn_in sweeps, then as many as iterations, whose draws are kept."""
+    ratings = cut(ratings)
+    n, squares, spread = ratings.agg(F.count("rating"), F.sum(F.col("rating").cast("double") * F.col("rating")), F.var_pop("rating")).first()
+    alpha = 1 / (spread or 1.0)
+    users, items = (
+        cut(_start(ratings.select(F.col(key).alias("id")).distinct(), model, side).withColumns({"kept": F.array().cast("array<double>"), "e": F.lit(0.0)}))
+        for side, key in enumerate(("user", "item"))
+    )
+    for sweep in range(model.burn_in + iterations):
+        rng = np.random.default_rng([model.seed, sweep])
+        (*u, _), (*v, e) = _moments(users, model.size), _moments(items, model.size)
+        if sweep:
+            alpha = rng.chisquare(1 + n) / (1 + max(squares + e, 0.0))
+        priors = model.hyper(*u, rng), model.hyper(*v, rng)
+        users = cut(_draw_step(ratings.withColumnsRenamed({"user": "own", "item": "other"}), users, items, model, alpha, priors[0], sweep, 0))
+        items = cut(_draw_step(ratings.withColumnsRenamed({"item": "own", "user": "other"}), items, users, model, alpha, priors[1], sweep, 1))
+    users, items = (x.select("id", F.col("kept" if iterations else "f").alias("f")) for x in (users, items))
+    return Fitted(model, users, items, 0.0)
+
+
 def fit(ratings: DataFrame, model: Model, iterations: int = 4) -> Fitted:
-    """Alternates steps of users and items over ratings (user, item, rating, and weight or time if the model needs them)."""
+    """Alternates steps of users and items over ratings (user, item, rating, and weight or time if the model needs them).
+
+    Of SampledFactors, iterations are those averaged, after the burn-in.
+    """
+    if isinstance(model, SampledFactors):
+        return _sampled(ratings, model, iterations)
     ratings = cut(ratings)
     mean = float(ratings.agg(F.avg("rating")).first()[0] or 0.0)
     users = cut(_start(ratings.select(F.col("user").alias("id")).distinct(), model, 0))

@@ -50,7 +50,7 @@ QUERIES |= {
     "svdpp": _losses(M.ImplicitGradient),
     "time_svdpp": _losses(M.TimeGradient),
     "rbm": _losses(M.Boltzmann),
-    "bpmf": _losses(M.SampledFactors),
+    "bpmf": _losses(M.SampledFactors, 10),
 }
 
 

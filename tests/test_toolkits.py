@@ -255,3 +255,14 @@ def test_rank_model_ascends_the_pairwise_objective(spark, planted, monkeypatch):
             up, down = ({**side, key: side[key] + s} for s in (step, -step))
             found = (objective(up, v) - objective(down, v) if side is u else objective(u, up) - objective(u, down)) / 2e-5
             assert found == pytest.approx(slope[d] - model.regularization * side[key][d], rel=1e-4, abs=1e-6)
+
+
+def test_sampled_factors_discard_and_average(planted):
+    model = M.SampledFactors(size=2)
+    model.burn_in = 2
+    fitted = M.fit(planted, model, 3)
+    assert {len(r.f) for side in (fitted.users, fitted.items) for r in side.collect()} == {3 * 2}
+    assert model.predict(np.array([[1.0, 0, 0, 2]]), np.array([[3.0, 0, 0, 4]]), None, 0.0).tolist() == [(3 + 8) / 2]
+    draws = [model.hyper(4000, np.full(2, 8000.0), 4000 * (np.full((2, 2), 4.0) + np.diag([0.25, 1.0])), np.random.default_rng(i)) for i in range(30)]
+    assert np.mean([m for m, _ in draws], axis=0) == pytest.approx([2, 2], abs=0.02)
+    assert np.mean([p for _, p in draws], axis=0) == pytest.approx(np.diag([4.0, 1.0]), abs=0.1) and np.std([p[0, 0] for _, p in draws]) > 0
