@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import gc
+import operator
 import tempfile
 import time
 import uuid
@@ -95,11 +97,13 @@ def sample_by_class(rows: DataFrame, label: str, key: str, per_class: int) -> Da
     if not sizes:
         return rows.limit(0)
     unit = 1 << 40
-    keep = F.lit(False)
+    chosen = []
     for name, n in sizes.items():
         share = min(unit, int(unit * per_class / n))
-        keep = keep | ((F.col(label) == F.lit(name)) & (F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(unit)) < share))
-    return rows.filter(keep)
+        chosen.append((F.col(label) == F.lit(name)) & (F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(unit)) < share))
+    while len(chosen) > 1:  # a flat tree, however many labels there are
+        chosen = [functools.reduce(operator.or_, chosen[i : i + 2]) for i in range(0, len(chosen), 2)]
+    return rows.filter(chosen[0])
 
 
 def cut(df: DataFrame, release: bool = False) -> DataFrame:

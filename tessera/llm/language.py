@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import held_out, joined, record, sample_by_class, session, slices, table
 
 FEATURES = 4096
-#: Training texts of each language, at most about; the fit's only bound.
+#: Training texts of each language, at most about.
 PER_LANGUAGE = 1000
-#: Languages that can be told apart.
-MOST_LANGUAGES = 64
+#: Training texts of all languages, about: where there are more than 20, each has fewer, but LEAST at least (or all it has).
+MOST_ROWS, LEAST = 20_000, 20
 #: A lead of the best over the next loss below this share of the bits' weight flags a text.
 LEAD = 0.02
 
@@ -84,8 +84,8 @@ class LanguageModel:
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Weighted logistic loss of every codeword for every row; the weights sum to 1."""
         margin = 4 * (x @ self.weights + self.bias)
-        loss = np.logaddexp(0, -margin[:, None, :] * self.code[None])
-        return loss @ self.bit_weight
+        plus = np.logaddexp(0, -margin) * self.bit_weight  # of a bit +1; that of -1 is more by the margin
+        return plus.sum(axis=1, keepdims=True) + (margin * self.bit_weight) @ ((1 - self.code) / 2).T
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, a score in 0..1, and whether another is about as near."""
@@ -118,11 +118,14 @@ def fit(x: np.ndarray, labels: np.ndarray, languages: list[str], ridge: float =
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, features: int = FEATURES) -> LanguageModel | None:
     """Fits on a sample of docs (doc_id, text, lang); None if no row has both a text and a language.
 
-    Each language is thinned by a hash of doc_id to about per_language rows
-    on the executors; one task fits, and only the weights come to the driver.
+    Every language that occurs is learned. Each is thinned by a hash of
+    doc_id to about per_language rows on the executors, or fewer where all
+    would be over MOST_ROWS; one task fits, and only the weights come to the
+    driver.
     """
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    thin = sample_by_class(known, "lang", "doc_id", per_language).select("text", "lang").repartition(1)
+    n = known.select("lang").distinct().count()
+    thin = sample_by_class(known, "lang", "doc_id", min(per_language, max(LEAST, MOST_ROWS // max(n, 1)))).select("text", "lang").repartition(1)
 
     def fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, names = [], []
@@ -130,10 +133,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, features: int = FEA
             x.append(trigrams(*joined(batch.column("text")), features))
             names += batch.column("lang").to_pylist()
         if names:
-            languages = sorted(set(names))[:MOST_LANGUAGES]
+            languages = sorted(set(names))
             index = {k: i for i, k in enumerate(languages)}
-            use = np.array([n in index for n in names])
-            m = fit(np.concatenate(x)[use], np.array([index[n] for n in names if n in index]), languages)
+            m = fit(np.concatenate(x), np.array([index[n] for n in names]), languages)
             yield record(
                 languages=pa.array([languages]), weights=pa.array([m.weights.tobytes()]), bias=pa.array([m.bias.tobytes()]), bit=pa.array([m.bit_weight.tobytes()])
             )

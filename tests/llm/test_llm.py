@@ -323,6 +323,20 @@ def test_language_id(languages, docs, empty, rows):
     assert {r.lang_pred for r in language.language_id(unlabelled).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(3)
+    words = {f"l{i:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for i in range(70)}
+    made = [(8 * i + j, " ".join(rng.choices(words[name], k=60)), name) for i, name in enumerate(words) for j in range(8)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert model.languages == sorted(words)
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, model).collect()}
+    assert all(got[d] == name for d, _, name in made)
+    x = np.abs(np.random.default_rng(1).normal(size=(9, language.FEATURES))).astype(np.float32) / 64
+    slow = np.logaddexp(0, -(4 * (x @ model.weights + model.bias))[:, None, :] * model.code[None]) @ model.bit_weight
+    assert model.losses(x) == pytest.approx(slow)
+
+
 def test_toxicity(spark, docs, empty, rows):
     rng = random.Random(6)
     texts, labels = [], []
