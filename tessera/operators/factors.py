@@ -92,19 +92,13 @@ class WeightedLeastSquares(LeastSquares):
 
 
 class TensorLeastSquares(LeastSquares):
-    """A third mode: the time bin's factor scales the neighbour's, item by item."""
+    """A third side: every time value has a factor, fitted in turn; a prediction is the sum of the three's product."""
 
-    bins = 8
+    def join(self, others, rows):
+        return others[0] * others[1]
 
-    def bin_factor(self, rows):
-        table = 0.75 + 0.5 * np.random.default_rng(self.seed).random((self.bins, self.size))
-        return table[rows["time"].to_numpy(np.int64) % self.bins]
-
-    def neighbour(self, other, rows):
-        return other * self.bin_factor(rows)
-
-    def predict(self, user, item, rows, mean):
-        return np.einsum("ij,ij,ij->i", user, item, self.bin_factor(rows))
+    def predict_of(self, sides, rows, mean):
+        return np.einsum("ij,ij,ij->i", *sides)
 
 
 class CoordinateDescent(LeastSquares):
@@ -225,25 +219,51 @@ class ImplicitGradient(BiasedGradient):
         return new
 
 
-class TimeGradient(BiasedGradient):
-    """A bias of the user for each time bin, besides the plain one."""
+class TimeGradient(Model):
+    """timeSVD++: mean + bu + bi + q.(p + sum of y / sqrt(n + 10)) + x.z + q.(pu * pt), with z and pt of every time value.
 
-    bins = 4
+    y is that of each of the user's n rated items. A user is p, pu, x, the weighted sum of y, the weighted sum of
+    error * q that y's slope needs, n and bu; an item q, y and bi; a time value z and pt. As all y of a user move at
+    once, an item's step of y is divided by the mean n of its users; a time value's step takes its mean gradient. (The
+    reference adds up y over its entries too, and takes pu for p there.)
+    """
+
+    parts = (5, 2, 2)
 
     @property
     def width(self):
-        return self.size + self.bins + 1
+        return 5 * self.size + 2
 
-    def _bin(self, rows):
-        return np.eye(self.bins)[rows["time"].to_numpy(np.int64) % self.bins]
+    def start(self, ids, side):
+        d, out = self.size, super().start(ids, side)[:, : self.parts[side] * self.size + 2 - side]
+        out[:, -1 if side < 2 else out.shape[1] :] = 0.0
+        if side == 0:
+            out[:, 3 * d :] = 0.0
+        return out
 
-    def predict(self, user, item, rows, mean):
-        d = self.size
-        biases = ((user[:, d : d + self.bins] + item[:, d : d + self.bins]) * self._bin(rows)).sum(axis=1)
-        return mean + user[:, -1] + item[:, -1] + biases + np.einsum("ij,ij->i", user[:, :d], item[:, :d])
+    def predict_of(self, sides, rows, mean):
+        (p, pu, x, y, _), (q, _), (z, pt) = (np.split(f[:, : n * self.size], n, axis=1) for f, n in zip(sides, self.parts))
+        return mean + sides[0][:, -1] + sides[1][:, -1] + ((p + y + pu * pt) * q + x * z).sum(axis=1)
 
-    def slope(self, own, other, rows, side):
-        return np.hstack([other[:, : self.size], self._bin(rows), np.ones((len(other), 1))])
+    def gather_of(self, sides, rows, mean, side):
+        (p, pu, x, y, s), (q, of), (z, pt) = (np.split(f[:, : n * self.size], n, axis=1) for f, n in zip(sides, self.parts))
+        e = (rows["rating"].to_numpy(float) - self.predict_of(sides, rows, mean))[:, None]
+        if side == 0:
+            return np.hstack([e * q, e * q * pt, e * z, of, e * q, np.zeros_like(e), e])
+        if side == 1:
+            return np.hstack([e * (p + y + pu * pt), s, e, sides[0][:, -2:-1]])
+        return np.hstack([e * x, e * q * pu])
+
+    def apply(self, own, total, n, side):
+        d = self.size
+        if side == 1:
+            total, counts = total[:-1].copy(), total[-1]
+            total[d : 2 * d] *= n / max(counts, 1.0)
+        new = own + self.rate * (total / (n if side == 2 else np.sqrt(n)) - self.regularization * own)
+        if side == 0:
+            new[3 * d : 5 * d] = total[3 * d : 5 * d] / np.sqrt(n + 10)
+            new[-2] = n
+        return new
 
 
 class RankGradient(Model):
@@ -454,11 +474,76 @@ def _sampled(ratings: DataFrame, model: SampledFactors, iterations: int) -> Fitt
     return Fitted(model, users, items, 0.0)
 
 
+KEYS = ("user", "item", "time")
+
+
+def _with_sides(ratings: DataFrame, sides: list[DataFrame]) -> DataFrame:
+    """ratings with the factors of their user, item and time as _0, _1 and _2."""
+    for i, (key, side) in enumerate(zip(KEYS, sides)):
+        ratings = ratings.join(side.select(F.col("id").alias(key), F.col("f").alias(f"_{i}")), key)
+    return ratings
+
+
+@dataclass
+class FittedTimes(Fitted):
+    times: DataFrame = None
+
+    def predict(self, ratings: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+        """ratings (user, item, time, ...) with prediction, clamped; users, items and times without a factor are dropped."""
+        model, mean, rows = self.model, self.mean, _with_sides(ratings, [self.users, self.items, self.times])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                p = model.predict_of([np.stack(pdf[f"_{i}"]) for i in range(3)], pdf, mean) if len(pdf) else []
+                yield pdf.drop(columns=["_0", "_1", "_2"]).assign(prediction=np.clip(p, low, high))[[*columns, "prediction"]]
+
+        columns = [c for c in rows.columns if c not in ("_0", "_1", "_2")]
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns) + ", prediction double"
+        return rows.mapInPandas(run, schema)
+
+
+def _timed_step(ratings: DataFrame, sides: list[DataFrame], model: Model, mean: float, side: int) -> DataFrame:
+    """New factors (id, f) of one of the three sides; statistics are summed in batches as for two."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                f = [np.stack(pdf[f"_{i}"]) for i in range(3)]
+                if isinstance(model, TimeGradient):
+                    s = model.gather_of(f, pdf, mean, side)
+                else:
+                    s = model.gather(f[side], model.join(f[:side] + f[side + 1 :], pdf), pdf, mean, side)
+                ids, at = np.unique(pdf[KEYS[side]].to_numpy(), return_inverse=True)
+                total = np.zeros((len(ids), s.shape[1]))
+                np.add.at(total, at, s)
+                yield pd.DataFrame({"id": ids, "s": list(total), "n": np.bincount(at)})
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        new = model.apply(np.array(pdf["f"].iloc[0], float), np.stack(pdf["s"]).sum(axis=0), int(pdf["n"].sum()), side)
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "f": [new]})
+
+    parts = _with_sides(ratings, sides).mapInPandas(gather, "id long, s array<double>, n long").join(sides[side], "id")
+    return parts.groupBy("id").applyInPandas(apply, "id long, f array<double>")
+
+
+def _fit_timed(ratings: DataFrame, model: Model, iterations: int) -> FittedTimes:
+    """Steps of users, items and time values in turn."""
+    ratings = cut(ratings)
+    mean = float(ratings.agg(F.avg("rating")).first()[0] or 0.0)
+    sides = [cut(_start(ratings.select(F.col(key).alias("id")).filter("id IS NOT NULL").distinct(), model, i)) for i, key in enumerate(KEYS)]
+    for _ in range(iterations):
+        for i in range(3):
+            sides[i] = cut(_timed_step(ratings, sides, model, mean, i))
+    return FittedTimes(model, sides[0], sides[1], mean, sides[2])
+
+
 def fit(ratings: DataFrame, model: Model, iterations: int = 4) -> Fitted:
     """Alternates steps of users and items over ratings (user, item, rating, and weight or time if the model needs them).
 
     Of SampledFactors, iterations are those averaged, after the burn-in.
     """
+    if isinstance(model, (TensorLeastSquares, TimeGradient)):
+        return _fit_timed(ratings, model, iterations)
     if isinstance(model, SampledFactors):
         return _sampled(ratings, model, iterations)
     ratings = cut(ratings)

@@ -266,3 +266,31 @@ def test_sampled_factors_discard_and_average(planted):
     draws = [model.hyper(4000, np.full(2, 8000.0), 4000 * (np.full((2, 2), 4.0) + np.diag([0.25, 1.0])), np.random.default_rng(i)) for i in range(30)]
     assert np.mean([m for m, _ in draws], axis=0) == pytest.approx([2, 2], abs=0.02)
     assert np.mean([p for _, p in draws], axis=0) == pytest.approx(np.diag([4.0, 1.0]), abs=0.1) and np.std([p[0, 0] for _, p in draws]) > 0
+
+
+@pytest.mark.parametrize("model", [M.TensorLeastSquares(size=2), M.TimeGradient(size=2)])
+def test_every_time_value_is_fitted(spark, model):
+    rng = np.random.default_rng(4)
+    u, v, w = rng.random(20) + 0.5, rng.random(15) + 0.5, [1.0, 4.0]
+    data = [(i, j, float(u[i] * v[j] * w[t]), 8 * t) for i in range(20) for j in range(15) for t in (0, 1)]
+    df = spark.createDataFrame(data, "user long, item long, rating double, time long")
+    fitted = M.fit(df, model, 4)
+    got = fitted.predict(df).toPandas().groupby("time").prediction.mean()
+    assert got[8] > (3 if isinstance(model, M.TensorLeastSquares) else 1) * got[0] and [r.id for r in fitted.times.orderBy("id").collect()] == [0, 8]
+
+
+def test_time_gradient_is_the_slope_of_the_error():
+    model, rng = M.TimeGradient(size=2), np.random.default_rng(2)
+    sides = [rng.random((1, n)) for n in (12, 5, 4)]
+    import pandas as pd
+
+    row = pd.DataFrame({"rating": [3.0]})
+    for side, entries in ((0, [0, 1, 2, 3, 4, 5, 11]), (1, [0, 1, 4]), (2, [0, 1, 2, 3])):
+        slope = model.gather_of(sides, row, 0.5, side)[0]
+        for k in entries:
+            loss = []
+            for step in (1e-5, -1e-5):
+                near = [f.copy() for f in sides]
+                near[side][0, k] += step
+                loss.append(-((3.0 - model.predict_of(near, row, 0.5)[0]) ** 2) / 2)
+            assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(slope[k], rel=1e-4)
