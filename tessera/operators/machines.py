@@ -1,10 +1,11 @@
-"""Factorization machines over any feature columns, with hashed values and a cold-start rule."""
+"""Factorization machines over any feature columns, with a slot for every value and a cold-start rule."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import FeatureHasher
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import FMRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +13,16 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Machine:
-    """w0 + sum w x + sum of pairwise products of latent vectors; strings and ids are hashed, numbers are taken as they are."""
+    """w0 + sum w x + sum of pairwise products of latent vectors; numbers are taken as they are.
+
+    Every value of a categorical column has weights of its own; one not seen in fit adds nothing. The driver holds the
+    values and their weights. With features set, values are hashed to so many slots instead, and share them.
+    """
 
     categorical: list[str]
     numeric: list[str]
     label: str = "rating"
-    features: int = 1 << 12
+    features: int | None = None
     size: int = 4
     steps: int = 20
     regularization: float = 0.01
@@ -25,16 +30,24 @@ class Machine:
     user: str = "user"
     item: str = "item"
 
-    def _hashed(self, rows: DataFrame) -> DataFrame:
+    def _encoded(self, rows: DataFrame) -> DataFrame:
         text = {f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.categorical}
         number = {f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.numeric}
+        if self.features is None:
+            rows = rows.withColumns(text | number)
+            if not hasattr(self, "index"):
+                places, bits = ([f"{c}{end}" for c in text] for end in ("_place", "_bit"))
+                stages = [StringIndexer(inputCols=[*text], outputCols=places, handleInvalid="keep"), OneHotEncoder(inputCols=places, outputCols=bits)] if text else []
+                self.index = Pipeline(stages=[*stages, VectorAssembler(inputCols=[*bits, *number], outputCol="_features")]).fit(rows)
+            return self.index.transform(rows).drop(*text, *number, *(f"{c}{end}" for c in text for end in ("_place", "_bit")))
         hasher = FeatureHasher(inputCols=[*text, *number], outputCol="_features", numFeatures=self.features)
         return hasher.transform(rows.withColumns(text | number)).drop(*text, *number)
 
     def fit(self, rows: DataFrame) -> "Machine":
         label = F.col(self.label).cast("double")
+        self.__dict__.pop("index", None)
         self.mean, self.deviation = rows.agg(F.avg(label), F.coalesce(F.nullif(F.stddev(label), F.lit(0.0)), F.lit(1.0))).first()
-        scaled = self._hashed(rows).withColumn("_label", (label - self.mean) / self.deviation)
+        scaled = self._encoded(rows).withColumn("_label", (label - self.mean) / self.deviation)
         learner = FMRegressor(featuresCol="_features", labelCol="_label", predictionCol="_p", factorSize=self.size, maxIter=self.steps, stepSize=0.05, regParam=self.regularization, seed=5)
         self.model = learner.fit(scaled)
         self.known_users = rows.select(self.user).distinct() if self.user in rows.columns else None
@@ -45,7 +58,7 @@ class Machine:
         p = F.col("_p") * self.deviation + self.mean
         p = F.greatest(p, F.lit(low)) if low is not None else p
         p = F.least(p, F.lit(high)) if high is not None else p
-        out = self.model.transform(self._hashed(rows)).withColumn("prediction", p).drop("_features", "_p")
+        out = self.model.transform(self._encoded(rows)).withColumn("prediction", p).drop("_features", "_p")
         if self.cold_start == "none":
             return out
         out = out.join(self.known_users.withColumn("_known", F.lit(True)), self.user, "left")
@@ -56,6 +69,13 @@ class Machine:
         return out.withColumn("prediction", F.when(F.col("_known"), F.col("prediction")).otherwise(instead)).drop("_known", "_mean")
 
 
+def with_last_item(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """rows with last_item: the item that the user rated last (by time, then the larger item) in known, or in rows."""
+    known = rows if known is None else known
+    last = known.groupBy("user").agg(F.max(F.struct("time", "item"))["item"].alias("last_item"))
+    return rows.join(last, "user", "left")
+
+
 def sparse_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     """label, features (map from id to value) of lines `label id:value id:value`, split at colons, spaces and commas."""
     x = F.split(F.trim(F.col(column)), r"[ ,]+")

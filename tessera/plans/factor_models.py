@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import factors as M
 from ..operators import similarity as S
-from ..operators.machines import Machine
+from ..operators.machines import Machine, with_last_item
 from .views import ratings
 
 QUERIES, SQL = {}, {}
@@ -75,7 +75,7 @@ def svd(spark, sf_dir):
 
 def _machine(make):
     def run(spark, sf_dir):
-        r = _ratings(spark, sf_dir)
+        r = with_last_item(_ratings(spark, sf_dir))
         out = S.losses(make().fit(r).predict(r), 0.0, 200.0)
         return out.select(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), "n")
 
@@ -86,6 +86,6 @@ QUERIES |= {
     "climf": climf,
     "als_topn": als_topn,
     "svd": svd,
-    "fm": _machine(lambda: Machine(["user", "item", "time"], [], steps=5)),
+    "fm": _machine(lambda: Machine(["user", "item", "time", "last_item"], [], steps=5)),
     "gensgd": _machine(lambda: Machine(["user", "item", "time"], ["weight"], steps=5, cold_start="item")),
 }

@@ -294,3 +294,15 @@ def test_time_gradient_is_the_slope_of_the_error():
                 near[side][0, k] += step
                 loss.append(-((3.0 - model.predict_of(near, row, 0.5)[0]) ** 2) / 2)
             assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(slope[k], rel=1e-4)
+
+
+def test_machine_has_a_slot_for_every_value_and_the_last_item(spark):
+    from tessera.operators.machines import Machine, with_last_item
+
+    df = spark.createDataFrame([(i, i % 7, float(i % 7), i % 3) for i in range(6000)], "user long, item long, rating double, time long")
+    m = Machine(["user", "item", "time"], [], steps=1).fit(df)
+    assert m.model.linear.size == 6000 + 7 + 3
+    unseen = spark.createDataFrame([(-1, 3, 1)], "user long, item long, time long")
+    assert m._encoded(unseen).first()["_features"].numNonzeros() == 2 and m.predict(unseen).count() == 1
+    few = spark.createDataFrame([(1, 5, 1), (1, 4, 2), (1, 3, 2), (2, 9, 0)], "user long, item long, time long")
+    assert rows(with_last_item(few).select("user", "last_item").distinct()) == [(1, 4), (2, 9)]
