@@ -7,6 +7,8 @@ a numpy call is paid per batch and not per document.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: Multiplier of the rolling hash; odd, so that it has an inverse modulo 2**64.
@@ -15,6 +17,8 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240607))
 #: A random 64-bit value for each byte.
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Seed of the hashes of whole words and contents.
+SEED = 0x5DEECE66D
 _powers: dict[int, np.ndarray] = {}
 
 _space = np.zeros(256, bool)
@@ -87,8 +91,26 @@ def words(data: np.ndarray, bounds: np.ndarray):
     return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, bounds)
 
 
+def interned(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each span, equal exactly where the spans' bytes are, and the distinct spans by number.
+
+    Spans must be in order and not overlap.
+    """
+    size = ends - starts
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    whole = data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    spans_ = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
+    coded = spans_.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix(BYTE_VALUE[data]), starts, ends)
+    """A 64-bit hash of each word's bytes, the same in every task."""
+    number, distinct = interned(data, starts, ends)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, SEED) for w in distinct.to_pylist()), U64, len(distinct))[number]
 
 
 def spans(bounds: np.ndarray, width: int) -> np.ndarray:

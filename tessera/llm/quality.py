@@ -1,9 +1,10 @@
 """Repetition rules: rolling hashes of several n-gram lengths over whole texts.
 
-A pass over each document: words and lines become 64-bit rolling hashes, and
-sorting (document, hash) keys of one batch finds what a document repeats. Only
-windows whose shorter window repeats are looked at for the next length. No
-shuffle: a lost task is just run again.
+A pass over each document: words are numbered by their bytes, n-grams of them
+become 64-bit rolling hashes, and sorting (document, hash) keys of one batch
+finds what a document repeats. Where hashes agree, the words are compared.
+Lines are numbered by their bytes. Only windows whose shorter window repeats
+are looked at for the next length. No shuffle: a lost task is just run again.
 """
 
 from __future__ import annotations
@@ -33,10 +34,16 @@ SCHEMA = (
 )
 
 
-def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key: does it occur twice or more, does it occur earlier."""
+def _repeats(key: np.ndarray, equal=None, exact=None) -> tuple[np.ndarray, np.ndarray]:
+    """For each key: does it occur twice or more, does it occur earlier.
+
+    Where keys are hashes, equal(i, j) tells of index pairs of one key whether
+    what they stand for is equal; if any isn't, exact() gives keys to use instead.
+    """
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
+    if equal is not None and not equal(order[:-1][same], order[1:][same]).all():
+        return _repeats(exact())
     later = np.zeros(len(key), bool)
     later[order[1:][same]] = True
     twice = later.copy()
@@ -44,6 +51,21 @@ def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, later
 
 
+def _same_words(number: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    same = doc[a] == doc[b]
+    for t in range(n):
+        same &= number[a + t] == number[b + t]
+    return same
+
+
+def _exact(number: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Dense numbers of (document, n words), built up word by word."""
+    key = doc[at].astype(np.int64)
+    for t in range(n):
+        key = np.unique(key * (int(number.max()) + 1) + number[at + t], return_inverse=True)[1]
+    return key
+
+
 def repetition(data: np.ndarray, bounds: np.ndarray, lengths=tuple(NGRAM_SHARE)) -> dict[str, np.ndarray]:
     """Counts and shares of every document in the buffer."""
     n_docs = len(bounds) - 1
@@ -53,26 +75,24 @@ def repetition(data: np.ndarray, bounds: np.ndarray, lengths=tuple(NGRAM_SHARE))
     chars = np.zeros(len(data) + 1, np.int64)
     np.cumsum(codepoint & solid, out=chars[1:])
     out = {"n_words": np.diff(wb), "word_chars": chars[bounds[1:]] - chars[bounds[:-1]], "n_symbols": per_document(_symbol[data], bounds)}
-    pre = K.prefix(K.BYTE_VALUE[data])
-    doc_key = K.mix(np.arange(1, n_docs + 1, dtype=np.uint64))
 
     breaks = np.flatnonzero(data == 10)
-    line_start = np.sort(np.concatenate([bounds[:-1], breaks + 1]), kind="stable")
+    line_start = np.unique(np.concatenate([bounds[:-1], breaks + 1]))
     line_doc = np.searchsorted(bounds[1:], line_start, side="right")
-    # a break at a document's very end starts an empty line there, which belongs to it and has no word
-    keep = line_doc < n_docs
-    line_start, line_doc = line_start[keep], line_doc[keep]
-    line_end = np.append(line_start[1:] - 1, 0)
-    last = np.append(line_doc[1:] != line_doc[:-1], True) if len(line_doc) else np.empty(0, bool)
-    line_end = np.where(last, bounds[line_doc + 1], line_end) if len(line_doc) else line_end[:0]
+    line_start, line_doc = line_start[line_doc < n_docs], line_doc[line_doc < n_docs]
+    # a line ends before its break, or where the document does
+    following = np.append(breaks, len(data))[np.searchsorted(breaks, line_start)]
+    line_end = np.minimum(following, bounds[line_doc + 1])
     line_chars = chars[line_end] - chars[line_start]
     worded = line_chars > 0
     line_start, line_end, line_doc, line_chars = line_start[worded], line_end[worded], line_doc[worded], line_chars[worded]
-    _, later = _repeats(K.mix(K.span_hash(pre, line_start, line_end) ^ doc_key[line_doc]))
+    later = _repeats(K.interned(data, line_start, line_end)[0].astype(np.int64) * n_docs + line_doc)[1]
     out["n_dup_lines"] = np.bincount(line_doc[later], minlength=n_docs)
     out["dup_line_chars"] = np.bincount(line_doc[later], weights=line_chars[later], minlength=n_docs).astype(np.int64)
 
-    value = K.span_hash(pre, starts, ends)
+    number = K.interned(data, starts, ends)[0]
+    value = K.mix(number.astype(np.uint64) + np.uint64(1))
+    doc_key = K.mix(np.arange(1, n_docs + 1, dtype=np.uint64))
     word_doc = np.repeat(np.arange(n_docs), np.diff(wb))
     length = chars[ends] - chars[starts]
     wpre = K.prefix(value)
@@ -82,7 +102,7 @@ def repetition(data: np.ndarray, bounds: np.ndarray, lengths=tuple(NGRAM_SHARE))
         fits = np.flatnonzero(K.spans(wb, n)) if len(value) else np.empty(0, np.int64)
         at = fits if at is None else np.intersect1d(at, fits, assume_unique=True)
         key = K.mix(K.span_hash(wpre, at, at + n) ^ doc_key[word_doc[at]])
-        at = at[_repeats(key)[0]]
+        at = at[_repeats(key, lambda a, b: _same_words(number, word_doc, at[a], at[b], n), lambda: _exact(number, word_doc, at, n))[0]]
         cover = np.zeros(len(value) + 1, np.int32)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + n, -1)

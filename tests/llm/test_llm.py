@@ -26,6 +26,12 @@ def prose(seed, n, vocabulary=400):
     return " ".join("".join(r.choice(["ka", "lo", "mi", "tür", "és", "n"]) for _ in range(r.randint(1, 4))) if r.random() < 0.9 else f"w{r.randrange(vocabulary)}" for _ in range(n))
 
 
+def structured(kind):
+    """Different texts whose polynomial hashes modulo 2**64 would agree, whatever the base."""
+    pattern = [bin(i).count("1") % 2 ^ kind for i in range(1024)]
+    return "".join("ab"[x] for x in pattern) + " " + prose(77, 60)
+
+
 def corpus():
     shared = prose(1, 70)
     base = prose(2, 300)
@@ -38,9 +44,10 @@ def corpus():
         None, "", "   \n\t ", "one", "one two three", "One Two THREE", "!!! ... 123", "a\x00b \x1c c", "Ünï cödé 　 wide space",
         base, base, " ".join(near), " ".join(far), base.upper(), prose(3, 40) + " " + shared + " " + prose(4, 40), prose(5, 10) + "  " + shared, shared + "\n" + prose(6, 90),
         "ha " * 300, "same line here\n" * 40 + prose(7, 30), prose(8, 20000), "-" * 3000, "x" * 5000, "#*$%&|<> " * 20, prose(9, 120), prose(9, 120) + " tail", shared + " " + shared,
-        "a  b   c \n\n d ", "it's we're I'll 'tis 12 345", " leading", "trailing ", "<|endoftext|> text",
+        "a  b   c \n\n d ", "it's we're I'll 'tis 12 345", " leading", "trailing ", "<|endoftext|> text a<|startoftext|>b <|ENDOFTEXT|>",
+        "a b\na b\n", "\n\na b\n\na b\n\n", "a b\n", structured(0), structured(1), "İ ß Å K\u030a e\u0301 Σς word). (word -- ÿ! x<|endoftext|>.", "(((( ))))",
     ]
-    rows = [(i * 7 % 101, t) for i, t in enumerate(texts)]
+    rows = [(i * 7 % 211, t) for i, t in enumerate(texts)]
     return rows
 
 
@@ -231,7 +238,6 @@ def test_linked_sets_share_a_signature():
 def test_packing(docs, empty, rows):
     got = packing.pack_documents(docs).collect()
     t = Tokenizer.from_file(packing.VOCABULARY)
-    t.encode_special_tokens = True
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, packing.END_ID] for i, x in rows}
     at = collections.Counter()
     for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
