@@ -75,6 +75,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             start = end
 
 
+def merged(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 * BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Joins batches until they have about `limit` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(text)).nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 

@@ -14,6 +14,8 @@ equal length; ranks are counted within salts, then shifted.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -24,24 +26,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import record, session, slices, table
+from . import kernels as K
+from .common import BATCH_BYTES, joined, merged, record, session, slices, table
 
 CAPACITY = 4096
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
-#: Ranks are counted in groups of about this many pieces.
-RANK_ROWS = 100_000
+#: Ranks are counted in groups of about this many pieces of one length.
+RANK_ROWS = 1000
 #: Words whose ids a worker remembers (and as many again that it met before).
-CACHED_WORDS = 700_000
+CACHED_WORDS = 600_000
+
+#: New words that are tokenized together.
+LINE = 200
+#: Words whose ids are laid out at once.
+CHUNK = 1 << 19
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: Words that the tokenizer cuts into letters and, if any, the marks behind them; one group for each part.
+_plain = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?*%$&#()-]+)?").fullmatch
+
+
 class WordIds(dict):
     """UTF-8 words to their ids as little-endian 32-bit bytes.
 
     The tokenizer never joins text across ASCII white space and drops it, so a
-    text's ids are those of its words in order.
+    text's ids are those of its words in order. Its special tokens have no
+    white space either; where a text spells one, its id is taken.
     """
 
     def __init__(self, path: str):
@@ -49,21 +62,56 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Whether an id closes one of the parts that the tokenizer cuts a text into.
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, texts: list[list[bytes]]) -> None:
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
         if len(self) > CACHED_WORDS:
             self.old = dict(self)
             self.clear()
-        new = set().union(*texts).difference(self)
-        for word in new.intersection(self.old):
+        found = list(map(self.get, words))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        self._learn({words[i] for i in gaps})
+        for i in gaps:
+            found[i] = self[words[i]]
+        return found
+
+    def _learn(self, words: set[bytes]) -> None:
+        for word in words.intersection(self.old):
             self[word] = self.old[word]
-        new = list(new.difference(self.old))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        other, lines, parts = [], [], []
+        for word in words.difference(self.old):
+            plain = _plain(word)
+            if plain is None:
+                other.append(word)
+            else:
+                lines.append(word)
+                parts.append(plain.lastindex)
+        self._learn_lines(lines, np.array(parts, np.int64), other)
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
             for word, x in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self[word] = np.array(x.ids, "<u4").tobytes()
+                self[word] = struct.pack(f"<{len(x.ids)}I", *x.ids)
+
+    def _learn_lines(self, words: list[bytes], parts: np.ndarray, other: list[bytes]) -> None:
+        """Words of 1 or 2 known parts, many to a line; a line whose parts don't come out as expected goes to other."""
+        for i in range(0, len(words), LINE * 64):
+            starts = range(i, min(i + LINE * 64, len(words)), LINE)
+            lines = [b" ".join(words[j : j + LINE]).decode() for j in starts]
+            for j, x in zip(starts, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+                ids = np.array(x.ids, "<u4")
+                last = np.flatnonzero(self.closes[ids]) + 1
+                own = words[j : j + LINE]
+                until = np.cumsum(parts[j : j + LINE])
+                if len(last) != until[-1]:
+                    other.extend(own)
+                    continue
+                ends = (4 * last[until - 1]).tolist()
+                raw = ids.tobytes()
+                self.update(zip(own, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
 
 @cache
@@ -71,25 +119,42 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def document_ids(data: np.ndarray, bounds: np.ndarray, known: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents one after another, each with end_id behind, and their bounds."""
+    starts, ends, wb = K.words(data, bounds)
+    number, distinct = K.interned(data, starts, ends)
+    coded = known.of(distinct.to_pylist())
+    size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    first = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(coded), "<u4")
+    until = np.concatenate([[0], np.cumsum(size[number])])
+    out_bounds = until[wb] + np.arange(len(wb))
+    ids = np.full(int(out_bounds[-1]), end_id, "<u4")
+    doc = np.repeat(np.arange(len(wb) - 1), np.diff(wb))
+    for i in range(0, len(number), CHUNK):  # so that a very long text needs little besides its ids
+        part = number[i : i + CHUNK]
+        n = size[part]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        ids[np.repeat(until[i : i + len(part)] + doc[i : i + CHUNK], n) + within] = flat[np.repeat(first[part], n) + within]
+    return ids, out_bounds
+
+
 def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document (columns doc_id, text), with the CRC of their ids."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
-            texts = [(t or b"").split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            known.learn(texts)
+        known = word_ids(vocabulary)
+        for batch in slices(merged(batches), limit=4 * BATCH_BYTES):
+            ids, bounds = document_ids(*joined(batch.column("text")), known, end_id)
             at, start, length, crc, total = [], [], [], [], []
-            for i, text in enumerate(texts):
-                ids = b"".join([known[w] for w in text]) + end
-                n = len(ids) // 4
-                for s in range(0, n, capacity):
-                    piece = ids[4 * s : 4 * (s + capacity)]
+            for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                for s in range(x, y, capacity):
+                    piece = ids[s : min(s + capacity, y)]
                     at.append(i)
-                    start.append(s)
-                    length.append(len(piece) // 4)
+                    start.append(s - x)
+                    length.append(len(piece))
                     crc.append(zlib.crc32(piece))
-                    total.append(n)
+                    total.append(y - x)
             yield record(doc_id=batch.column("doc_id").take(pa.array(at, pa.int64())), start=start, length=length, ids_crc32=crc, doc_tokens=total)
 
     return docs.mapInArrow(rows, PIECES)
@@ -159,9 +224,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (a checkpointed table, read several times)."""
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     table_ = slots(minimum_bin_slack(histogram, capacity))
-    salts = 1 + sum(histogram.values()) // RANK_ROWS
-
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    # a salt count for each length: at most `capacity` rows
+    lengths = pieces.sparkSession.createDataFrame([(k, 1 + n // RANK_ROWS) for k, n in histogram.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(lengths), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")))
     shifts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shifts = shifts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
