@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import operator
@@ -73,9 +74,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             end = max(start + 1, int(np.searchsorted(size, before + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
-def merged(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 * BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Gives memory that a Python worker has no use for back to the system; the worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
+def merged(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2 * BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Joins batches until they have about `limit` bytes of text."""
     held, size = [], 0
     for batch in batches:

@@ -14,7 +14,6 @@ equal length; ranks are counted within salts, then shifted.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,18 +34,18 @@ END_ID = 2
 #: Ranks are counted in groups of about this many pieces of one length.
 RANK_ROWS = 1000
 #: Words whose ids a worker remembers (and as many again that it met before).
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 
-#: New words that are tokenized together.
-LINE = 200
 #: Words whose ids are laid out at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-#: Words that the tokenizer cuts into letters and, if any, the marks behind them; one group for each part.
-_plain = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?*%$&#()-]+)?").fullmatch
+#: Marks that make one part of their own behind a word's letters.
+MARKS = b".,;:!?*%$&#()-"
+#: The characters by which the vocabulary spells bytes (read as Latin-1): those that don't print have others.
+_spelled = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class WordIds(dict):
@@ -62,9 +61,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Whether an id closes one of the parts that the tokenizer cuts a text into.
-        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        self.marks: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
     def of(self, words: list[bytes]) -> list[bytes]:
@@ -82,36 +80,32 @@ class WordIds(dict):
     def _learn(self, words: set[bytes]) -> None:
         for word in words.intersection(self.old):
             self[word] = self.old[word]
-        other, lines, parts = [], [], []
+        other = []
         for word in words.difference(self.old):
-            plain = _plain(word)
-            if plain is None:
-                other.append(word)
+            letters = word.rstrip(MARKS)
+            # letters of Latin-1 are one part, which the merges see in lower case; all else takes the whole way
+            if letters.isalpha():
+                text = letters.lower().decode()
+            elif (text := letters.decode()).isalpha() and max(text) <= "\xff":
+                text = text.lower().encode().decode("latin-1").translate(_spelled)
             else:
-                lines.append(word)
-                parts.append(plain.lastindex)
-        self._learn_lines(lines, np.array(parts, np.int64), other)
+                other.append(word)
+                continue
+            ids = [x.id for x in self.model.tokenize(text)]
+            self[word] = struct.pack(f"<{len(ids)}I", *ids) + self._mark(word[len(letters) :])
         for i in range(0, len(other), 4096):
             part = other[i : i + 4096]
             for word, x in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 self[word] = struct.pack(f"<{len(x.ids)}I", *x.ids)
 
-    def _learn_lines(self, words: list[bytes], parts: np.ndarray, other: list[bytes]) -> None:
-        """Words of 1 or 2 known parts, many to a line; a line whose parts don't come out as expected goes to other."""
-        for i in range(0, len(words), LINE * 64):
-            starts = range(i, min(i + LINE * 64, len(words)), LINE)
-            lines = [b" ".join(words[j : j + LINE]).decode() for j in starts]
-            for j, x in zip(starts, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
-                ids = np.array(x.ids, "<u4")
-                last = np.flatnonzero(self.closes[ids]) + 1
-                own = words[j : j + LINE]
-                until = np.cumsum(parts[j : j + LINE])
-                if len(last) != until[-1]:
-                    other.extend(own)
-                    continue
-                ends = (4 * last[until - 1]).tolist()
-                raw = ids.tobytes()
-                self.update(zip(own, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+    def _mark(self, marks: bytes) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            ids = self.tokenizer.encode(marks.decode(), add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(marks) <= 3:
+                self.marks[marks] = found
+        return found
 
 
 @cache
@@ -144,7 +138,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(vocabulary)
-        for batch in slices(merged(batches), limit=4 * BATCH_BYTES):
+        for batch in slices(merged(batches), limit=2 * BATCH_BYTES):
             ids, bounds = document_ids(*joined(batch.column("text")), known, end_id)
             at, start, length, crc, total = [], [], [], [], []
             for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
