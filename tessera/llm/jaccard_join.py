@@ -1,13 +1,18 @@
 """Set-similarity join on word shingles by partition signatures, verified exactly.
 
-Candidates: each distinct set's items are hashed into segments by its size
+Candidates: each distinct text's shingles are hashed into segments by its size
 band; linked sets share a segment, or one that differs by one item
-(jaccard_kernels). Sets that share a signature are joined to clusters along
-the signature's least set, so a signature of g sets makes g - 1 edges.
-Verification: every cluster's sets are laid out in blocks of bounded size, and
-each pair of blocks is compared by a product of sparse incidence matrices in
-one task, which returns only a spanning forest of the links it found. Equal
-sets are one set from the start, however many documents have it.
+(jaccard_kernels). So all that links shares a signature.
+
+Verification compares shingles as words, in three steps, each of which leaves
+out what the links found before have already joined:
+1. each text with the least text of all that it shares a signature with;
+2. each text with the least text of every signature that isn't one component yet;
+3. signatures that still hold several components, of three texts or more: all
+   their texts, laid out in blocks, each pair of blocks in one task.
+Two texts that share a signature are thus compared themselves, or were joined
+by verified links before. Equal texts are one text from the start, known by
+128 bits of a cryptographic hash of their words.
 """
 
 from __future__ import annotations
@@ -17,79 +22,108 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..graph import Graph
+from ..operators.algorithms import connected_components
 from . import jaccard_kernels as J
-from .common import cut, joined, record, session, slices, table
+from .common import Written, cut, free_name, joined, record, session, slices, table
 
-#: A block holds about so many sets, or so many items, whichever comes first.
+#: A block holds about so many texts, or so many shingles, whichever comes first.
 BLOCK_SETS, BLOCK_ITEMS = 256, 400_000
+#: A text that is compared with more others than this is dealt to several tasks.
+SPREAD = 512
 #: Columns of the matrices that are multiplied at once.
 COLUMNS = 4096
 
 
 def shingle_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the hash of the whole set (0 where it is empty)."""
+    """doc_id, n_shingles and the text's key (null where it has no word)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            token, bounds = J.shingle_sets(*joined(batch.column("text")))
-            n = np.diff(bounds)
-            whole = np.where(n > 0, J.set_sums(token, bounds), 0).astype(np.uint64).view(np.int64)
-            yield record(doc_id=batch.column("doc_id"), n_shingles=n, whole=whole)
+            data, bounds = joined(batch.column("text"))
+            _, sets = J.shingle_sets(data, bounds)
+            yield record(doc_id=batch.column("doc_id"), n_shingles=np.diff(sets), whole=pa.array(J.digests(data, bounds), pa.binary()))
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, whole long")
+    return docs.mapInArrow(rows, "doc_id long, n_shingles long, whole binary")
 
 
 def set_signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """(sig, whole): the signatures of every set, once for each task that meets the set."""
+    """(sig, whole): the signatures of every text, once for each task that meets the text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes | None] = {None}
         for batch in slices(batches):
-            token, bounds = J.shingle_sets(*joined(batch.column("text")))
-            whole, size = J.set_sums(token, bounds), np.diff(bounds)
-            new = np.array([w not in seen and not seen.add(w) for w in whole.tolist()]) & (size > 0)
+            data, bounds = joined(batch.column("text"))
+            key = J.digests(data, bounds)
+            new = np.array([k not in seen and not seen.add(k) for k in key], bool)
             if not new.any():
                 continue
-            token, bounds, whole = token[np.repeat(new, size)], np.concatenate([[0], np.cumsum(size[new])]), whole[new]
-            doc, sig = J.signatures(token, bounds, percent)
-            whole = whole.view(np.int64)[doc]
+            token, sets = J.shingle_sets(data, bounds)
+            size = np.diff(sets)
+            token, sets = token[np.repeat(new, size)], np.concatenate([[0], np.cumsum(size[new])])
+            doc, sig = J.signatures(token, sets, percent)
+            whole = pa.array([k for k, n in zip(key, new) if n], pa.binary())
             sig = sig.view(np.int64)
-            for i in range(0, len(sig), 1 << 17):
-                yield record(sig=sig[i : i + (1 << 17)], whole=whole[i : i + (1 << 17)])
+            for i in range(0, len(sig), 1 << 16):
+                yield record(sig=sig[i : i + (1 << 16)], whole=whole.take(pa.array(doc[i : i + (1 << 16)])))
 
-    return docs.mapInArrow(rows, "sig long, whole long")
+    return docs.mapInArrow(rows, "sig long, whole binary")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the least node reachable, for every node with an edge.
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(whole, n, text) of the wanted (whole, lead, n), each read from a document with doc_id lead."""
 
-    Each round links every node's larger neighbours to its least neighbour,
-    then every node's smaller ones; it ends when the edges stay the same. The
-    number of rounds grows with the logarithm of the longest path. Nodes with
-    many neighbours are split before they are joined (partial minima).
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            key = pa.array(J.digests(*joined(batch.column("text"))), pa.binary())
+            yield record(doc_id=batch.column("doc_id"), key=key, text=batch.column("text"))
+
+    keyed = docs.mapInArrow(rows, "doc_id long, key binary, text string")
+    found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("lead")) & (F.col("key") == F.col("whole")))
+    return found.select("lead", "whole", "n", "text").dropDuplicates(["lead", "whole"]).drop("lead")
+
+
+def compared(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) whose texts link.
+
+    b's text comes first in its partition, then a's stream past it, so a task
+    holds one batch; a b with many a is dealt to several tasks.
     """
-    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
-    before = None
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        # small star: on edges from larger to smaller nodes
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = cut(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    nodes = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return nodes.unionByName(roots)
+    hub = edges.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts"))
+    text = texts.select(F.col("whole").alias("_k"), "text")
+    hubs = hub.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    head = hubs.join(text, F.col("b") == F.col("_k")).select("b", "part", F.lit(None).cast("binary").alias("a"), "text")
+    rest = edges.join(hub, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    rest = rest.join(text, F.col("a") == F.col("_k")).select("b", "part", "a", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub_text, hub_key = None, None
+        for batch in slices(batches):
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            text = [x.encode() for x in batch.column("text").to_pylist()]
+            # row 0 is the hub that the batch before ended with
+            text, a, b = [hub_text or b"", *text], [None, *a], [hub_key, *b]
+            is_hub = np.array([x is None for x in a])
+            own = np.maximum.accumulate(np.where(is_hub, np.arange(len(a)), 0))
+            token, bounds = J.exact_sets(text)
+            size = np.diff(bounds)
+            kinds = int(token.max(initial=0)) + 1
+            row = np.repeat(np.arange(len(a)), size)
+            hubs = np.sort(row[is_hub[row]] * kinds + token[is_hub[row]])
+            key = own[row] * kinds + token
+            at = np.minimum(np.searchsorted(hubs, key), max(len(hubs) - 1, 0))
+            both = np.bincount(row[hubs[at] == key] if len(hubs) else row[:0], minlength=len(a))
+            linked = ~is_hub & (100 * both >= percent * (size + size[own] - both))
+            at = np.flatnonzero(linked).tolist()
+            yield record(a=pa.array([a[i] for i in at], pa.binary()), b=pa.array([b[i] for i in at], pa.binary()))
+            hub_text, hub_key = text[own[-1]], b[own[-1]]
+
+    dealt = head.unionByName(rest).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return dealt.mapInArrow(compare, "a binary, b binary")
 
 
 def links_of(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,26 +176,28 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     return kept
 
 
-def verified_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect all that is linked, from (cluster, whole, n_shingles, items).
+def block_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all that is linked among the members (sig, whole) of each signature.
 
-    A cluster is laid out in blocks by a hash; the task of blocks (i, j)
-    compares the sets of i with those of j, so no task holds more than two
-    blocks, whatever a cluster's size.
+    Signatures with the same members are compared once. A signature's texts
+    are laid out in blocks by a hash; the task of blocks (i, j) compares the
+    texts of i with those of j, so no task holds more than two blocks.
     """
-    sizes = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("total"))
-    sizes = sizes.filter("sets > 1").select(
-        "cluster", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_ITEMS)).cast("int").alias("blocks")
+    sized = members.join(texts.select("whole", "n"), "whole")
+    groups = sized.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("whole")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "whole")).alias("y")
     )
-    laid = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    laid = laid.select("cluster", "block", "whole", "items", other)
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    laid = laid.select("cluster", low.alias("i"), high.alias("j"), "block", "whole", "items")
+    groups = groups.groupBy("sets", "total", "x", "y").agg(F.min("sig").alias("sig"))
+    groups = groups.select("sig", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    laid = members.join(groups, "sig").withColumn("block", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
+    laid = laid.select("sig", "block", "whole", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    laid = laid.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "whole")
+    laid = laid.join(texts.select("whole", "text"), "whole").repartition("sig", "i", "j")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        items = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+        i, j = key[1:]
+        token, bounds = J.exact_sets([x.encode() for x in pdf["text"]])
+        items = np.split(token, bounds[1:-1])
         whole, block = pdf["whole"].to_numpy(), pdf["block"].to_numpy()
         a = np.flatnonzero(block == i)
         if i == j:
@@ -175,7 +211,40 @@ def verified_links(sets: DataFrame, percent: int) -> DataFrame:
         kept = spanning(len(items), x, y)
         return pd.DataFrame({"a": whole[x[kept]], "b": whole[y[kept]]})
 
-    return laid.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+    return laid.groupBy("sig", "i", "j").applyInPandas(compare, "a binary, b binary")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(whole, part): the component of every text that has a link."""
+    found = connected_components(Graph(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    return found.select(F.col("id").alias("whole"), F.col("label").alias("part"))
+
+
+def _open(members: DataFrame, parts: DataFrame, least: int) -> DataFrame:
+    """(sig, whole, part): the members of signatures that hold `least` texts or more in several components."""
+    placed = members.join(parts, "whole", "left").select("sig", "whole", F.coalesce("part", "whole").alias("part"))
+    several = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+    return placed.join(several.filter((F.col("n") >= least) & (F.col("low") != F.col("high"))).select("sig"), "sig", "left_semi")
+
+
+def keep_representatives(docs: DataFrame, percent: int = J.PERCENT) -> DataFrame:
+    """The rows of docs (with doc_id, text) whose own doc_id is their component's, unchanged.
+
+    So of each group of near duplicates the least doc_id stays; a row that
+    links with nothing stays. Rows that repeat the one that stays, doc_id and
+    text, stay with it; rows without a doc_id stay only where no linked row
+    has one.
+    """
+    key = free_name(docs.columns, "key")
+    answer = _answers(docs, "doc_id", "text", percent)
+    gone = answer.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone"), F.col("whole").alias("_whole")).distinct()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.append_column(key, pa.array(J.digests(*joined(batch.column("text"))), pa.binary()))
+
+    keyed = docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
+    return keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col(key) == F.col("_whole")), "left_anti").select(*docs.columns)
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = J.PERCENT) -> DataFrame:
@@ -184,49 +253,56 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     component_id is the least doc_id that a chain of links reaches, itself
     included; two texts link when 100 * intersection >= percent * union of
     their sets of 4-word shingles (A-Z lower-cased). Null and empty texts and
-    those without words have an empty set and link with nothing. Repeated
-    rows have equal sets and so one component. A null doc_id is larger than
-    any other. Other columns of docs are ignored.
+    those without words have an empty set, link with nothing and keep their
+    own doc_id. Rows count by their texts: repeated rows have one component,
+    and a doc_id that stands with two texts has an answer for each. A null
+    doc_id is larger than any other and links like any other. An empty table
+    gives no rows; other columns of docs are ignored.
     """
+    return _answers(docs, doc_id, text, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _answers(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """doc_id, whole (the text's key), n_shingles, component_id."""
     session(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counted = cut(shingle_counts(rows))
+    worded = counted.filter("whole IS NOT NULL")
+    first = worded.groupBy("whole").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+
     signed = set_signatures(rows, percent)
     shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
-    members = cut(signed.join(shared, "sig", "left_semi").distinct(), release=True)
-    centres = members.groupBy("sig").agg(F.min("whole").alias("centre"))
-    edges = members.join(centres, "sig").filter("whole <> centre").select(F.col("whole").alias("a"), F.col("centre").alias("b"))
-    clusters = components(edges)
-
-    # the sets of the candidates, read from one document of each
-    first = counted.filter("n_shingles > 0").groupBy("whole").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(clusters.select(F.col("node").alias("whole"), F.col("component").alias("cluster")), "whole")
-    wanted = wanted.join(rows, "doc_id").select("whole", "cluster", "text")
-    links = cut(verified_links(cut(_sets(wanted), release=True), percent))
-    linked = components(links).select(F.col("node").alias("whole"), F.col("component").alias("joined"))
-
-    # a component's least doc_id, by way of each set's least doc_id
-    lead = first.join(linked, "whole", "left").select("whole", "doc_id", F.coalesce("joined", "whole").alias("joined"))
-    least = lead.groupBy("joined").agg(F.min("doc_id").alias("component_id"))
-    answer = lead.join(least, "joined").select("whole", "component_id", "doc_id")
-    # only sets whose answer isn't the document's own id need a join; a set's copies are spread by salt
-    many = counted.filter("n_shingles > 0").groupBy("whole").agg(F.count(F.lit(1)).alias("n"))
-    moved = answer.join(many, "whole").filter("n > 1 OR component_id <> doc_id").select("whole", "component_id")
-    return counted.join(moved, "whole", "left").select("doc_id", "n_shingles", _component("component_id", "doc_id"))
-
-
-def _component(found: str, own: str) -> Column:
-    return F.coalesce(F.col(found), F.col(own)).alias("component_id")
-
-
-def _sets(wanted: DataFrame) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            token, bounds = J.shingle_sets(*joined(batch.column("text")))
-            items = [token[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield record(cluster=batch.column("cluster"), whole=batch.column("whole"), n_shingles=np.diff(bounds), items=pa.array(items, pa.binary()))
-
-    return wanted.mapInArrow(rows, "cluster long, whole long, n_shingles long, items binary")
+    members = signed.join(shared, "sig", "left_semi").distinct()
+    # a signature of copies of one text decides nothing
+    several = members.groupBy("sig").agg(F.min("whole").alias("centre"), F.max("whole").alias("last")).filter("centre <> last").select("sig", "centre")
+    members = Written(members.join(several, "sig"))
+    sides = members.df.select("sig", "whole")
+    spokes = members.df.filter("whole <> centre").select(F.col("whole").alias("a"), F.col("centre").alias("b"))
+    wanted = sides.select("whole").distinct().join(first.select("whole", "lead", "n"), "whole")
+    texts = Written(texts_of(rows, wanted))
+
+    one = spokes.groupBy("a").agg(F.min("b").alias("b"))
+    links = cut(compared(one, texts.df, percent))
+    parts = _components(links)
+    # what isn't joined yet, with the least text of each of its signatures; a's least was compared before
+    apart = spokes.distinct().join(one.select("a", F.col("b").alias("least")), "a").filter("b <> least").select("a", "b")
+    apart = apart.join(parts.select(F.col("whole").alias("a"), F.col("part").alias("pa")), "a", "left").join(parts.select(F.col("whole").alias("b"), F.col("part").alias("pb")), "b", "left")
+    apart = apart.filter(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
+    links = cut(links.union(compared(cut(apart), texts.df, percent)))
+    parts = _components(links)
+    rest = cut(_open(sides, parts, 3).select("sig", "whole"))
+    links = cut(links.union(block_links(rest, texts.df, percent)), release=True)
+    parts = _components(links)
+    members.drop()
+    texts.drop()
+
+    # a component's least doc_id, by way of each text's least doc_id
+    lead = first.join(parts, "whole", "left").select("whole", "lead", "copies", F.coalesce("part", "whole").alias("part"))
+    least = lead.groupBy("part").agg(F.min("lead").alias("component_id"))
+    answer = lead.join(least, "part")
+    # only texts whose answer isn't each document's own id need a join
+    moved = answer.filter((F.col("copies") > 1) | ~F.col("component_id").eqNullSafe(F.col("lead"))).select("whole", "component_id", F.lit(True).alias("moved"))
+    return counted.join(moved, "whole", "left").select("doc_id", "whole", "n_shingles", F.when(F.col("moved"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

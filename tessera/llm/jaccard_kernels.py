@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from . import kernels as K
+from .common import joined
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -18,34 +22,65 @@ _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 
 
+def digests(data: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """128 bits of a cryptographic hash of each document's lower-cased words; None where it has none."""
+    whole = data.tobytes()
+    texts = (b" ".join(whole[a:b].lower().split()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+    return [hashlib.blake2b(t, digest_size=16).digest() if t else None for t in texts]
+
+
+def _shingles(data: np.ndarray, bounds: np.ndarray, width: int):
+    """The shingles of all documents: document, first word, number of words; and the words: starts, ends, numbers."""
+    starts, ends, wb = K.words(data, bounds)
+    number, distinct = K.interned(data, starts, ends)
+    n = np.diff(wb)
+    full = np.flatnonzero(K.spans(wb, width)) if len(number) else np.empty(0, np.int64)
+    short = np.flatnonzero((n > 0) & (n < width))
+    doc = np.concatenate([np.searchsorted(wb, full, side="right") - 1, short])
+    return doc, np.concatenate([full, wb[short]]), np.concatenate([np.full(len(full), width), n[short]]), number, distinct
+
+
+def _unequal(number: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether the words from places a and b differ."""
+    differ = size_a != size_b
+    for t in range(int(size_a.max(initial=0))):
+        inside = (t < size_a) & (t < size_b)
+        differ |= inside & (number[np.where(inside, a + t, 0)] != number[np.where(inside, b + t, 0)])
+    return differ
+
+
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all documents, sorted within each, and the sets' bounds.
+    """Hashes of each document's distinct shingles, sorted within it, and the sets' bounds; the same in every task.
 
     Words are lower-cased (A-Z). A document of fewer than `width` words has
     its whole sequence as its only shingle; one without words has none.
+    Distinct is decided by the words: if two differ and their hashes agree,
+    both stay.
     """
-    starts, ends, wb = K.words(data, bounds)
-    value = K.word_hashes(_fold[data], starts, ends)
+    doc, at, size, number, distinct = _shingles(_fold[data], bounds, width)
+    value = np.fromiter((xxhash.xxh3_64_intdigest(w, K.SEED) for w in distinct.to_pylist()), np.uint64, len(distinct))[number]
     pre = K.prefix(value)
-    n = np.diff(wb)
-    full = np.flatnonzero(K.spans(wb, width)) if len(value) else np.empty(0, np.int64)
-    short = np.flatnonzero((n > 0) & (n < width))
-    doc = np.concatenate([np.searchsorted(wb, full, side="right") - 1, short])
-    token = np.concatenate([K.span_hash(pre, full, full + width), K.span_hash(pre, wb[short], wb[short + 1])])
+    token = K.span_hash(pre, at, at + size)
     order = np.lexsort((token, doc))
-    doc, token = doc[order], token[order]
+    doc, token, at, size = doc[order], token[order], at[order], size[order]
     first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])
-    doc, token = doc[first], token[first]
-    return token, np.searchsorted(doc, np.arange(len(n) + 1))
-
-
-def set_sums(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of each whole set, whatever the order; of its size too."""
-    total = np.zeros(len(token) + 1, np.uint64)
-    np.cumsum(K.mix(token ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64, out=total[1:])
-    size = np.diff(bounds).astype(np.uint64)
-    return K.mix(total[bounds[1:]] - total[bounds[:-1]] + K.mix(size))
+    first[1:] = (doc[1:] != doc[:-1]) | (token[1:] != token[:-1]) | _unequal(number, at[1:], at[:-1], size[1:], size[:-1])
+    return token[first], np.searchsorted(doc[first], np.arange(len(bounds)))
+
+
+def exact_sets(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles as numbers that are equal only for equal words, sorted within it, and the bounds."""
+    data, bounds = joined(pa.array(texts, pa.large_binary()))
+    doc, at, size, number, _ = _shingles(_fold[data], bounds, width)
+    # numbers of shingles, built up word by word
+    token = np.zeros(len(at), np.int64)
+    most = int(number.max(initial=0)) + 2
+    for t in range(width):
+        word = np.where(t < size, number[np.minimum(at + t, max(len(number) - 1, 0))] + 1, 0) if len(number) else token
+        token = np.unique(token * most + word, return_inverse=True)[1].astype(np.int64)
+    kinds = int(token.max(initial=0)) + 1
+    key = np.unique(doc * kinds + token)
+    return key % kinds, np.searchsorted(key // kinds, np.arange(len(bounds)))
 
 
 @lru_cache
