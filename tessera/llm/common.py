@@ -102,6 +102,14 @@ def record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as it needs to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def per_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of the values of each document."""
     total = np.zeros(len(values) + 1, np.int64)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import session, table
+from .common import free_name, session, table
 
 SALTS = 64
 #: A digest with more than one in so many rows is hot; there are fewer hot ones than this.
@@ -59,6 +59,19 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sal
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs (with doc_id, text) that exact_dedup keeps, unchanged.
+
+    Of equal texts the largest doc_id stays; rows that repeat it with its text
+    stay with it. Rows without a doc_id stay only where no row of their text
+    has one.
+    """
+    digest = free_name(docs.columns, "digest")
+    gone = exact_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    keyed = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col(digest) == F.col("_sha")), "left_anti").drop(digest)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

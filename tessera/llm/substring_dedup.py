@@ -74,7 +74,7 @@ def least_documents(contents: list[bytes], doc: np.ndarray, start: np.ndarray, n
     return out, np.zeros(len(out), np.int64)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], with_row: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         data, bounds = joined(batch.column("text"))
         a, b, wb = K.words(data, bounds)
@@ -86,26 +86,26 @@ def _rows(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...] = ()) -> Ite
             lost.append(int(drop.sum()))
             texts.append(b" ".join([w for w, d in zip(own, drop.tolist()) if not d] if lost[-1] else own))
         kept = pa.array([t.decode() for t in texts], pa.string())
-        yield record(doc_id=batch.column("doc_id"), n_words=np.diff(wb), n_removed=pa.array(lost, pa.int64()), kept=kept, **{c: batch.column(c) for c in carry})
+        yield record(doc_id=batch.column("doc_id"), n_words=np.diff(wb), n_removed=pa.array(lost, pa.int64()), kept=kept, **({"row": batch.column("row")} if with_row else {}))
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_row: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
 
     A word goes if a window of 50 consecutive words that covers it also starts
     in a document of smaller doc_id, judged on the input. doc_id is the key of
     docs: rows that repeat it with the same text get the same answer. Rows
     with a null doc_id keep all words and take none from others. Null and
-    empty texts have no words; texts shorter than a window keep all. The
-    columns named in carry come along as they are; others are ignored.
+    empty texts have no words; texts shorter than a window keep all. An empty
+    table gives no rows. Other columns of docs are ignored; with_row adds the
+    whole row of docs as one column `row`, whatever its columns' names.
     """
     session(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spans = removed_spans(rows, WINDOWS, least_documents, strict=True)
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[c for c in carry if c not in ("doc_id", "text")])
-    schema = ", ".join(f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in carry if c != "doc_id")
-    schema = "doc_id long, n_words long, n_removed long, kept string" + (f", {schema}" if schema else "")
-    return whole.join(spans, "doc_id", "left").mapInArrow(lambda x: _rows(x, tuple(c for c in carry if c != "doc_id")), schema)
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*docs.columns).alias("row")] if with_row else []))
+    schema = "doc_id long, n_words long, n_removed long, kept string" + (f", row {whole.schema['row'].dataType.simpleString()}" if with_row else "")
+    return whole.join(spans, "doc_id", "left").mapInArrow(lambda x: _rows(x, with_row), schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
