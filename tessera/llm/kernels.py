@@ -143,11 +143,10 @@ def anchors(values: np.ndarray, bounds: np.ndarray, width: int, k: int):
     Two equal windows have the same least k-gram, so they get the same hash,
     wherever they stand. Consecutive windows of a document that share it form
     one segment. Returns arrays: document, first window's start in the
-    document, number of windows, the k-gram's hash, the whole segment's hash
-    (of the values from the first window's start to the last window's end).
+    document, number of windows, the k-gram's hash.
     """
     empty = np.empty(0, np.int64)
-    none = empty, empty, empty, empty.astype(U64), empty.astype(U64)
+    none = empty, empty, empty, empty.astype(U64)
     ok = spans(bounds, width)
     if not ok.any():
         return none
@@ -165,4 +164,4 @@ def anchors(values: np.ndarray, bounds: np.ndarray, width: int, k: int):
     count = np.diff(np.append(head, len(start)))
     s0 = start[head]
     doc = np.searchsorted(bounds, s0, side="right") - 1
-    return doc, s0 - bounds[doc], count, gram[at[head]], span_hash(pre, s0, s0 + count + width - 1)
+    return doc, s0 - bounds[doc], count, gram[at[head]]

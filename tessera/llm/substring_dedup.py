@@ -1,11 +1,13 @@
 """Substring deduplication of word windows by a compressed FM-index for each shard.
 
-repeats.py deals the contents that may hold a repeated window to shards. Each
-shard's contents are indexed, and the same contents are streamed through the
-index from right to left, all at once: a backward step takes in the next word;
-once `width` words match, the interval first falls back to its parent of width
-- 1 words. The matching statistic so stays at most `width`; where it reaches
-it, the interval gives the least document in which the window occurs.
+repeats.py deals the contents that may hold a repeated window to shards. Of
+each key's contents all but the latest are indexed, as only they can come
+before another, and all but the earliest are streamed through the index from
+right to left, all at once. A backward step takes in the next word; where the
+interval would be empty, the match falls back to the longest shorter one whose
+interval is larger, until the word fits: these are matching statistics, cut off
+at `width` words. Places where they reach it are reported, with the least
+document in the interval.
 """
 
 from __future__ import annotations
@@ -25,52 +27,81 @@ from .repeats import Windows, covered, removed_spans
 WINDOWS = Windows("words", width=50, k=16, shard_tokens=300_000)
 
 
-def least_documents(contents: list[bytes], doc: np.ndarray, start: np.ndarray, n: np.ndarray, width: int = WINDOWS.width):
-    """For every window of every content: the least document it occurs in, and 0 for its place."""
-    data, bounds = joined(pa.array(contents, pa.binary()))
-    a, b, wb = K.words(data, bounds)
-    symbol, text = np.unique(K.word_hashes(data, a, b), return_inverse=True)
-    size = np.diff(wb)  # words of each content: n + width - 1
-    begin = wb[:-1] + np.arange(len(size))
-    # each content, then a separator
-    line = np.zeros(len(text) + len(size), np.int64)
-    line[np.arange(len(text)) + np.repeat(np.arange(len(size)), size)] = text + 1
-    alphabet = len(symbol) + 1
-    index = FMIndex(line, alphabet, width)
-
-    # blocks of suffixes that agree in their first width (or width - 1) words
-    pre = K.prefix(K.mix(line.astype(np.uint64) + np.uint64(1)))
-    order = index.order
-
-    def blocks(depth: int) -> np.ndarray:
-        key = K.span_hash(pre, order, np.minimum(order + depth, len(line)))
-        head = np.ones(len(line), bool)
-        head[1:] = key[1:] != key[:-1]
-        return np.flatnonzero(head)
+def matching_statistics(index: FMIndex, stream: np.ndarray, bounds: np.ndarray, width: int):
+    """Yields (places, lengths, low, high): how many symbols of a stream from a place on occur in the index, `width` at most.
 
-    full, parent = blocks(width), blocks(width - 1)
-    owner = np.repeat(doc, size + 1)
-    least = np.minimum.reduceat(owner[order], full)
-    parent_end = np.append(parent[1:], len(line))
-
-    out = np.full(int(n.sum()), np.iinfo(np.int64).max)
-    out_at = np.concatenate([[0], np.cumsum(n)])
-    # longest first, so that the contents still being read are the first ones
+    stream: the streams one after another (0: not in the index), from bounds.
+    Streams go from right to left in step, the longest first, so that those
+    still being read are the first ones.
+    """
+    size = np.diff(bounds)
     by_size = np.argsort(-size, kind="stable")
-    low, high, match = np.zeros(len(size), np.int64), np.full(len(size), len(line), np.int64), np.zeros(len(size), np.int64)
+    low, high, match = np.zeros(len(size), np.int64), np.full(len(size), index.size, np.int64), np.zeros(len(size), np.int64)
     for step in range(int(size.max(initial=0))):
         live = by_size[: np.searchsorted(-size[by_size], -step, side="left")]
-        at = begin[live] + size[live] - 1 - step
-        lo, hi = low[live], high[live]
-        whole = match[live] == width
-        up = np.searchsorted(parent, lo[whole], side="right") - 1
-        lo[whole], hi[whole] = parent[up], parent_end[up]
-        lo, hi = index.step(line[at], lo, hi)
-        found = np.minimum(match[live] + 1, width)
-        low[live], high[live], match[live] = lo, hi, found
-        hit = found == width
-        window = at[hit] - begin[live[hit]]
-        out[out_at[live[hit]] + window] = least[np.searchsorted(full, lo[hit], side="right") - 1]
+        at = bounds[live + 1] - 1 - step
+        symbol, lo, hi, length = stream[at], low[live], high[live], match[live]
+        full = np.flatnonzero(length == width)
+        lo[full], hi[full] = index.widen(lo[full], hi[full], np.full(len(full), width - 1))
+        length[full] = width - 1
+        strange = symbol == 0
+        lo[strange], hi[strange], length[strange] = 0, index.size, 0
+        pending = np.flatnonzero(~strange)
+        while len(pending):
+            a, b = index.step(symbol[pending], lo[pending], hi[pending])
+            ok = a < b
+            done = pending[ok]
+            lo[done], hi[done] = a[ok], b[ok]
+            length[done] += 1
+            pending = pending[~ok]
+            pending = pending[length[pending] > 0]  # nothing shorter than nothing
+            lo[pending], hi[pending], length[pending] = index.shorten(lo[pending], hi[pending])
+        low[live], high[live], match[live] = lo, hi, length
+        yield at, length, lo, hi
+
+
+def least_documents(contents: pa.Array, route: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, width: int = WINDOWS.width):
+    """For every window of every content: the least document it occurs in (its own one at most), and 0 for its place."""
+    data, bounds = joined(contents)
+    a, b, wb = K.words(data, bounds)
+    number = K.interned(data, a, b)[0].astype(np.int64)
+    size = np.diff(wb)  # words of each content: n + width - 1
+    out = np.repeat(doc, n)
+    out_at = np.cumsum(n) - n
+    order = np.lexsort((doc, route))
+    change = route[order][1:] != route[order][:-1]
+    latest, earliest = order[np.append(change, True)], order[np.append(True, change)]
+    indexed, streamed = np.ones(len(n), bool), np.ones(len(n), bool)
+    indexed[latest] = False
+    streamed[earliest] = False
+    indexed, streamed = np.flatnonzero(indexed), np.flatnonzero(streamed)
+    if not len(indexed):
+        return out, np.zeros(len(out), np.int64)
+
+    def laid(which: np.ndarray) -> np.ndarray:
+        """The words' places of some contents, one content after another."""
+        return np.repeat(wb[which] - (np.cumsum(size[which]) - size[which]), size[which]) + np.arange(int(size[which].sum()))
+
+    # each indexed content, then a separator; symbols are numbered among the indexed words
+    words = number[laid(indexed)]
+    symbol = np.zeros(int(number.max()) + 1, np.int64)
+    symbol[words] = 1
+    alphabet = int(symbol.sum()) + 1
+    symbol[symbol > 0] = np.arange(1, alphabet)
+    line = np.zeros(len(words) + len(indexed), np.int64)
+    line[np.arange(len(words)) + np.repeat(np.arange(len(indexed)), size[indexed])] = symbol[words]
+    index = FMIndex(line, alphabet, width)
+    # the least document of each block of suffixes that agree in `width` words
+    owner = np.repeat(doc[indexed], size[indexed] + 1)[index.order]
+    block = np.flatnonzero(index.common[0][:-1] < width)
+    least = np.minimum.reduceat(owner, block)
+
+    bounds = np.concatenate([[0], np.cumsum(size[streamed])])
+    for at, length, low, _ in matching_statistics(index, symbol[number[laid(streamed)]], bounds, width):
+        hit = np.flatnonzero(length >= width)
+        which = np.searchsorted(bounds, at[hit], side="right") - 1
+        place = out_at[streamed[which]] + at[hit] - bounds[which]
+        out[place] = np.minimum(out[place], least[np.searchsorted(block, low[hit], side="right") - 1])
     return out, np.zeros(len(out), np.int64)
 
 

@@ -23,13 +23,14 @@ from .repeats import Windows, covered, removed_spans
 WINDOWS = Windows("bytes", width=100, k=24, shard_tokens=4_000_000)
 
 
-def first_places(contents: list[bytes], doc: np.ndarray, start: np.ndarray, n: np.ndarray, width: int = WINDOWS.width):
+def first_places(contents: pa.Array, route: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, width: int = WINDOWS.width):
     """For every window of every content: the document and byte where it starts first."""
     # UTF-8 has no byte over 0xF4: two symbols are free below the bytes, for the separators and the end
-    line = np.frombuffer(b"\xff".join(contents) + b"\xff\xfe", np.uint8)
-    text = np.where(line == 0xFF, 1, line + np.uint8(2)).astype(np.uint8)
     size = n + width - 1
     begin = np.cumsum(size + 1) - size - 1
+    text = np.ones(int(size.sum()) + len(size) + 1, np.uint8)
+    text[np.repeat(begin, size) + _within(size)] = joined(contents)[0] + np.uint8(2)
+    text[-1] = 0
     order, common = sorted_suffixes(text, width)
     window = np.zeros(len(text), bool)
     window[np.repeat(begin, n) + _within(n)] = True
