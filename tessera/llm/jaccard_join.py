@@ -104,12 +104,11 @@ def compared(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         hub_text, hub_key = None, None
         for batch in slices(batches):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            text = [x.encode() for x in batch.column("text").to_pylist()]
             # row 0 is the hub that the batch before ended with
-            text, a, b = [hub_text or b"", *text], [None, *a], [hub_key, *b]
+            text, a, b = [hub_text or "", *batch.column("text").to_pylist()], [None, *a], [hub_key, *b]
             is_hub = np.array([x is None for x in a])
             own = np.maximum.accumulate(np.where(is_hub, np.arange(len(a)), 0))
-            token, bounds = J.exact_sets(text)
+            token, bounds = J.exact_sets(pa.array(text, pa.string()))
             size = np.diff(bounds)
             kinds = int(token.max(initial=0)) + 1
             row = np.repeat(np.arange(len(a)), size)
@@ -196,7 +195,7 @@ def block_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = key[1:]
-        token, bounds = J.exact_sets([x.encode() for x in pdf["text"]])
+        token, bounds = J.exact_sets(pa.array(pdf["text"], pa.large_string()))
         items = np.split(token, bounds[1:-1])
         whole, block = pdf["whole"].to_numpy(), pdf["block"].to_numpy()
         a = np.flatnonzero(block == i)
@@ -271,15 +270,17 @@ def _answers(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     first = worded.groupBy("whole").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
 
     signed = set_signatures(rows, percent)
-    shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
-    members = signed.join(shared, "sig", "left_semi").distinct()
+    shared = cut(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), release=True)
+    met = Written(signed.join(shared, "sig", "left_semi").distinct())
     # a signature of copies of one text decides nothing
-    several = members.groupBy("sig").agg(F.min("whole").alias("centre"), F.max("whole").alias("last")).filter("centre <> last").select("sig", "centre")
-    members = Written(members.join(several, "sig"))
+    several = met.df.groupBy("sig").agg(F.min("whole").alias("centre"), F.max("whole").alias("last")).filter("centre <> last").select("sig", "centre")
+    members = Written(met.df.join(several, "sig"))
+    met.drop()
     sides = members.df.select("sig", "whole")
     spokes = members.df.filter("whole <> centre").select(F.col("whole").alias("a"), F.col("centre").alias("b"))
-    wanted = sides.select("whole").distinct().join(first.select("whole", "lead", "n"), "whole")
-    texts = Written(texts_of(rows, wanted))
+    # tables, so that Spark knows their sizes when it chooses how to join
+    wanted = Written(sides.select("whole").distinct().join(first.select("whole", "lead", "n"), "whole"))
+    texts = Written(texts_of(rows, wanted.df))
 
     one = spokes.groupBy("a").agg(F.min("b").alias("b"))
     links = cut(compared(one, texts.df, percent))
@@ -293,8 +294,8 @@ def _answers(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     rest = cut(_open(sides, parts, 3).select("sig", "whole"))
     links = cut(links.union(block_links(rest, texts.df, percent)), release=True)
     parts = _components(links)
-    members.drop()
-    texts.drop()
+    for written in (members, wanted, texts):
+        written.drop()
 
     # a component's least doc_id, by way of each text's least doc_id
     lead = first.join(parts, "whole", "left").select("whole", "lead", "copies", F.coalesce("part", "whole").alias("part"))

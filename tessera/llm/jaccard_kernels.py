@@ -7,7 +7,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 from . import kernels as K
 from .common import joined
@@ -29,55 +28,85 @@ def digests(data: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
     return [hashlib.blake2b(t, digest_size=16).digest() if t else None for t in texts]
 
 
-def _shingles(data: np.ndarray, bounds: np.ndarray, width: int):
-    """The shingles of all documents: document, first word, number of words; and the words: starts, ends, numbers."""
-    starts, ends, wb = K.words(data, bounds)
-    number, distinct = K.interned(data, starts, ends)
+def _shingles(wb: np.ndarray, width: int):
+    """The shingles of all documents, whose words start at wb: document, first word, number of words."""
     n = np.diff(wb)
-    full = np.flatnonzero(K.spans(wb, width)) if len(number) else np.empty(0, np.int64)
+    full = np.flatnonzero(K.spans(wb, width)) if wb[-1] else np.empty(0, np.int64)
     short = np.flatnonzero((n > 0) & (n < width))
     doc = np.concatenate([np.searchsorted(wb, full, side="right") - 1, short])
-    return doc, np.concatenate([full, wb[short]]), np.concatenate([np.full(len(full), width), n[short]]), number, distinct
+    return doc, np.concatenate([full, wb[short]]), np.concatenate([np.full(len(full), width), n[short]])
 
 
-def _unequal(number: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+def _unequal(data, starts, ends, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Whether the words from places a and b differ."""
     differ = size_a != size_b
-    for t in range(int(size_a.max(initial=0))):
-        inside = (t < size_a) & (t < size_b)
-        differ |= inside & (number[np.where(inside, a + t, 0)] != number[np.where(inside, b + t, 0)])
+    if not len(a):
+        return differ
+    most = int(size_a.max())
+    used = np.unique(np.concatenate([np.minimum(x + t, len(starts) - 1) for x in (a, b) for t in range(most)]))
+    number = K.interned(data, starts[used], ends[used])[0]
+    for t in range(most):
+        inside = np.flatnonzero((t < size_a) & (t < size_b))
+        x, y = (number[np.searchsorted(used, z[inside] + t)] for z in (a, b))
+        differ[inside] |= x != y
     return differ
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each document's distinct shingles, sorted within it, and the sets' bounds; the same in every task.
+    """Hashes of each document's distinct shingles and the sets' bounds; the same in every task.
 
     Words are lower-cased (A-Z). A document of fewer than `width` words has
     its whole sequence as its only shingle; one without words has none.
     Distinct is decided by the words: if two differ and their hashes agree,
     both stay.
     """
-    doc, at, size, number, distinct = _shingles(_fold[data], bounds, width)
-    value = np.fromiter((xxhash.xxh3_64_intdigest(w, K.SEED) for w in distinct.to_pylist()), np.uint64, len(distinct))[number]
-    pre = K.prefix(value)
+    data = _fold[data]
+    starts, ends, wb = K.words(data, bounds)
+    doc, at, size = _shingles(wb, width)
+    pre = K.prefix(K.span_hash(K.prefix(K.BYTE_VALUE[data]), starts, ends))
     token = K.span_hash(pre, at, at + size)
-    order = np.lexsort((token, doc))
-    doc, token, at, size = doc[order], token[order], at[order], size[order]
+    # documents above the token's leading bits: one key to sort by
+    bits = np.uint64(max(1, int(len(bounds)).bit_length()))
+    key = doc.astype(np.uint64) << (np.uint64(64) - bits) | token >> bits
+    order = np.argsort(key)
+    key = key[order]
+    same = np.flatnonzero(key[1:] == key[:-1])
+    i, j = order[same], order[same + 1]
+    unequal = token[i] != token[j]
+    unequal |= _unequal(data, starts, ends, at[i], at[j], size[i], size[j])
     first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (token[1:] != token[:-1]) | _unequal(number, at[1:], at[:-1], size[1:], size[:-1])
-    return token[first], np.searchsorted(doc[first], np.arange(len(bounds)))
-
-
-def exact_sets(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingles as numbers that are equal only for equal words, sorted within it, and the bounds."""
-    data, bounds = joined(pa.array(texts, pa.large_binary()))
-    doc, at, size, number, _ = _shingles(_fold[data], bounds, width)
-    # numbers of shingles, built up word by word
+    if unequal.any():  # by the words themselves
+        numbers = _numbers(data, starts, ends, at, size, width)
+        _, keep = np.unique(doc * (int(numbers.max()) + 1) + numbers, return_index=True)
+        first = np.zeros(len(doc), bool)
+        first[keep] = True
+        row = order[first[order]]
+    else:
+        first[same + 1] = False
+        row = order[first]
+    return token[row], np.searchsorted(doc[row], np.arange(len(bounds)))
+
+
+def _numbers(data, starts, ends, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of shingles, equal only for equal words; built up word by word."""
     token = np.zeros(len(at), np.int64)
-    most = int(number.max(initial=0)) + 2
+    if not len(at):
+        return token
+    number = K.interned(data, starts, ends)[0]
+    most = int(number.max()) + 2
     for t in range(width):
-        word = np.where(t < size, number[np.minimum(at + t, max(len(number) - 1, 0))] + 1, 0) if len(number) else token
+        word = np.where(t < size, number[np.minimum(at + t, len(number) - 1)] + 1, 0)
         token = np.unique(token * most + word, return_inverse=True)[1].astype(np.int64)
+    return token
+
+
+def exact_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles as numbers that are equal only for equal words, sorted within it, and the bounds."""
+    data, bounds = joined(texts)
+    data = _fold[data]
+    starts, ends, wb = K.words(data, bounds)
+    doc, at, size = _shingles(wb, width)
+    token = _numbers(data, starts, ends, at, size, width)
     kinds = int(token.max(initial=0)) + 1
     key = np.unique(doc * kinds + token)
     return key % kinds, np.searchsorted(key // kinds, np.arange(len(bounds)))
