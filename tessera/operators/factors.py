@@ -5,16 +5,19 @@ with both factors adds to its vertex's statistics within each batch, the
 batches' sums are added for each vertex, and the vertex takes its new factor
 from the total. So a user or item with any number of ratings is summed in
 parts; no task holds all of them. Within a step all vertices of a side see the
-factors of the step before.
+factors of the step before. A batch's vertices are updated at once, by stacked
+matrices.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +30,19 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """gather(own, other, rows) -> statistics for each rating; apply(own, total, n) -> new factor.
+    """gather(own, other, rows) -> statistics for each rating; apply(own, total, n) -> new factors.
 
     own and other: rating x size arrays; rows: the ratings' columns (rating,
-    and time or weight if given).
+    and time or weight if given). apply takes the factors, summed statistics
+    and numbers of ratings of many vertices, a row each. After each iteration
+    the rate is multiplied by decay.
     """
 
     size: int = 8
     regularization: float = 0.05
     rate: float = 0.02
     seed: int = 7
+    decay: float = 1.0
 
     def start(self, ids: np.ndarray, side: int) -> np.ndarray:
         """A first factor for each id, from a seeded generator of its own."""
@@ -52,6 +58,10 @@ class Model:
     def predict(self, user: np.ndarray, item: np.ndarray, rows: pd.DataFrame, mean: float) -> np.ndarray:
         return np.einsum("ij,ij->i", user, item)
 
+    def scores(self, users: np.ndarray, items: np.ndarray, mean: float) -> np.ndarray:
+        """The prediction of every user (rows) for every item (columns)."""
+        return users @ items.T
+
     def gather(self, own, other, rows, mean, side) -> np.ndarray:
         raise NotImplementedError
 
@@ -76,12 +86,13 @@ class LeastSquares(Model):
         return np.hstack([square, q * (w * rows["rating"].to_numpy(float))[:, None]])
 
     def solve(self, a, b, own):
-        return np.linalg.solve(a, b)
+        return np.linalg.solve(a, b[..., None])[..., 0]
 
     def apply(self, own, total, n, side):
         d = self.size
-        a = total[: d * d].reshape(d, d) + np.eye(d) * self.regularization * (n if self.scaled else 1)
-        return self.solve(a, total[d * d :], own)
+        weight = n if self.scaled else np.ones(len(n))
+        a = total[:, : d * d].reshape(-1, d, d) + np.eye(d) * (self.regularization * weight)[:, None, None]
+        return self.solve(a, total[:, d * d :], own)
 
 
 class WeightedLeastSquares(LeastSquares):
@@ -106,14 +117,19 @@ class CoordinateDescent(LeastSquares):
 
     def solve(self, a, b, own):
         x = own.copy()
-        for t in range(len(x)):
-            x[t] += (b[t] - a[t] @ x) / a[t, t]
+        for t in range(x.shape[1]):
+            x[:, t] += (b[:, t] - np.einsum("nj,nj->n", a[:, t], x)) / a[:, t, t]
         return x
 
 
-def cosamp(a: np.ndarray, b: np.ndarray, sparsity: int, steps: int = 20) -> np.ndarray:
-    """Compressive sampling matching pursuit: x with at most `sparsity` entries and a x about b."""
-    x = np.zeros(a.shape[1])
+def cosamp(a: np.ndarray, b: np.ndarray, sparsity: int, steps: int = 20, enough: float = 1e-4) -> np.ndarray:
+    """Compressive sampling matching pursuit: x with at most `sparsity` entries and a x about b.
+
+    Each step solves on the columns that correlate most with what is left and
+    the support so far, and keeps the largest entries. It ends when the rest
+    is small or no longer falls; the best x is returned.
+    """
+    x, rest = np.zeros(a.shape[1]), np.linalg.norm(b)
     for _ in range(steps):
         proxy = np.abs(a.T @ (b - a @ x))
         support = np.union1d(np.argsort(-proxy, kind="stable")[: 2 * sparsity], np.flatnonzero(x)).astype(int)
@@ -121,9 +137,12 @@ def cosamp(a: np.ndarray, b: np.ndarray, sparsity: int, steps: int = 20) -> np.n
         best = np.argsort(-np.abs(z), kind="stable")[:sparsity]
         new = np.zeros_like(x)
         new[support[best]] = z[best]
-        if np.allclose(new, x):
-            return new
-        x = new
+        left = np.linalg.norm(b - a @ new)
+        if left >= rest and x.any():
+            break
+        x, rest = new, left
+        if rest < enough:
+            break
     return x
 
 
@@ -133,7 +152,7 @@ class SparseLeastSquares(LeastSquares):
     sparsity = 4
 
     def solve(self, a, b, own):
-        return cosamp(a, b, self.sparsity)
+        return np.stack([cosamp(x, y, self.sparsity) for x, y in zip(a, b)])
 
 
 class Nonnegative(Model):
@@ -145,7 +164,7 @@ class Nonnegative(Model):
 
     def apply(self, own, total, n, side):
         d = self.size
-        return np.maximum(own * total[:d] / np.maximum(total[d:], 1e-9), 1e-9)
+        return np.maximum(own * total[:, :d] / np.maximum(total[:, d:], 1e-9), 1e-9)
 
 
 class Gradient(Model):
@@ -162,7 +181,7 @@ class Gradient(Model):
         return self.error(own, other, rows, mean, side)[:, None] * self.slope(own, other, rows, side)
 
     def apply(self, own, total, n, side):
-        return own + self.rate * (total / np.sqrt(n) - self.regularization * own)
+        return own + self.rate * (total / np.sqrt(n)[:, None] - self.regularization * own)
 
 
 class BiasedGradient(Gradient):
@@ -175,6 +194,9 @@ class BiasedGradient(Gradient):
     def predict(self, user, item, rows, mean):
         return mean + user[:, -1] + item[:, -1] + np.einsum("ij,ij->i", user[:, :-1], item[:, :-1])
 
+    def scores(self, users, items, mean):
+        return mean + users[:, -1:] + items[:, -1] + users[:, :-1] @ items[:, :-1].T
+
     def slope(self, own, other, rows, side):
         return np.hstack([other[:, :-1], np.ones((len(other), 1))])
 
@@ -186,8 +208,13 @@ class LogisticGradient(BiasedGradient):
     low, high = 0.0, 60.0
 
     def predict(self, user, item, rows, mean):
-        z = super().predict(user, item, rows, 0.0)
-        return self.low + (self.high - self.low) / (1 + np.exp(-z))
+        return self._open(super().predict(user, item, rows, 0.0))
+
+    def _open(self, z):
+        return self.low + (self.high - self.low) * _logistic(z)
+
+    def scores(self, users, items, mean):
+        return self._open(super().scores(users, items, 0.0))
 
     def error(self, own, other, rows, mean, side):
         e = super().error(own, other, rows, mean, side) / (self.high - self.low)
@@ -195,27 +222,48 @@ class LogisticGradient(BiasedGradient):
 
 
 class ImplicitGradient(BiasedGradient):
-    """Items carry a second factor y; a user's factor is shifted by the mean of the y of rated items (kept in the user's state)."""
+    """SVD++: mean + both biases + q.(p + sum of y / sqrt(n)), with the y of each of the user's n rated items.
+
+    A user is p, the weighted sum of y, the weighted sum of error * q that y's slope needs, n and bu; an item q, y and
+    bi. As all y of a user move at once, an item's step of y is divided by the mean n of its users.
+    """
 
     @property
     def width(self):
-        return 2 * self.size + 1
+        return 3 * self.size + 2
+
+    def start(self, ids, side):
+        d, out = self.size, super().start(ids, side)
+        if side == 1:
+            out = out[:, : 2 * d + 1]
+        else:
+            out[:, d:] = 0.0
+        out[:, -1] = 0.0
+        return out
 
     def predict(self, user, item, rows, mean):
         d = self.size
         return mean + user[:, -1] + item[:, -1] + np.einsum("ij,ij->i", user[:, :d] + user[:, d : 2 * d], item[:, :d])
 
+    def scores(self, users, items, mean):
+        d = self.size
+        return mean + users[:, -1:] + items[:, -1] + (users[:, :d] + users[:, d : 2 * d]) @ items[:, :d].T
+
     def gather(self, own, other, rows, mean, side):
         d, e = self.size, self.error(own, other, rows, mean, side)[:, None]
         if side == 0:
-            return np.hstack([e * other[:, :d], other[:, d : 2 * d], e])
-        return np.hstack([e * (other[:, :d] + other[:, d : 2 * d]), e * own[:, :d], e])
+            return np.hstack([e * other[:, :d], other[:, d : 2 * d], e * other[:, :d], np.zeros_like(e), e])
+        return np.hstack([e * (other[:, :d] + other[:, d : 2 * d]), other[:, 2 * d : 3 * d], e, other[:, -2:-1]])
 
     def apply(self, own, total, n, side):
-        d = self.size
-        new = super().apply(own, total, n, side)
+        d, root = self.size, np.sqrt(n)[:, None]
+        if side == 1:
+            total, counts = total[:, :-1].copy(), total[:, -1]
+            total[:, d : 2 * d] *= (n / np.maximum(counts, 1.0))[:, None]
+        new = own + self.rate * (total / root - self.regularization * own)
         if side == 0:
-            new[d : 2 * d] = total[d : 2 * d] / n
+            new[:, d : 3 * d] = total[:, d : 3 * d] / root
+            new[:, -2] = n
         return new
 
 
@@ -257,14 +305,17 @@ class TimeGradient(Model):
     def apply(self, own, total, n, side):
         d = self.size
         if side == 1:
-            total, counts = total[:-1].copy(), total[-1]
-            total[d : 2 * d] *= n / max(counts, 1.0)
-        new = own + self.rate * (total / (n if side == 2 else np.sqrt(n)) - self.regularization * own)
+            total, counts = total[:, :-1].copy(), total[:, -1]
+            total[:, d : 2 * d] *= (n / np.maximum(counts, 1.0))[:, None]
+        new = own + self.rate * (total / (n if side == 2 else np.sqrt(n))[:, None] - self.regularization * own)
         if side == 0:
-            new[3 * d : 5 * d] = total[3 * d : 5 * d] / np.sqrt(n + 10)
-            new[-2] = n
+            new[:, 3 * d : 5 * d] = total[:, 3 * d : 5 * d] / np.sqrt(n + 10)[:, None]
+            new[:, -2] = n
         return new
 
+    def scores(self, users, items, mean):
+        raise ValueError("a prediction needs a time; use predict")
+
 
 class RankGradient(Model):
     """CLiMF: ascends the smoothed reciprocal rank of a user's relevant items (rating at or over a threshold).
@@ -283,12 +334,15 @@ class RankGradient(Model):
         """The predicted reciprocal rank, in 0..1."""
         return _logistic(np.einsum("ij,ij->i", user, item))
 
+    def scores(self, users, items, mean):
+        return _logistic(users @ items.T)
+
     def gather(self, own, other, rows, mean, side):
         bound = (0.25 + rows["relevant"].to_numpy(float) / 2) * np.einsum("ij,ij->i", other, other)
         return np.hstack([other * rows["slope"].to_numpy(float)[:, None], bound[:, None]])
 
     def apply(self, own, total, n, side):
-        return own + (total[:-1] - self.regularization * own) / (total[-1] + self.regularization)
+        return own + (total[:, :-1] - self.regularization * own) / (total[:, -1:] + self.regularization)
 
 
 class SampledFactors(LeastSquares):
@@ -304,6 +358,9 @@ class SampledFactors(LeastSquares):
     def predict(self, user, item, rows, mean):
         return np.einsum("ij,ij->i", user, item) / (user.shape[1] // self.size)
 
+    def scores(self, users, items, mean):
+        return users @ items.T / (users.shape[1] // self.size)
+
     def hyper(self, n: int, total: np.ndarray, square: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
         """A side's mean and precision given the count, sum and sum of outer products of its factors."""
         d = self.size
@@ -349,6 +406,9 @@ class Boltzmann(Model):
         p = self._expected(user[:, : self.size], item.reshape(len(item), self.bins, self.size))
         return self.low + (p * (np.arange(self.bins) + 0.5)).sum(axis=1) * (self.high - self.low) / self.bins
 
+    def scores(self, users, items, mean):
+        return np.stack([self.predict(np.broadcast_to(u, (len(items), len(u))), items, None, mean) for u in users])
+
     def gather(self, own, other, rows, mean, side):
         v, d = self._visible(rows), self.size
         if side == 0:
@@ -360,8 +420,8 @@ class Boltzmann(Model):
 
     def apply(self, own, total, n, side):
         if side == 0:
-            return 1 / (1 + np.exp(-total))
-        return own + self.rate * (total / np.sqrt(n) - self.regularization * own)
+            return _logistic(total)
+        return own + self.rate * (total / np.sqrt(n)[:, None] - self.regularization * own)
 
 
 def _start(ids: DataFrame, model: Model, side: int) -> DataFrame:
@@ -372,31 +432,65 @@ def _start(ids: DataFrame, model: Model, side: int) -> DataFrame:
     return ids.mapInPandas(run, "id long, f array<double>")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x, float).ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def _scalars(batch: pa.RecordBatch) -> pd.DataFrame:
+    return batch.select([f.name for f in batch.schema if not pa.types.is_list(f.type)]).to_pandas()
+
+
+def _summed(ids: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    """id, s, n: the rows of s added up for each id."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    head = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    total = np.add.reduceat(s[order], head, axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(ids[head]), _lists(total), pa.array(np.diff(np.append(head, len(ids))))], names=["id", "s", "n"])
+
+
 def _parts(ratings: DataFrame, own: DataFrame, other: DataFrame, model: Model, mean: float, side: int) -> DataFrame:
-    """id, s, n: sums of statistics of one side within batches, from ratings (own, other, rating, ...)."""
-    rows = ratings.join(other.select(F.col("id").alias("other"), F.col("f").alias("g")), "other").join(own.withColumnRenamed("id", "own"), "own")
+    """id, s, n: sums of statistics of one side within batches, from ratings (own, other, rating, ...).
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                s = model.gather(np.stack(pdf["f"]), np.stack(pdf["g"]), pdf, mean, side)
-                ids, at = np.unique(pdf["own"].to_numpy(), return_inverse=True)
-                total = np.zeros((len(ids), s.shape[1]))
-                np.add.at(total, at, s)
-                yield pd.DataFrame({"id": ids, "s": list(total), "n": np.bincount(at)})
+    The last join sorts the ratings by own, so a batch has few vertices and a
+    vertex few parts.
+    """
+    rows = ratings.join(other.select(F.col("id").alias("other"), F.col("f").alias("g")), "other").join(own.withColumnRenamed("id", "own").hint("merge"), "own")
 
-    return rows.mapInPandas(gather, "id long, s array<double>, n long")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s = model.gather(_matrix(batch.column("f")), _matrix(batch.column("g")), _scalars(batch), mean, side)
+                yield _summed(batch.column("own").to_numpy(), s)
 
+    return rows.mapInArrow(gather, "id long, s array<double>, n long")
 
-def _side_step(ratings: DataFrame, own: DataFrame, other: DataFrame, model: Model, mean: float, side: int) -> DataFrame:
-    """New factors (id, f) of one side, from ratings (own, other, rating, ...)."""
-    parts = _parts(ratings, own, other, model, mean, side).join(own, "id")
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        new = model.apply(np.array(pdf["f"].iloc[0], float), np.stack(pdf["s"]).sum(axis=0), int(pdf["n"].sum()), side)
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "f": [new]})
+def _applied(parts: DataFrame, own: DataFrame, model: Model, side: int) -> DataFrame:
+    """New factors (id, f) from the parts (id, s, n) of each vertex."""
+    sums = parts.groupBy("id").agg(F.collect_list("s").alias("s"), F.sum("n").alias("n")).join(own, "id")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s = batch.column("s")
+                inner = s.flatten()
+                head = np.concatenate([[0], np.cumsum(s.value_lengths().to_numpy())])[:-1]
+                total = np.add.reduceat(_matrix(inner), head, axis=0)
+                new = model.apply(_matrix(batch.column("f")), total, batch.column("n").to_numpy().astype(float), side)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(new)], names=["id", "f"])
 
-    return parts.groupBy("id").applyInPandas(apply, "id long, f array<double>")
+    return sums.mapInArrow(apply, "id long, f array<double>")
+
+
+def _side_step(ratings: DataFrame, own: DataFrame, other: DataFrame, model: Model, mean: float, side: int) -> DataFrame:
+    """New factors (id, f) of one side, from ratings (own, other, rating, ...)."""
+    return _applied(_parts(ratings, own, other, model, mean, side), own, model, side)
 
 
 @dataclass
@@ -405,6 +499,8 @@ class Fitted:
     users: DataFrame
     items: DataFrame
     mean: float
+    #: The validation set's RMSE after each iteration, where there was one.
+    history: list[float] = field(default_factory=list)
 
     def predict(self, ratings: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
         """ratings (user, item, ...) with prediction, clamped; users and items without a factor are dropped."""
@@ -486,7 +582,7 @@ def _with_sides(ratings: DataFrame, sides: list[DataFrame]) -> DataFrame:
 
 @dataclass
 class FittedTimes(Fitted):
-    times: DataFrame = None
+    times: DataFrame = None  # set by _fit_timed
 
     def predict(self, ratings: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
         """ratings (user, item, time, ...) with prediction, clamped; users, items and times without a factor are dropped."""
@@ -505,25 +601,18 @@ class FittedTimes(Fitted):
 def _timed_step(ratings: DataFrame, sides: list[DataFrame], model: Model, mean: float, side: int) -> DataFrame:
     """New factors (id, f) of one of the three sides; statistics are summed in batches as for two."""
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                f = [np.stack(pdf[f"_{i}"]) for i in range(3)]
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                f, rows = [_matrix(batch.column(f"_{i}")) for i in range(3)], _scalars(batch)
                 if isinstance(model, TimeGradient):
-                    s = model.gather_of(f, pdf, mean, side)
+                    s = model.gather_of(f, rows, mean, side)
                 else:
-                    s = model.gather(f[side], model.join(f[:side] + f[side + 1 :], pdf), pdf, mean, side)
-                ids, at = np.unique(pdf[KEYS[side]].to_numpy(), return_inverse=True)
-                total = np.zeros((len(ids), s.shape[1]))
-                np.add.at(total, at, s)
-                yield pd.DataFrame({"id": ids, "s": list(total), "n": np.bincount(at)})
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        new = model.apply(np.array(pdf["f"].iloc[0], float), np.stack(pdf["s"]).sum(axis=0), int(pdf["n"].sum()), side)
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "f": [new]})
+                    s = model.gather(f[side], model.join(f[:side] + f[side + 1 :], rows), rows, mean, side)
+                yield _summed(batch.column(KEYS[side]).to_numpy().astype(np.int64), s)
 
-    parts = _with_sides(ratings, sides).mapInPandas(gather, "id long, s array<double>, n long").join(sides[side], "id")
-    return parts.groupBy("id").applyInPandas(apply, "id long, f array<double>")
+    parts = _with_sides(ratings, sides).mapInArrow(gather, "id long, s array<double>, n long")
+    return _applied(parts, sides[side], model, side)
 
 
 def _fit_timed(ratings: DataFrame, model: Model, iterations: int) -> FittedTimes:
@@ -534,26 +623,46 @@ def _fit_timed(ratings: DataFrame, model: Model, iterations: int) -> FittedTimes
     for _ in range(iterations):
         for i in range(3):
             sides[i] = cut(_timed_step(ratings, sides, model, mean, i))
-    return FittedTimes(model, sides[0], sides[1], mean, sides[2])
+    return FittedTimes(model, sides[0], sides[1], mean, [], sides[2])
 
 
-def fit(ratings: DataFrame, model: Model, iterations: int = 4) -> Fitted:
+def _rmse(fitted: Fitted, rows: DataFrame) -> float:
+    e = F.col("rating") - F.col("prediction")
+    return fitted.predict(rows).agg(F.sqrt(F.avg(e * e))).first()[0] or 0.0
+
+
+def fit(ratings: DataFrame, model: Model, iterations: int = 4, validation: DataFrame | None = None, halt: bool = True) -> Fitted:
     """Alternates steps of users and items over ratings (user, item, rating, and weight or time if the model needs them).
 
-    Of SampledFactors, iterations are those averaged, after the burn-in.
+    Of SampledFactors, iterations are those averaged, after the burn-in. With
+    a validation set, its RMSE is taken after each iteration (of two-sided
+    models); with halt, training ends when it rises, and the factors from
+    before are kept. Nonnegative refuses negative ratings.
     """
+    ratings.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     if isinstance(model, (TensorLeastSquares, TimeGradient)):
         return _fit_timed(ratings, model, iterations)
     if isinstance(model, SampledFactors):
         return _sampled(ratings, model, iterations)
     ratings = cut(ratings)
-    mean = float(ratings.agg(F.avg("rating")).first()[0] or 0.0)
+    mean, least = ratings.agg(F.avg("rating"), F.min("rating")).first()
+    if isinstance(model, Nonnegative) and least is not None and least < 0:
+        raise ValueError("nonnegative factors need ratings of 0 or more")
     users = cut(_start(ratings.select(F.col("user").alias("id")).distinct(), model, 0))
     items = cut(_start(ratings.select(F.col("item").alias("id")).distinct(), model, 1))
-    for _ in range(iterations):
-        users = cut(_side_step(ratings.withColumnsRenamed({"user": "own", "item": "other"}), users, items, model, mean, 0))
-        items = cut(_side_step(ratings.withColumnsRenamed({"item": "own", "user": "other"}), items, users, model, mean, 1))
-    return Fitted(model, users, items, mean)
+    done = Fitted(model, users, items, float(mean or 0.0))
+    for i in range(iterations):
+        now = copy.copy(model)
+        now.rate = model.rate * model.decay**i
+        users = cut(_side_step(ratings.withColumnsRenamed({"user": "own", "item": "other"}), done.users, done.items, now, done.mean, 0))
+        items = cut(_side_step(ratings.withColumnsRenamed({"item": "own", "user": "other"}), done.items, users, now, done.mean, 1))
+        new = Fitted(model, users, items, done.mean, done.history)
+        if validation is not None:
+            new.history.append(_rmse(new, validation))
+            if halt and len(new.history) > 1 and new.history[-1] > new.history[-2]:
+                break
+        done = new
+    return done
 
 
 #: Relevant items in one part of a user, about; a user with n of them costs (n / PART)^2 rows.
@@ -620,74 +729,148 @@ def fit_rank(ratings: DataFrame, model: RankGradient, iterations: int = 4) -> tu
     return Fitted(model, users, items, 0.0), relevant
 
 
+#: Users, or items, of one block of top_items.
+BLOCK = 2048
+
+
 def top_items(fitted: Fitted, ratings: DataFrame, k: int) -> DataFrame:
-    """user, item, score, rank: the k best items that a user hasn't rated, by p.q.
+    """user, item, score, rank: the k best items that a user hasn't rated, by the model's own prediction, biases and all.
 
-    Items are dealt in blocks and users streamed against each block; only k
-    candidates of a user and block go on.
+    Users and items are dealt in blocks of about BLOCK; the task of a pair of
+    blocks makes one matrix of scores, and only k candidates of each of its
+    users go on.
     """
-    blocks = fitted.items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(16))).groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list("f").alias("fs"))
-    seen = ratings.groupBy("user").agg(F.collect_set("item").alias("seen"))
-    users = fitted.users.join(seen.withColumnRenamed("user", "id"), "id", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    size = fitted.model.size
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                ids = np.asarray(row.ids)
-                score = np.stack(row.fs)[:, :size] @ np.asarray(row.f)[:size]
-                ok = ~np.isin(ids, row.seen) if row.seen is not None else np.ones(len(ids), bool)
-                ids, score = ids[ok], score[ok]
-                at = np.lexsort((ids, -score))[:k]
-                out += [(row.id, i, s) for i, s in zip(ids[at].tolist(), score[at].tolist())]
-            yield pd.DataFrame(out, columns=["user", "item", "score"])
+    model, mean = fitted.model, fitted.mean
+    blocks = [max(1, -(-side.count() // BLOCK)) for side in (fitted.users, fitted.items)]
+    block = lambda c, side: F.pmod(F.xxhash64(c), F.lit(blocks[side])).cast("int")
+    each = lambda side: F.explode(F.sequence(F.lit(0), F.lit(blocks[side] - 1)))
+    none = F.lit(None).cast("array<double>")
+    users = fitted.users.select(block("id", 0).alias("a"), each(1).alias("b"), "id", F.lit(None).cast("long").alias("item"), "f")
+    seen = ratings.select(block("user", 0).alias("a"), block("item", 1).alias("b"), F.col("user").cast("long").alias("id"), F.col("item").cast("long").alias("item"), none.alias("f")).distinct()
+    items = fitted.items.select(each(0).alias("a"), block("id", 1).alias("b"), "id", "f")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = (x.to_pandas() for x in (left, right))
+        u, rated = left[left["f"].notna()].sort_values("id"), left[left["f"].isna()]
+        right = right.sort_values("id")
+        if not len(u) or not len(right):
+            return pa.table({"user": pa.array([], pa.int64()), "item": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        score = model.scores(np.stack(u["f"]), np.stack(right["f"]), mean)
+        ids, items = u["id"].to_numpy(), right["id"].to_numpy()
+        known = rated["id"].isin(ids) & rated["item"].isin(items)
+        score[np.searchsorted(ids, rated["id"][known]), np.searchsorted(items, rated["item"][known].astype(np.int64))] = -np.inf
+        # items are in order of id, so equal scores go to the smaller one
+        at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(score, at, axis=1)
+        ok = np.isfinite(value)
+        return pa.table({"user": np.broadcast_to(ids[:, None], at.shape)[ok], "item": items[at][ok], "score": value[ok]})
 
     from .etl import top_per_key
 
-    found = users.join(blocks, "block").select("id", "f", "seen", "ids", "fs").mapInPandas(best, "user long, item long, score double")
+    found = users.union(seen).groupBy("a", "b").cogroup(items.groupBy("a", "b")).applyInArrow(best, "user long, item long, score double")
     return top_per_key(found, "user", k, [F.desc("score"), "item"])
 
 
-def singular_values(entries: DataFrame, k: int, extra: int = 6, iterations: int = 6, seed: int = 3) -> np.ndarray:
-    """The k largest singular values of a sparse matrix (user, item, rating), by Lanczos-style block iteration.
+def _product(entries: DataFrame, base: DataFrame, key: str, to: str, width: int) -> DataFrame:
+    """The matrix (r, c, v), or its transpose, times the columns of base (id, f): a join and sums."""
+    hit = entries.join(base.withColumnRenamed("id", key), key)
+    return hit.groupBy(F.col(to).alias("id")).agg(F.array(*[F.sum(F.col("v") * F.col("f")[i]) for i in range(width)]).alias("f"))
 
-    The matrix is only multiplied (join and sum); the small bases of k + extra
-    columns are orthogonalized on the executors' sums of products, of which
-    only (k + extra)^2 numbers come to the driver.
-    """
-    width = k + extra
-    a = cut(entries.select(F.col("user").alias("r"), F.col("item").alias("c"), F.col("rating").cast("double").alias("v")))
 
-    class Start(Model):
-        @property
-        def width(self):
-            return width
+def _gram(base: DataFrame, width: int) -> np.ndarray:
+    """Inner products of the columns of base; width^2 numbers come to the driver."""
+    cells = [F.sum(F.col("f")[i] * F.col("f")[j]) for i in range(width) for j in range(i, width)]
+    g = np.zeros((width, width))
+    g[np.triu_indices(width)] = [x or 0.0 for x in base.agg(*cells).first()]
+    return g + np.triu(g, 1).T
 
-    def product(base: DataFrame, key: str, to: str) -> DataFrame:
-        hit = a.join(base.withColumnRenamed("id", key), key)
-        sums = [F.sum(F.col("v") * F.col("f")[i]) for i in range(width)]
-        return hit.groupBy(F.col(to).alias("id")).agg(F.array(*sums).alias("f"))
 
-    def gram(base: DataFrame) -> np.ndarray:
-        cells = [F.sum(F.col("f")[i] * F.col("f")[j]) for i in range(width) for j in range(i, width)]
-        row = base.agg(*cells).first()
-        g = np.zeros((width, width))
-        g[np.triu_indices(width)] = [x or 0.0 for x in row]
-        return g + np.triu(g, 1).T
+def _times(base: DataFrame, m: np.ndarray) -> DataFrame:
+    """The columns of base times a small matrix."""
+    columns = [sum((F.col("f")[i] * float(m[i, j]) for i in range(m.shape[0])), F.lit(0.0)) for j in range(m.shape[1])]
+    return base.select("id", F.array(*columns).alias("f"))
 
-    def scaled(base: DataFrame, m: np.ndarray) -> DataFrame:
-        columns = [sum((F.col("f")[i] * float(m[i, j]) for i in range(width)), F.lit(0.0)) for j in range(width)]
-        return base.select("id", F.array(*columns).alias("f"))
 
-    right = _start(a.select(F.col("c").alias("id")).distinct(), Start(seed=seed), 1)
+@dataclass
+class Decomposition:
+    """values, and the vectors as (id, f) of rows and columns; errors: |A v - value * u| for each value."""
+
+    values: np.ndarray
+    left: DataFrame
+    right: DataFrame
+    errors: np.ndarray
+
+
+class _Base(Model):
+    @property
+    def width(self):
+        return self.size
+
+
+def svd(entries: DataFrame, k: int, extra: int = 6, iterations: int = 6, tolerance: float = 1e-10, seed: int = 3) -> Decomposition:
+    """The k largest singular values and vectors of a sparse matrix (user, item, rating), by block iteration.
+
+    The matrix is only multiplied; the bases of k + extra columns are made
+    orthogonal by their inner products, which are all that comes to the
+    driver. Only one base is kept from step to step (the other follows from
+    it). Ends when the values no longer change by more than a tolerance.
+    """
+    width = k + extra
+    a = cut(entries.select(F.col("user").alias("r"), F.col("item").alias("c"), F.col("rating").cast("double").alias("v")))
+    right = _start(a.select(F.col("c").alias("id")).distinct(), _Base(size=width, seed=seed), 1)
     values = np.zeros(width)
     for _ in range(iterations):
         right = cut(right)
-        w, u = np.linalg.eigh(gram(right))
-        ok = np.maximum(w, 1e-12 * w.max())
-        right = cut(scaled(right, u / np.sqrt(ok)))
-        left = cut(product(right, "c", "r"))
-        values = np.sqrt(np.maximum(np.linalg.eigvalsh(gram(left))[::-1], 0))
-        right = product(left, "r", "c")
-    return values[:k]
+        w, u = np.linalg.eigh(_gram(right, width))
+        right = cut(_times(right, u / np.sqrt(np.maximum(w, 1e-12 * w.max()))))
+        left = cut(_product(a, right, "c", "r", width))
+        square, turn = np.linalg.eigh(_gram(left, width))
+        before, values = values, np.sqrt(np.maximum(square[::-1], 0))
+        if np.abs(values[:k] - before[:k]).max() <= tolerance * values[0]:
+            break
+        right, last = _product(a, left, "r", "c", width), right
+        last = (last, left, turn)
+    else:
+        right, left, turn = last
+    turn = turn[:, ::-1][:, :k]
+    scale = 1 / np.maximum(values[:k], 1e-300)
+    vectors = cut(_times(right, turn))
+    rows = cut(_times(left, turn * scale))
+    image = _product(a, vectors, "c", "r", k).join(rows.withColumnRenamed("f", "u"), "id")
+    apart = [F.sqrt(F.sum(F.pow(F.col("f")[i] - F.col("u")[i] * float(values[i]), F.lit(2)))) for i in range(k)]
+    return Decomposition(values[:k], rows, vectors, np.array(image.agg(*apart).first(), float))
+
+
+def svd_one_sided(entries: DataFrame, k: int, extra: int = 6, iterations: int = 6, seed: int = 3) -> Decomposition:
+    """The same for tall matrices: the long side's vectors are never stored between steps, only made at the end.
+
+    Each step multiplies by the matrix and its transpose at once, and only the short side is made orthogonal.
+    """
+    width = k + extra
+    a = cut(entries.select(F.col("user").alias("r"), F.col("item").alias("c"), F.col("rating").cast("double").alias("v")))
+    right = _start(a.select(F.col("c").alias("id")).distinct(), _Base(size=width, seed=seed), 1)
+    for _ in range(iterations):
+        right = cut(right)
+        w, u = np.linalg.eigh(_gram(right, width))
+        right = _times(right, u / np.sqrt(np.maximum(w, 1e-12 * w.max())))
+        right = _product(a, _product(a, right, "c", "r", width), "r", "c", width)
+    right = cut(right)
+    w, u = np.linalg.eigh(_gram(right, width))
+    right = cut(_times(right, u / np.sqrt(np.maximum(w, 1e-12 * w.max()))))
+    square, turn = np.linalg.eigh(_gram(_product(a, right, "c", "r", width), width))
+    values = np.sqrt(np.maximum(square[::-1][:k], 0))
+    vectors = cut(_times(right, turn[:, ::-1][:, :k]))
+    rows = _times(_product(a, vectors, "c", "r", k), np.diag(1 / np.maximum(values, 1e-300)))
+    image = _product(a, rows, "r", "c", k).join(vectors.withColumnRenamed("f", "u"), "id")
+    apart = [F.sqrt(F.sum(F.pow(F.col("f")[i] - F.col("u")[i] * float(values[i]), F.lit(2)))) for i in range(k)]
+    return Decomposition(values, rows, vectors, np.array(image.agg(*apart).first(), float))
+
+
+def multiply(entries: DataFrame, x: DataFrame, y: DataFrame | None = None, c: float = 1.0, d: float = 0.0, div: float = 1.0, transpose: bool = False) -> DataFrame:
+    """id, f: (c * A x + d * y) / div of a sparse matrix (user, item, rating) and vectors (id, f); missing entries are 0."""
+    key, to = ("user", "item") if transpose else ("item", "user")
+    image = entries.join(x.select(F.col("id").alias(key), "f"), key).groupBy(F.col(to).alias("id")).agg(F.sum(F.col("rating") * F.col("f")).alias("_ax"))
+    if y is None:
+        return image.select("id", (c * F.col("_ax") / div).alias("f"))
+    both = image.join(y.select("id", F.col("f").alias("_y")), "id", "full")
+    return both.select("id", ((c * F.coalesce("_ax", F.lit(0.0)) + d * F.coalesce("_y", F.lit(0.0))) / div).alias("f"))

@@ -69,7 +69,7 @@ def als_topn(spark, sf_dir):
 
 
 def svd(spark, sf_dir):
-    values = M.singular_values(ratings(spark, sf_dir), 4)
+    values = M.svd(ratings(spark, sf_dir), 4).values
     return spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(values)], "rank int, value double")
 
 
