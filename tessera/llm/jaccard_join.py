@@ -9,10 +9,12 @@ out what the links found before have already joined:
 1. each text with the least text of all that it shares a signature with;
 2. each text with the least text of every signature that isn't one component yet;
 3. signatures that still hold several components, of three texts or more: all
-   their texts, laid out in blocks, each pair of blocks in one task.
+   pairs of their texts, laid out in blocks, each pair of blocks in one task.
 Two texts that share a signature are thus compared themselves, or were joined
-by verified links before. Equal texts are one text from the start, known by
-128 bits of a cryptographic hash of their words.
+by verified links before. Pairs whose parity sketches differ in more bits than
+linked sets can differ in items are left out before their texts are read; that
+drops no link. Equal texts are one text from the start, known by 128 bits of a
+cryptographic hash of their words.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +32,12 @@ from ..operators.algorithms import connected_components
 from . import jaccard_kernels as J
 from .common import Written, cut, free_name, joined, record, session, slices, table
 
-#: A block holds about so many texts, or so many shingles, whichever comes first.
-BLOCK_SETS, BLOCK_ITEMS = 256, 400_000
+#: A block of a signature's texts holds about so many.
+BLOCK_SETS = 256
 #: A text that is compared with more others than this is dealt to several tasks.
 SPREAD = 512
-#: Columns of the matrices that are multiplied at once.
-COLUMNS = 4096
+#: Pairs whose sketches are compared at once.
+PAIRS = 1 << 15
 
 
 def shingle_counts(docs: DataFrame) -> DataFrame:
@@ -75,16 +76,40 @@ def set_signatures(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(whole, n, text) of the wanted (whole, lead, n), each read from a document with doc_id lead."""
+    """(whole, n, sketch, text) of the wanted (whole, lead), each read from a document with doc_id lead."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             key = pa.array(J.digests(*joined(batch.column("text"))), pa.binary())
             yield record(doc_id=batch.column("doc_id"), key=key, text=batch.column("text"))
 
-    keyed = docs.mapInArrow(rows, "doc_id long, key binary, text string")
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            token, bounds = J.shingle_sets(*joined(batch.column("text")))
+            sketch = pa.array([x.tobytes() for x in J.sketches(token, bounds)], pa.binary())
+            yield record(whole=batch.column("whole"), n=np.diff(bounds), sketch=sketch, text=batch.column("text"))
+
+    keyed = docs.mapInArrow(keys, "doc_id long, key binary, text string")
     found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("lead")) & (F.col("key") == F.col("whole")))
-    return found.select("lead", "whole", "n", "text").dropDuplicates(["lead", "whole"]).drop("lead")
+    found = found.select("lead", "whole", "text").dropDuplicates(["lead", "whole"]).select("whole", "text")
+    return found.mapInArrow(sketched, "whole binary, n long, sketch binary, text string")
+
+
+def _words64(column: pa.Array) -> np.ndarray:
+    return joined(column)[0].view(np.uint64).reshape(len(column), -1) if len(column) else np.empty((0, J.SKETCH_BITS // 64), np.uint64)
+
+
+def likely(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) whose sketches don't rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_words64(batch.column(c)) for c in ("sa", "sb"))
+            ok = J.may_link(x, y, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    side = lambda k: texts.select(F.col("whole").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    return edges.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
 
 
 def compared(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -125,92 +150,56 @@ def compared(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a binary, b binary")
 
 
-def links_of(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i of left, j of right) of linked sets; right None: pairs i < j of left.
+def likely_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (sig, whole, part) of one signature and different parts whose sketches don't rule a link out.
 
-    Intersections are counted exactly, by products of 0/1 matrices over the
-    items that occur in two sets or more.
+    Signatures with the same members are looked at once. A signature's texts
+    are laid out in blocks by a hash; the rows of blocks (i, j) lie together
+    in one partition, so no task holds more than two blocks of sketches at
+    once, whatever a signature's size.
     """
-    sets = left if right is None else left + right
-    size = np.array([len(x) for x in sets])
-    item, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    column = np.cumsum(often > 1) - 1
-    use = often[inverse] > 1
-    col, row = column[inverse[use]], owner[use]
-    order = np.argsort(col, kind="stable")
-    col, row = col[order], row[order]
-    n, m = len(left), len(sets) - len(left) if right is not None else len(left)
-    both = np.zeros((n, m), np.float32)
-    last = int(col[-1]) + 1 if len(col) else 0
-    for c in range(0, last, COLUMNS):
-        s, e = np.searchsorted(col, [c, c + COLUMNS])
-        x = np.zeros((len(sets), min(COLUMNS, last - c)), np.float32)
-        x[row[s:e], col[s:e] - c] = 1
-        both += x[:n] @ (x[:n] if right is None else x[n:]).T
-    a, b = size[:n], size[:n] if right is None else size[n:]
-    both = both.astype(np.int64)
-    linked = 100 * both >= percent * (a[:, None] + b[None, :] - both)
-    if right is None:
-        linked = np.triu(linked, 1)
-    return np.nonzero(linked)
-
-
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
-    """Indices of edges that connect what all edges (i, j) connect."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[x] = y
-            kept.append(k)
-    return kept
-
-
-def block_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect all that is linked among the members (sig, whole) of each signature.
-
-    Signatures with the same members are compared once. A signature's texts
-    are laid out in blocks by a hash; the task of blocks (i, j) compares the
-    texts of i with those of j, so no task holds more than two blocks.
-    """
-    sized = members.join(texts.select("whole", "n"), "whole")
-    groups = sized.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("whole")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "whole")).alias("y")
-    )
-    groups = groups.groupBy("sets", "total", "x", "y").agg(F.min("sig").alias("sig"))
-    groups = groups.select("sig", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), F.bit_xor(F.xxhash64("whole")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "whole")).alias("y"))
+    groups = groups.groupBy("sets", "x", "y").agg(F.min("sig").alias("sig"))
+    groups = groups.select("sig", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
     laid = members.join(groups, "sig").withColumn("block", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
-    laid = laid.select("sig", "block", "whole", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    laid = laid.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "whole")
-    laid = laid.join(texts.select("whole", "text"), "whole").repartition("sig", "i", "j")
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1:]
-        token, bounds = J.exact_sets(pa.array(pdf["text"], pa.large_string()))
-        items = np.split(token, bounds[1:-1])
-        whole, block = pdf["whole"].to_numpy(), pdf["block"].to_numpy()
-        a = np.flatnonzero(block == i)
-        if i == j:
-            x, y = links_of(items, None, percent) if len(items) > 1 else (a[:0], a[:0])
-        else:
-            b = np.flatnonzero(block == j)
-            if not len(a) or not len(b):
-                return pd.DataFrame({"a": whole[:0], "b": whole[:0]})
-            x, y = links_of([items[k] for k in a], [items[k] for k in b], percent)
-            x, y = a[x], b[y]
-        kept = spanning(len(items), x, y)
-        return pd.DataFrame({"a": whole[x[kept]], "b": whole[y[kept]]})
-
-    return laid.groupBy("sig", "i", "j").applyInPandas(compare, "a binary, b binary")
+    laid = laid.select("sig", "block", "whole", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    laid = laid.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "whole", "part")
+    laid = laid.join(texts.select("whole", "n", "sketch"), "whole").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+    def pairs(rows: pa.RecordBatch, head: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of rows of the same group; head: where groups start."""
+        size = np.diff(np.append(head, rows.num_rows))
+        end = np.repeat(head + size, size)
+        later = end - 1 - np.arange(rows.num_rows)  # rows of the group after each row
+        until = np.concatenate([[0], np.cumsum(later)])
+        sketch, n, block = _words64(rows.column("sketch")), *(rows.column(c).to_numpy() for c in ("n", "block"))
+        part = rows.column("part").dictionary_encode().indices.to_numpy()
+        across = np.repeat((rows.column("i").to_numpy() != rows.column("j").to_numpy())[head], size)
+        for start in range(0, int(until[-1]), PAIRS):
+            k = np.arange(start, min(start + PAIRS, int(until[-1])))
+            x = np.searchsorted(until, k, side="right") - 1
+            y = x + 1 + k - until[x]
+            ok = (part[x] != part[y]) & (~across[x] | (block[x] != block[y]))
+            x, y = x[ok], y[ok]
+            ok = J.may_link(sketch[x], sketch[y], n[x], n[y], percent)
+            x, y = (rows.column("whole").take(pa.array(z[ok])) for z in (x, y))
+            yield record(a=x, b=y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([*held, batch])
+            key = np.column_stack([rows.column(c).to_numpy() for c in ("sig", "i", "j")])
+            head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            if len(head) > 1:  # the last group may go on in the next batch
+                yield from pairs(rows.slice(0, head[-1]), head[:-1])
+            held = [rows.slice(head[-1])]
+        for rows in held:
+            yield from pairs(rows, np.zeros(1, np.int64))
+
+    return laid.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -219,6 +208,13 @@ def _components(links: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("whole"), F.col("label").alias("part"))
 
 
+def _apart(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """The edges (a, b) whose texts are in different components."""
+    side = lambda k: parts.select(F.col("whole").alias(k), F.col("part").alias(f"p{k}"))
+    both = edges.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.filter(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
+
+
 def _open(members: DataFrame, parts: DataFrame, least: int) -> DataFrame:
     """(sig, whole, part): the members of signatures that hold `least` texts or more in several components."""
     placed = members.join(parts, "whole", "left").select("sig", "whole", F.coalesce("part", "whole").alias("part"))
@@ -267,7 +263,7 @@ def _answers(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counted = cut(shingle_counts(rows))
     worded = counted.filter("whole IS NOT NULL")
-    first = worded.groupBy("whole").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    first = worded.groupBy("whole").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"))
 
     signed = set_signatures(rows, percent)
     shared = cut(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), release=True)
@@ -279,20 +275,18 @@ def _answers(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     sides = members.df.select("sig", "whole")
     spokes = members.df.filter("whole <> centre").select(F.col("whole").alias("a"), F.col("centre").alias("b"))
     # tables, so that Spark knows their sizes when it chooses how to join
-    wanted = Written(sides.select("whole").distinct().join(first.select("whole", "lead", "n"), "whole"))
+    wanted = Written(sides.select("whole").distinct().join(first.select("whole", "lead"), "whole"))
     texts = Written(texts_of(rows, wanted.df))
 
     one = spokes.groupBy("a").agg(F.min("b").alias("b"))
-    links = cut(compared(one, texts.df, percent))
+    links = cut(compared(likely(one, texts.df, percent), texts.df, percent))
     parts = _components(links)
     # what isn't joined yet, with the least text of each of its signatures; a's least was compared before
     apart = spokes.distinct().join(one.select("a", F.col("b").alias("least")), "a").filter("b <> least").select("a", "b")
-    apart = apart.join(parts.select(F.col("whole").alias("a"), F.col("part").alias("pa")), "a", "left").join(parts.select(F.col("whole").alias("b"), F.col("part").alias("pb")), "b", "left")
-    apart = apart.filter(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
-    links = cut(links.union(compared(cut(apart), texts.df, percent)))
+    links = cut(links.union(compared(likely(_apart(apart, parts), texts.df, percent), texts.df, percent)))
     parts = _components(links)
-    rest = cut(_open(sides, parts, 3).select("sig", "whole"))
-    links = cut(links.union(block_links(rest, texts.df, percent)), release=True)
+    rest = cut(likely_pairs(_open(sides, parts, 3), texts.df, percent), release=True)
+    links = cut(links.union(compared(rest, texts.df, percent)), release=True)
     parts = _components(links)
     for written in (members, wanted, texts):
         written.drop()

@@ -17,6 +17,9 @@ SHINGLE = 4
 #: What one false candidate costs, in signature rows, in the choice of a band's scheme.
 FALSE_COST = 200.0
 
+#: Bits of a set's parity sketch; a power of two.
+SKETCH_BITS = 2048
+
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 
@@ -112,6 +115,30 @@ def exact_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return key % kinds, np.searchsorted(key // kinds, np.arange(len(bounds)))
 
 
+def sketches(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of SKETCH_BITS for each set: each bit is the parity of the items that hash to it.
+
+    An item that only one of two sets has flips one bit, so the sketches
+    differ in at most as many bits as the sets in items.
+    """
+    n = len(bounds) - 1
+    place = (K.mix(token ^ np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    doc = np.repeat(np.arange(n), np.diff(bounds))
+    out = np.empty((n, SKETCH_BITS // 8), np.uint8)
+    for i in range(0, n, 256):
+        s = slice(*np.searchsorted(doc, [i, i + 256]))
+        rows = min(256, n - i)
+        odd = np.bincount((doc[s] - i) * SKETCH_BITS + place[s], minlength=rows * SKETCH_BITS) & 1
+        out[i : i + rows] = np.packbits(odd.reshape(rows, -1).astype(bool), axis=1)
+    return out.view(np.uint64)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """False where sketches differ in more bits than linked sets of these sizes can differ in items."""
+    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return (100 + percent) * apart <= (100 - percent) * (size_a + size_b)
+
+
 @lru_cache
 def bands(most: int, percent: int = PERCENT) -> np.ndarray:
     """Largest set size of each band, up to `most`.
