@@ -47,3 +47,26 @@ def crc32c(value: Column) -> Column:
         return pd.Series(out)
 
     return run(value.cast("binary"))
+
+
+def jenkins(a: Column, b: Column, c: Column, seed: int = 0) -> Column:
+    """Jenkins' lookup3 hash of three 32-bit words, as flow tables use it."""
+    mask = np.uint32(0xFFFFFFFF)
+
+    def turn(x: np.ndarray, k: int) -> np.ndarray:
+        return (x << np.uint32(k) | x >> np.uint32(32 - k)) & mask
+
+    @F.pandas_udf(LongType())
+    def run(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        start = np.uint32((0xDEADBEEF + 12 + seed) & 0xFFFFFFFF)
+        a, b, c = ((v.to_numpy(np.int64) & 0xFFFFFFFF).astype(np.uint32) + start for v in (x, y, z))
+        for target, k in (("c", 14), ("a", 11), ("b", 25), ("c", 16), ("a", 4), ("b", 14), ("c", 24)):
+            if target == "c":
+                c = (c ^ b) - turn(b, k)
+            elif target == "a":
+                a = (a ^ c) - turn(c, k)
+            else:
+                b = (b ^ a) - turn(a, k)
+        return pd.Series(c.astype(np.int64))
+
+    return run(a.cast("long"), b.cast("long"), c.cast("long"))

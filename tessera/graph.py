@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import cut
+
 
 @dataclass
 class Graph:
@@ -35,6 +37,28 @@ class Graph:
         counted = ends.groupBy("e.id").agg(F.sum("e.i").alias("indegree"), F.sum("e.o").alias("outdegree"))
         return self.vertices.select("id").join(counted, "id", "left").na.fill(0, ["indegree", "outdegree"])
 
+    def degrees_between(self, low: int, high: int) -> DataFrame:
+        """id, degree (in + out) of the vertices with low <= id < high."""
+        return vertices_between(self.degrees(), low, high).select("id", (F.col("indegree") + F.col("outdegree")).alias("degree"))
+
+    def degree_totals(self) -> DataFrame:
+        """vertices, edges, and the largest in- and outdegree."""
+        return self.degrees().agg(F.count(F.lit(1)).alias("vertices"), F.sum("outdegree").alias("edges"), F.max("indegree").alias("most_in"), F.max("outdegree").alias("most_out"))
+
+    def reset_edges(self, **values) -> "Graph":
+        """Every edge with these values in its columns."""
+        return Graph(self.edges.withColumns({k: F.lit(v) for k, v in values.items()}), self.vertices)
+
+    def reset_vertices(self, **values) -> "Graph":
+        """Every vertex with these values in its columns."""
+        return Graph(self.edges, self.vertices.withColumns({k: F.lit(v) for k, v in values.items()}))
+
+    def write_adjacency(self, path: str, style: str = "adjlist") -> None:
+        """Text: a line `id degree n1 n2 ..` for each vertex with out-edges, or (cassovary) `id degree` and a line for each neighbour."""
+        head = F.concat_ws(" ", F.col("id").cast("string"), F.col("degree").cast("string"))
+        mark = {"adjlist": " ", "cassovary": "\n"}[style]
+        self.adjacency().select(F.concat_ws(mark, head, F.col("neighbours").cast("array<string>")).alias("value")).write.mode("overwrite").text(path)
+
     def reverse(self) -> "Graph":
         return Graph(self.edges.withColumnsRenamed({"src": "dst", "dst": "src"}), self.vertices)
 
@@ -71,16 +95,12 @@ class Graph:
         return Graph(edges, self.vertices.join(mapping, "id").drop("id").withColumnRenamed("new_id", "id"))
 
     def degree_order(self) -> DataFrame:
-        """id, new_id: ids ranked from 0 by (in + out degree, id).
-
-        Vertices are counted by degree first (a small table), so that ranks
-        are taken within a degree and no window spans all vertices.
-        """
-        return rank_by(self.degrees().select("id", (F.col("indegree") + F.col("outdegree")).alias("degree")), "degree", "id", "new_id")
+        """id, new_id: ids ranked from 0 by (in + out degree, id)."""
+        return rank_by(self.degrees().select("id", (F.col("indegree") + F.col("outdegree")).alias("degree")), "new_id", "degree", "id")
 
     def densify(self) -> DataFrame:
         """id, new_id: ids renumbered from 0 in their order."""
-        return rank_by(self.vertices.select("id", F.floor(F.col("id") / 65536).alias("chunk")), "chunk", "id", "new_id").select("id", "new_id")
+        return rank_by(self.vertices.select("id"), "new_id", "id")
 
     def adjacency(self) -> DataFrame:
         """id, degree, neighbours (out-edges' ends, sorted)."""
@@ -91,18 +111,20 @@ class Graph:
         return self.edges.groupBy(F.col("src").alias("id")).agg(F.max_by("dst", F.struct(F.xxhash64(F.lit(seed), "src", "dst"), "dst")).alias("dst"))
 
 
-def rank_by(rows: DataFrame, coarse: str, fine: str, name: str) -> DataFrame:
-    """Adds `name`: the row's number from 0 in the order (coarse, fine).
+def rank_by(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """Adds `name`: the row's number from 0 in an order.
 
-    A count for each coarse value gives where it starts; rows are numbered
-    within their coarse value. The only window without a key runs over the
-    coarse values.
+    Rows are dealt in ranges of the order and written; a row's number is its
+    place within its range plus the sizes of the ranges before, so that no
+    value, however common, fills one task. The only window without a key runs
+    over the ranges.
     """
-    counts = rows.groupBy(coarse).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(coarse, before.alias("_start"))
-    own = F.row_number().over(Window.partitionBy(coarse).orderBy(fine)) - 1
-    return rows.withColumn("_own", own).join(starts, coarse).withColumn(name, F.col("_start") + F.col("_own")).drop("_start", "_own")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    placed = cut(placed)
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("_part", (before - F.col("_first")).alias("_start"))
+    return placed.join(starts, "_part").withColumn(name, F.col("_at") + F.col("_start")).drop("_part", "_at", "_start")
 
 
 def top_vertices(values: DataFrame, k: int, value: str = "value") -> DataFrame:
@@ -123,6 +145,16 @@ def vertices_between(values: DataFrame, low: int | None = None, high: int | None
     return values
 
 
+def label_count(labels: DataFrame) -> DataFrame:
+    """labels: how many different labels there are."""
+    return labels.agg(F.countDistinct("label").alias("labels"))
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """A line `id 1 label` for each vertex, ids counted from 1: a matrix with one column."""
+    labels.select(F.concat_ws(" ", (F.col("id") + 1).cast("string"), F.lit("1"), F.col("label").cast("string"))).write.mode("overwrite").text(path)
+
+
 def label_sizes(labels: DataFrame, compat: bool = False) -> DataFrame:
     """label, size. compat: vertices whose label is their own id are skipped and one is added to the rest."""
     if compat:

@@ -35,6 +35,17 @@ class Metrics:
             s = time.perf_counter() - start
             took.update(count=took["count"] + 1, total=took["total"] + s, least=min(took["least"], s), most=max(took["most"], s))
 
+    def report(self, kind: str = "console", path: str | None = None) -> None:
+        """Hands the values to a reporter: console, file (text), json or html at a path, or null (none)."""
+        if kind == "null":
+            return
+        text = {"console": self.as_text, "file": self.as_text, "json": self.as_json, "html": self.as_html}[kind]()
+        if kind == "console":
+            print(text)
+            return
+        with open(path, "w") as out:
+            out.write(text)
+
     def as_text(self) -> str:
         return "\n".join([f"[{self.name}]", *(f"{k} = {v}" for k, v in self.values.items())])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,8 @@ class _Hops(VertexProgram):
         return F.col("fresh")
 
 
-def shortest_hops(graph: Graph, source: int, iterations: int = 64) -> DataFrame:
-    """id, hops along directed edges; -1 where unreached. Only the frontier sends; ends when it is empty."""
+def shortest_hops(graph: Graph, source: int, iterations: int | None = None) -> DataFrame:
+    """id, hops along directed edges; -1 where unreached. Only the frontier sends; ends when it is empty (or after `iterations`)."""
     return run(graph, _Hops(source), iterations)[0].select("id", "hops")
 
 
@@ -96,6 +98,20 @@ def component_edges(graph: Graph, labels: DataFrame) -> DataFrame:
     return inside.groupBy("label").agg(F.count(F.lit(1)).alias("edges"))
 
 
+def intra_degrees(graph: Graph, labels: DataFrame) -> DataFrame:
+    """id, label, outdegree: each vertex's out-edges that stay within its label."""
+    a = labels.select(F.col("id").alias("src"), "label")
+    b = labels.select(F.col("id").alias("dst"), F.col("label").alias("other"))
+    inside = graph.edges.join(a, "src").join(b, "dst").filter("label = other").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("outdegree"))
+    return labels.join(inside, "id", "left").select("id", "label", F.coalesce("outdegree", F.lit(0)).alias("outdegree"))
+
+
+def isolated_share(sizes: DataFrame, size: str = "size") -> DataFrame:
+    """isolated, share: components of one vertex, and their share of all vertices."""
+    alone = F.count_if(F.col(size) == 1)
+    return sizes.agg(alone.alias("isolated"), (alone / F.sum(size)).alias("share"))
+
+
 def component_stats(graph: Graph, labels: DataFrame, seeds: DataFrame) -> DataFrame:
     """label, nodes, edges, seeds of every component."""
     marked = labels.join(seeds.select("id", F.lit(1).alias("seed")).distinct(), "id", "left")
@@ -192,6 +208,35 @@ def soft_labels(graph: Graph, seeds: DataFrame, iterations: int = 2, alpha: floa
     return state
 
 
+def coem(pairs: DataFrame, seeds: DataFrame, iterations: int = 2, tf_idf: bool = True) -> DataFrame:
+    """side, id, p of bipartite co-training: phrases and contexts take the weighted mean of each other's probabilities.
+
+    pairs: phrase, context, count; seeds: phrase, p (1 for positive, 0 for
+    negative ones), which stay fixed. tf_idf weighs a pair by
+    log(1 + count) * log(contexts / the phrase's contexts + 1), else by count.
+    Others start at 0.5 and are 0.5 where nothing reaches them.
+    """
+    rows = pairs.groupBy("phrase", "context").agg(F.sum("count").alias("count"))
+    if tf_idf:
+        wide = rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("_d"))
+        total = rows.agg(F.countDistinct("context").alias("_t"))
+        rows = rows.join(wide, "phrase").crossJoin(F.broadcast(total)).select("phrase", "context", (F.log1p("count") * F.log1p(F.col("_t") / F.col("_d"))).alias("w"))
+    else:
+        rows = rows.select("phrase", "context", F.col("count").cast("double").alias("w"))
+    rows = cut(rows)
+    fixed = seeds.select("phrase", F.col("p").cast("double").alias("fixed"))
+    phrases = rows.select("phrase").distinct().join(fixed, "phrase", "left").select("phrase", "fixed", F.coalesce("fixed", F.lit(0.5)).alias("p"))
+    mean = F.sum(F.col("w") * F.col("p")) / F.sum("w")
+    for step in range(iterations):
+        contexts = rows.join(phrases.select("phrase", "p"), "phrase").groupBy("context").agg(mean.alias("p"))
+        new = rows.join(contexts, "context").groupBy("phrase").agg(mean.alias("new"))
+        phrases = phrases.join(new, "phrase").select("phrase", "fixed", F.coalesce("fixed", "new").alias("p"))
+        if step % 3 == 2:
+            phrases = cut(phrases)
+    contexts = rows.join(phrases.select("phrase", "p"), "phrase").groupBy("context").agg(mean.alias("p"))
+    return phrases.select(F.lit("phrase").alias("side"), F.col("phrase").alias("id"), "p").union(contexts.select(F.lit("context"), "context", "p"))
+
+
 def ego_network(graph: Graph, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """id, hop: vertices within `hops` undirected steps of the seeds."""
     edges = graph.undirected()
@@ -213,17 +258,22 @@ def ego_edges(graph: Graph, seeds: DataFrame, hops: int = 3) -> DataFrame:
     return out.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg((F.min("hop") + 1).alias("hop"))
 
 
-def bfs_tree(graph: Graph, root: int, levels: int = 64) -> DataFrame:
-    """id, parent, level of a breadth-first tree over undirected edges; the least parent; root is its own."""
+def bfs_tree(graph: Graph, root: int, levels: int | None = None) -> DataFrame:
+    """id, parent, level of a breadth-first tree over undirected edges; the least parent; root is its own.
+
+    Goes on until no vertex is new, or for `levels` levels.
+    """
     edges = cut(graph.undirected())
     tree = graph.vertices.filter(F.col("id") == root).select("id", F.col("id").alias("parent"), F.lit(0).alias("level"))
     frontier = tree
-    for level in range(1, levels + 1):
+    for level in itertools.count(1) if levels is None else range(1, levels + 1):
         near = edges.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         frontier = cut(near.join(tree, "id", "left_anti").select("id", "parent", F.lit(level).alias("level")))
         if frontier.isEmpty():
             break
         tree = tree.union(frontier)
+        if level % 16 == 0:
+            tree = cut(tree)
     return tree
 
 

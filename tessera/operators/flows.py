@@ -8,10 +8,11 @@ current flow's few counters are in memory, however long a flow is.
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,22 +80,26 @@ class TwoRate:
         return GREEN
 
 
-def _by_flow(packets: DataFrame, flow: str, order: list[str], start: Callable[[], Callable], schema: str) -> DataFrame:
-    """Streams each flow in order; start() gives a function from (first of its flow?, row) to an output row or None."""
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+def _by_flow(packets: DataFrame, flow: str, order: list[str], columns: list[str], start: Callable[[], Callable], schema: str) -> DataFrame:
+    """Streams each flow in order.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    start() gives a function from (first of its flow?, the row's columns) to
+    an output row. Batches go from Arrow to lists and back, column by column.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, current = start(), object()
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                key = getattr(row, flow)
-                got = step(key != current, row)
+            for key, *values in zip(*(batch.column(c).to_pylist() for c in [flow, *columns])):
+                out.append(step(key != current, *values))
                 current = key
-                out.extend(got)
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
 
-    return packets.repartition(flow).sortWithinPartitions(flow, *order).mapInPandas(run, schema)
+    fields = [x.strip().split(" ") for x in schema.split(",")]
+    names, types = [f[0] for f in fields], [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[f[1]] for f in fields]
+    return packets.repartition(flow).sortWithinPartitions(flow, *order).mapInArrow(run, schema)
 
 
 def meter(packets: DataFrame, make: Callable[[], SingleRate | TwoRate]) -> DataFrame:
@@ -103,51 +108,72 @@ def meter(packets: DataFrame, make: Callable[[], SingleRate | TwoRate]) -> DataF
     def start():
         m = make()
 
-        def step(first, row):
+        def step(first, event_id, flow, time, length, colour):
             if first:
-                m.reset(row.time)
-            return [(row.event_id, row.flow, row.len, m.colour(row.time, row.len, row.colour))]
+                m.reset(time)
+            return event_id, flow, length, m.colour(time, length, colour)
 
         return step
 
-    return _by_flow(packets, "flow", ["time", "event_id"], start, "event_id long, flow long, len long, new_colour int")
+    columns = ["event_id", "flow", "time", "len", "colour"]
+    return _by_flow(packets, "flow", ["time", "event_id"], columns, start, "event_id long, flow long, len long, new_colour int")
+
+
+@dataclass(frozen=True)
+class DropProfile:
+    """Below low nothing is dropped, from high on all; between them the chance grows to most."""
+
+    low: float
+    high: float
+    most: float
 
 
-def early_drop(packets: DataFrame, low: float, high: float, most: float, weight: float = 0.002, drain: float = 1.0, seed: int = 0) -> DataFrame:
+def early_drop(
+    packets: DataFrame, low: float, high: float, most: float, weight: float = 0.002, drain: float = 1.0, seed: int = 0, colours: dict[int, DropProfile] | None = None
+) -> DataFrame:
     """event_id, flow, average, dropped: random early detection on a queue of packets for each flow.
 
-    The queue drains `drain` packets a second. Between low and high the drop
-    chance grows to `most`, more so the more packets passed since the last
-    drop. Chances are drawn by a hash of seed and event_id.
+    The queue drains `drain` packets a second; while it is empty, the average
+    decays as if that many small packets had come by. Between low and high
+    the drop chance grows to `most`, more so the more packets passed since the
+    last drop. Chances are drawn by a hash of seed and event_id. colours gives
+    packets of a colour (a column then) a profile of their own.
     """
+    usual = DropProfile(low, high, most)
 
     def start():
         s = {}
 
-        def step(first, row):
+        def step(first, event_id, flow, time, colour):
             if first:
-                s.update(q=0.0, avg=0.0, count=-1, time=row.time)
-            s["q"] = max(0.0, s["q"] - drain * (row.time - s["time"]) / 1e6)
-            s["time"] = row.time
+                s.update(q=0.0, avg=0.0, count=-1, time=time)
+            drained = drain * (time - s["time"]) / 1e6
+            idle = max(0.0, drained - s["q"])
+            s["q"] = max(0.0, s["q"] - drained)
+            s["time"] = time
+            s["avg"] *= (1 - weight) ** idle
             s["avg"] += weight * (s["q"] - s["avg"])
+            p = colours.get(colour, usual) if colours else usual
             drop = False
-            if s["avg"] >= high:
+            if s["avg"] >= p.high:
                 drop, s["count"] = True, 0
-            elif s["avg"] > low:
+            elif s["avg"] > p.low:
                 s["count"] += 1
-                pb = most * (s["avg"] - low) / (high - low)
-                pa = pb / max(1e-9, 1 - s["count"] * pb)
-                if zlib.crc32(f"{seed}:{row.event_id}".encode()) / 2**32 < pa:
+                pb = p.most * (s["avg"] - p.low) / (p.high - p.low)
+                pa_ = pb / max(1e-9, 1 - s["count"] * pb)
+                if zlib.crc32(f"{seed}:{event_id}".encode()) / 2**32 < pa_:
                     drop, s["count"] = True, 0
             else:
                 s["count"] = -1
             if not drop:
                 s["q"] += 1
-            return [(row.event_id, row.flow, s["avg"], drop)]
+            return event_id, flow, s["avg"], drop
 
         return step
 
-    return _by_flow(packets, "flow", ["time", "event_id"], start, "event_id long, flow long, average double, dropped boolean")
+    if "colour" not in packets.columns:
+        packets = packets.withColumn("colour", F.lit(0))
+    return _by_flow(packets, "flow", ["time", "event_id"], ["event_id", "flow", "time", "colour"], start, "event_id long, flow long, average double, dropped boolean")
 
 
 def lru_lookup(packets: DataFrame, buckets: int, size: int) -> DataFrame:
@@ -160,19 +186,19 @@ def lru_lookup(packets: DataFrame, buckets: int, size: int) -> DataFrame:
     def start():
         held: dict = {}
 
-        def step(first, row):
+        def step(first, event_id, flow):
             if first:
                 held.clear()
-            hit = held.pop(row.flow, False)
-            held[row.flow] = True  # the newest stands last
+            hit = held.pop(flow, False)
+            held[flow] = True  # the newest stands last
             if len(held) > size:
                 del held[next(iter(held))]
-            return [(row.event_id, row.flow, hit)]
+            return event_id, flow, hit
 
         return step
 
     dealt = packets.withColumn("bucket", F.pmod(F.col("flow"), F.lit(buckets)))
-    return _by_flow(dealt, "bucket", ["event_id"], start, "event_id long, flow long, hit boolean")
+    return _by_flow(dealt, "bucket", ["event_id"], ["event_id", "flow"], start, "event_id long, flow long, hit boolean")
 
 
 def reorder(packets: DataFrame, size: int) -> DataFrame:
@@ -186,10 +212,10 @@ def reorder(packets: DataFrame, size: int) -> DataFrame:
     def start():
         s = {}
 
-        def step(first, row):
+        def step(first, event_id, flow, seq):
             if first:
-                s["low"] = row.seq
-            ahead = row.seq - s["low"]
+                s["low"] = seq
+            ahead = seq - s["low"]
             if 0 <= ahead < size:
                 outcome = "kept"
             elif size <= ahead < 2 * size:
@@ -197,11 +223,11 @@ def reorder(packets: DataFrame, size: int) -> DataFrame:
                 outcome = "moved"
             else:
                 outcome = "range"
-            return [(row.event_id, row.flow, row.seq, outcome)]
+            return event_id, flow, seq, outcome
 
         return step
 
-    return _by_flow(packets, "flow", ["event_id"], start, "event_id long, flow long, seq long, outcome string")
+    return _by_flow(packets, "flow", ["event_id"], ["event_id", "flow", "seq"], start, "event_id long, flow long, seq long, outcome string")
 
 
 def reorder_drain(packets: DataFrame) -> DataFrame:
@@ -218,13 +244,148 @@ def fragment(packets: DataFrame, mtu: int) -> DataFrame:
     return out.select("event_id", "offset", F.least(F.lit(mtu).cast("long"), F.col("len") - F.col("offset")).alias("size"), (F.col("offset") + mtu < F.col("len")).alias("more"))
 
 
-def reassemble(fragments: DataFrame, key: str = "event_id") -> DataFrame:
-    """key, len, complete: whether the pieces (offset, size, more) cover the packet without a gap."""
-    pieces = fragments.distinct()
-    before = F.coalesce(F.lag(F.col("offset") + F.col("size")).over(Window.partitionBy(key).orderBy("offset")), F.lit(0))
+def reassemble(fragments: DataFrame, key: str | list[str] = "event_id", timeout: int | None = None) -> DataFrame:
+    """key, len, complete: whether the pieces (offset, size, more) cover the packet without a gap.
+
+    key may be several columns, such as source, target and identification.
+    With a timeout, pieces that come (column time) later than that after the
+    packet's first piece don't count. Repeated pieces count once.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    pieces = fragments
+    if timeout is not None:
+        began = F.min("time").over(Window.partitionBy(*keys))
+        pieces = pieces.withColumn("_late", F.col("time") - began > timeout).filter("NOT _late")
+    pieces = pieces.select(*keys, "offset", "size", "more").distinct()
+    before = F.coalesce(F.lag(F.col("offset") + F.col("size")).over(Window.partitionBy(*keys).orderBy("offset")), F.lit(0))
     joined = pieces.withColumn("fits", F.col("offset") == before)
     ends = F.max(F.when(~F.col("more"), F.col("offset") + F.col("size")))
-    return joined.groupBy(key).agg(F.coalesce(ends, F.lit(-1)).alias("len"), (F.bool_and("fits") & ends.isNotNull()).alias("complete"))
+    return joined.groupBy(*keys).agg(F.coalesce(ends, F.lit(-1)).alias("len"), (F.bool_and("fits") & ends.isNotNull()).alias("complete"))
+
+
+@dataclass(frozen=True)
+class Shaping:
+    """Rates in bytes a second and bucket sizes in bytes: of the port, a subport, a pipe; and of a pipe's classes a period."""
+
+    port_rate: float
+    subport_rate: float
+    subport_size: float
+    pipe_rate: float
+    pipe_size: float
+    class_bytes: tuple[float, float, float, float]
+    period: float = 0.04
+    weights: tuple[int, int, int, int] = (1, 1, 1, 1)
+    queue_limit: int = 64
+
+
+class _Bucket:
+    def __init__(self, rate: float, size: float):
+        self.rate, self.size, self.tokens, self.time = rate, size, size, 0.0
+
+    def fill(self, now: float) -> float:
+        self.tokens = min(self.size, self.tokens + self.rate * (now - self.time))
+        self.time = now
+        return self.tokens
+
+
+def hierarchical_schedule(packets: DataFrame, shaping: Shaping) -> DataFrame:
+    """event_id, port, sent (seconds; null: dropped at the queue's limit) of packets (event_id, port, subport, pipe, class 0..3, queue 0..3, time in microseconds, len).
+
+    A port sends one packet at a time at its rate. Pipes take turns; within a
+    pipe the class of the smallest number goes first, and within a class the
+    queues take turns by weight. A packet is sent only while its subport's and
+    pipe's token buckets and its class's bytes of the period cover it; else
+    the port looks further, and waits if nothing may go. A packet that no
+    bucket can ever hold is dropped. Ports are
+    independent; one port's packets stay in one task, as it is sequential.
+    """
+
+    def simulate(rows: list[tuple]) -> list[tuple]:
+        subports: dict = {}
+        pipes: dict = {}
+        out, now, i, turn, waiting = [], 0.0, 0, 0, 0
+        order: list = []
+        while i < len(rows) or waiting:
+            if not waiting:
+                now = max(now, rows[i][5])
+            while i < len(rows) and rows[i][5] <= now:
+                event, subport, pipe, tc, queue, time, length = rows[i]
+                key = (subport, pipe)
+                if key not in pipes:
+                    subports.setdefault(subport, _Bucket(shaping.subport_rate, shaping.subport_size))
+                    pipes[key] = {"bucket": _Bucket(shaping.pipe_rate, shaping.pipe_size), "used": [0.0] * 4, "period": 0, "queues": [[deque() for _ in range(4)] for _ in range(4)], "served": [[0.0] * 4 for _ in range(4)]}
+                    order.append(key)
+                line = pipes[key]["queues"][tc][queue]
+                if len(line) >= shaping.queue_limit:
+                    out.append((event, None))
+                else:
+                    line.append((event, length))
+                    waiting += 1
+                i += 1
+            sent = None
+            for k in range(len(order)):
+                key = order[(turn + k) % len(order)]
+                p = pipes[key]
+                period = int(now / shaping.period)
+                if period != p["period"]:
+                    p["period"], p["used"] = period, [0.0] * 4
+                room = min(subports[key[0]].fill(now), p["bucket"].fill(now))
+                for tc in range(4):
+                    ready = [q for q in range(4) if p["queues"][tc][q]]
+                    if not ready:
+                        continue
+                    q = min(ready, key=lambda x: (p["served"][tc][x] / shaping.weights[x], x))
+                    event, length = p["queues"][tc][q][0]
+                    if length <= room and p["used"][tc] + length <= shaping.class_bytes[tc]:
+                        sent = key, tc, q, event, length
+                        break
+                if sent:
+                    turn = (turn + k + 1) % len(order)
+                    break
+            if sent:
+                key, tc, q, event, length = sent
+                p = pipes[key]
+                p["queues"][tc][q].popleft()
+                waiting -= 1
+                p["served"][tc][q] += length
+                p["used"][tc] += length
+                p["bucket"].tokens -= length
+                subports[key[0]].tokens -= length
+                out.append((event, now))
+                now += length / shaping.port_rate
+            elif waiting:
+                # nothing may go: on to the next arrival, or a little later
+                later = now + shaping.period / 16
+                now = min(later, rows[i][5]) if i < len(rows) else later
+        return out
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("time", "event_id", "subport", "pipe", "class", "queue", "len"))))
+        done = simulate([(e, s, p, c, q, t / 1e6, n) for t, e, s, p, c, q, n in rows])
+        return pa.table({"event_id": pa.array([e for e, _ in done], pa.int64()), "port": pa.array([key[0].as_py()] * len(done), pa.int64()), "sent": pa.array([t for _, t in done], pa.float64())})
+
+    room = F.least(F.lit(shaping.subport_size), F.lit(shaping.pipe_size), F.element_at(F.array(*map(F.lit, shaping.class_bytes)), F.col("class").cast("int") + 1))
+    never = packets.filter(F.col("len") > room).select("event_id", "port", F.lit(None).cast("double").alias("sent"))
+    return packets.filter(F.col("len") <= room).groupBy("port").applyInArrow(run, "event_id long, port long, sent double").union(never)
+
+
+def timer_expiries(timers: DataFrame, until: int) -> DataFrame:
+    """timer, at: when timers (timer, start, period; null: once) go off, up to a time."""
+    at = F.when(F.col("period").isNull(), F.array("start")).otherwise(F.sequence("start", F.greatest("start", F.lit(until)), "period"))
+    return timers.select("timer", F.explode(at).alias("at")).filter(F.col("at") <= until)
+
+
+def job_stats(runs: DataFrame, target: float | None = None) -> DataFrame:
+    """job, runs, total, least, mean, most of runs (job, seconds); with a target, next_period.
+
+    The next period is the mean time between runs (column period) scaled by
+    how far the mean lies from the target, by a factor of at most 2 either way.
+    """
+    stats = [F.count(F.lit(1)).alias("runs"), F.sum("seconds").alias("total"), F.min("seconds").alias("least"), F.avg("seconds").alias("mean"), F.max("seconds").alias("most")]
+    if target is not None:
+        scale = F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.lit(float(target)) / F.nullif(F.avg("seconds"), F.lit(0.0))))
+        stats.append((F.avg("period") * F.coalesce(scale, F.lit(2.0))).alias("next_period"))
+    return runs.groupBy("job").agg(*stats)
 
 
 def flow_affinity(packets: DataFrame, workers: int) -> DataFrame:

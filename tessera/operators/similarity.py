@@ -6,21 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ratings of one part of a user, about.
+PART = 1024
+
+
 def pair_stats(ratings: DataFrame, least_common: int = 1) -> DataFrame:
     """One row for each pair of items i < j with users in common, with every sum the metrics need.
 
     Items with fewer than least_common users are dropped before the join on
-    users; the pair sums are combined before their shuffle.
+    users; the pair sums are combined before their shuffle. A user of n
+    ratings costs n^2 pairs, spread over (n / PART)^2 keys.
     """
     r = ratings.select("user", "item", F.col("rating").cast("double").alias("x"))
     items = r.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.sum(F.abs("x")).alias("a"))
     items = items.filter(F.col("n") >= least_common)
     users = r.groupBy("user").agg(F.count(F.lit(1)).alias("degree"))
-    r = r.join(items.select("item"), "item", "left_semi").join(users, "user")
-    left = r.select("user", F.col("item").alias("i"), F.col("x"), "degree")
-    right = r.select("user", F.col("item").alias("j"), F.col("x").alias("y"))
+    r = r.join(items.select("item"), "item", "left_semi").join(users, "user").withColumn("parts", F.ceil(F.col("degree") / PART).cast("int"))
+    # a user of many ratings is dealt in parts, and each pair of parts is joined on its own
+    part, others = F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = r.select("user", F.col("item").alias("i"), "x", "degree", part.alias("p"), others.alias("q"))
+    right = r.select("user", F.col("item").alias("j"), F.col("x").alias("y"), part.alias("q"), others.alias("p"))
     x, y, d = F.col("x"), F.col("y"), F.col("degree")
-    pairs = left.join(right, "user").filter("i < j").groupBy("i", "j").agg(
+    pairs = left.join(right, ["user", "p", "q"]).filter("i < j").groupBy("i", "j").agg(
         F.count(F.lit(1)).alias("n"), F.sum(x * y).alias("xy"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"),
         F.sum(F.abs(x - y)).alias("d1"), F.sum(F.abs(x)).alias("ax"), F.sum(F.abs(y)).alias("ay"), F.sum(x - y).alias("dxy"),
         F.sum(F.when(d > 1, 1 / F.log(d))).alias("aa"), F.sum(1 / d).alias("ra"),
@@ -67,6 +74,14 @@ def metric(name: str, alpha: float = 0.5, users: int = 0) -> Column:
     return table[name]()
 
 
+def directed_cosine(ratings: DataFrame, alpha: float = 0.5, least_common: int = 1) -> DataFrame:
+    """i, j, sim of ordered pairs: common users over |i| ** alpha * |j| ** (1 - alpha)."""
+    stats = pair_stats(ratings, least_common)
+    back = stats.select(F.col("j").alias("i"), F.col("i").alias("j"), "n", F.col("nj").alias("ni"), F.col("ni").alias("nj"))
+    both = stats.select("i", "j", "n", "ni", "nj").unionByName(back)
+    return both.select("i", "j", metric("asymmetric_cosine", alpha=alpha).alias("sim"))
+
+
 def similarity(ratings: DataFrame, name: str, least_common: int = 1, **options) -> DataFrame:
     """i, j, sim for pairs i < j."""
     return pair_stats(ratings, least_common).select("i", "j", metric(name, **options).alias("sim"))
@@ -97,9 +112,14 @@ def top_similar(sims: DataFrame, k: int) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def recommend_from_similar(ratings: DataFrame, sims: DataFrame, k: int, power: float = 3.0) -> DataFrame:
-    """user, item, score, rank: sum of sim ** power over the user's items, without those they have."""
-    both = sims.filter("i <> j").select(F.col("i").alias("item"), F.col("j").alias("other"), "sim").union(sims.filter("i <> j").select("j", "i", "sim"))
+def recommend_from_similar(ratings: DataFrame, sims: DataFrame, k: int, power: float = 3.0, directed: bool = False) -> DataFrame:
+    """user, item, score, rank: sum of sim ** power over the user's items, without those they have.
+
+    directed: a pair (i, j) recommends j to those who have i, but not the other way round.
+    """
+    both = sims.filter("i <> j").select(F.col("i").alias("item"), F.col("j").alias("other"), "sim")
+    if not directed:
+        both = both.union(sims.filter("i <> j").select("j", "i", "sim"))
     seen = ratings.select("user", "item").distinct()
     scored = seen.join(both, "item").groupBy("user", F.col("other").alias("item")).agg(F.sum(F.pow("sim", F.lit(power))).alias("score"))
     fresh = scored.join(seen, ["user", "item"], "left_anti")
@@ -114,6 +134,12 @@ def baseline(ratings: DataFrame, by: str | None = None) -> DataFrame:
     return ratings.join(ratings.groupBy(by).agg(F.avg("rating").alias("prediction")), by)
 
 
+def logistic_loss(predicted: DataFrame) -> DataFrame:
+    """loss, n: the mean log loss of predictions in 0..1 against ratings in 0..1."""
+    p = F.least(F.greatest(F.col("prediction"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    return predicted.agg(F.avg(-(F.col("rating") * F.log(p) + (1 - F.col("rating")) * F.log(1 - p))).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
 def losses(predicted: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
     """rmse, mae, n of rating against prediction, clamped to [low, high]."""
     p = F.col("prediction")
@@ -140,7 +166,7 @@ def reciprocal_rank(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
 
 
 def kfold(rows: DataFrame, folds: int, *order: str) -> DataFrame:
-    """Adds fold: the row's number (in an order) modulo the number of folds; numbered within chunks, then shifted."""
+    """Adds fold: the row's number (in an order) modulo the number of folds."""
     from ..graph import rank_by
 
-    return rank_by(rows, order[0], order[1], "_row").withColumn("fold", F.col("_row") % folds).drop("_row")
+    return rank_by(rows, "_row", *order).withColumn("fold", F.col("_row") % folds).drop("_row")

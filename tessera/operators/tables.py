@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules that may be compiled into one expression; more are refused.
-MOST_RULES = 4096
+#: Rules compiled into one expression; more are compiled into several, one after another.
+RULES = 1024
 
 
 def exact_lookup(rows: DataFrame, rules: DataFrame, keys: list[str], default: dict[str, object] | None = None) -> DataFrame:
@@ -90,16 +90,43 @@ class AclRule:
 def acl_classify(rows: DataFrame, rules: list[AclRule], categories: int = 1) -> DataFrame:
     """rows with class_0 .. class_{n-1}: userdata of the matching rule of highest priority, 0 without one.
 
-    The rules are compiled into one expression, so the rows stay where they
-    are; ties of priority go to the rule that stands first.
+    The rules are compiled into expressions, so the rows stay where they are
+    and no rule table is shuffled; each expression's best rule is held against
+    the best so far. Ties of priority go to the rule that stands first.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules can be compiled")
-    out = {}
-    for c in range(categories):
-        hits = [F.when(r.matches(), F.struct(F.lit(r.priority).alias("p"), F.lit(-i).alias("i"), F.lit(r.userdata).alias("u"))) for i, r in enumerate(rules) if c in r.categories]
-        out[f"class_{c}"] = F.coalesce(F.array_max(F.array_compact(F.array(*hits)))["u"], F.lit(0)) if hits else F.lit(0)
-    return rows.withColumns(out)
+    names = [free_name(rows.columns, f"best_{c}") for c in range(categories)]
+    none = F.lit(None).cast("struct<p:int,i:int,u:int>")
+    out = rows.withColumns({name: none for name in names})
+    for start in range(0, len(rules), RULES):
+        best = {}
+        for c, name in enumerate(names):
+            hits = [
+                F.when(r.matches(), F.struct(F.lit(r.priority).cast("int").alias("p"), F.lit(-i).cast("int").alias("i"), F.lit(r.userdata).cast("int").alias("u")))
+                for i, r in enumerate(rules[start : start + RULES], start)
+                if c in r.categories
+            ]
+            if hits:
+                best[name] = F.array_max(F.array_compact(F.array(F.col(name), *hits)))
+        out = out.withColumns(best)
+    classes = {f"class_{c}": F.coalesce(F.col(name)["u"], F.lit(0)) for c, name in enumerate(names)}
+    return out.withColumns(classes).drop(*names)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores before it until it is none of the columns."""
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
+def add_rules(rules: DataFrame, keys: list[str], more: DataFrame) -> DataFrame:
+    """rules with those of more; an entry of the same keys is replaced."""
+    return rules.join(more.select(*keys).distinct(), keys, "left_anti").unionByName(more)
+
+
+def delete_rules(rules: DataFrame, keys: list[str], gone: DataFrame) -> DataFrame:
+    """rules without the keys that stand in gone."""
+    return rules.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
 @dataclass
@@ -111,6 +138,49 @@ class Stage:
     stats: list = field(default_factory=list)
 
 
+def firewall(rules: list[AclRule]):
+    """A stage's look: packets whose best rule has userdata 1 pass to the table named by `then`, all others are dropped."""
+
+    def make(then: str):
+        def look(rows: DataFrame) -> DataFrame:
+            allowed = acl_classify(rows, rules)
+            return allowed.withColumns({"action": F.when(F.col("class_0") == 1, "TABLE").otherwise("DROP"), "target": F.lit(then)}).drop("class_0")
+
+        return look
+
+    return make
+
+
+def flow_classifier(entries: DataFrame, keys: list[str], missed: int):
+    """A stage's look: packets go out at their flow's port (column port of entries), misses at the default one."""
+
+    def look(rows: DataFrame) -> DataFrame:
+        found = rows.join(entries.select(*keys, F.col("port").alias("_port")), keys, "left")
+        return found.withColumns({"action": F.lit("PORT"), "target": F.coalesce("_port", F.lit(missed)).cast("string")}).drop("_port").select(*rows.columns, "action", "target")
+
+    return look
+
+
+def router(routes: DataFrame, ip: str, arp: DataFrame | None = None):
+    """A stage's look: the longest prefix gives the port; without one, or without the next hop's address in arp, a packet is dropped."""
+
+    def look(rows: DataFrame) -> DataFrame:
+        found = lpm_lookup(rows, routes, ip)
+        known = F.col("next_hop").isNotNull()
+        if arp is not None:
+            found = found.join(arp.select(F.col("next_hop"), F.lit(True).alias("_known")).distinct(), "next_hop", "left")
+            known = known & F.coalesce("_known", F.lit(False))
+        out = found.withColumns({"action": F.when(known, "PORT").otherwise("DROP"), "target": F.col("next_hop").cast("string")})
+        return out.select(*rows.columns, "action", "target")
+
+    return look
+
+
+def passthrough(port: int):
+    """A stage's look: every packet goes out at one port."""
+    return lambda rows: rows.withColumns({"action": F.lit("PORT"), "target": F.lit(str(port))})
+
+
 def pipeline_route(rows: DataFrame, stages: list[Stage]) -> DataFrame:
     """rows with port (null: dropped) and table, the one that decided; stages are run in order.
 

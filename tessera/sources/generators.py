@@ -45,3 +45,11 @@ def stream_split(edges: DataFrame, share: float, most: int, seed: int = 0) -> Da
     """edges with base: true for about `share` of those between ids up to most; the rest is for the stream."""
     small = (F.col("src") <= most) & (F.col("dst") <= most)
     return edges.withColumn("base", small & (_uniform(seed, "src", "dst") < share))
+
+
+def with_random_values(edges: DataFrame, most: int = 5, seed: int = 0) -> DataFrame:
+    """src, dst, value: 1 to `most` random values on each edge between different, nonnegative ids."""
+    kept = edges.filter("src >= 0 AND dst >= 0 AND src <> dst")
+    n = 1 + (_uniform(seed, "src", "dst") * most).cast("int")
+    draw = F.transform(F.sequence(F.lit(1), n), lambda i: F.pmod(F.xxhash64(F.lit(seed), "src", "dst", i), F.lit(1000)).cast("float") / 1000)
+    return kept.select("src", "dst", draw.cast("array<float>").alias("value"))

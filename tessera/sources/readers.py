@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -104,6 +105,12 @@ def binary_edge_list(spark: SparkSession, path: str, value: str | None = None) -
     return spark.createDataFrame(records, schema).filter("src <> dst")
 
 
+def long_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """src, dst of files of little-endian pairs of 64-bit numbers; negative ids and loops are dropped."""
+    records = spark.sparkContext.binaryRecords(path, 16).map(lambda x: struct.unpack("<qq", x))
+    return spark.createDataFrame(records, "src long, dst long").filter("src >= 0 AND dst >= 0 AND src <> dst")
+
+
 @dataclass(frozen=True)
 class MatrixHeader:
     """What a Matrix Market file says of itself; size: rows, columns and, of a coordinate file, entries."""

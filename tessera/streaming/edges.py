@@ -7,21 +7,26 @@ window queries are an addition: the graph layer itself knows no event time.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
 
+def run_to_end(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a streaming aggregate over all that is there now; its result as a table in the folder, which all executors share.
 
-def run_to_end(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a streaming aggregate over all that is there now; its result as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    In complete mode each batch replaces the table; else it is added, under
+    the batch's number, so that a batch that is run again replaces itself.
+    """
+    table = f"{folder}/table"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(table if mode == "complete" else f"{table}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(table).select(*stream.columns)
 
 
 def degree_stream(edges: DataFrame) -> DataFrame:
@@ -31,33 +36,99 @@ def degree_stream(edges: DataFrame) -> DataFrame:
 
 
 class EvolvingGraph:
-    """Base edges and committed deltas in one folder; exactly once for each micro-batch."""
-
-    def __init__(self, spark: SparkSession, path: str, compact_share: float = 0.8):
-        self.spark, self.path, self.compact_share = spark, path, compact_share
-
-    def _delta(self, batch: DataFrame, number: int) -> None:
-        # a batch that is run again overwrites its own delta
-        batch.select("src", "dst").filter("src <> dst").write.mode("overwrite").parquet(f"{self.path}/delta/batch={number}")
+    """A base of edges, and the additions and deletions since, in one folder; exactly once for each micro-batch.
+
+    Additions and deletions lie under their batch's number. The base's folder
+    carries the last batch it holds; readers take the newest complete base
+    and the batches after it, so compaction swaps both at once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buffer_edges: int = 1_000_000, compact_share: float = 0.8, delete_share: float = 0.1):
+        self.spark, self.path, self.buffer_edges = spark, path, buffer_edges
+        self.compact_share, self.delete_share = compact_share, delete_share
+
+    def _files(self, folder: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _numbers(self, folder: str) -> list[int]:
+        """The numbers of a folder's complete parts."""
+        path, system = self._files(folder)
+        if not system.exists(path):
+            return []
+        parts = [x.getPath() for x in system.listStatus(path)]
+        path_of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(p.getName().split("=")[1]) for p in parts if "=" in p.getName() and system.exists(path_of(p, "_SUCCESS")))
+
+    def _since(self, folder: str) -> DataFrame:
+        base = max(self._numbers("base"), default=-1)
+        parts = [f"{self.path}/{folder}/batch={n}" for n in self._numbers(folder) if n > base]
+        rows = self.spark.read.schema("src long, dst long, batch long").option("basePath", f"{self.path}/{folder}")
+        return rows.parquet(*parts) if parts else self.spark.createDataFrame([], "src long, dst long, batch long")
+
+    def _commit(self, batch: DataFrame, number: int) -> None:
+        # a batch that is run again overwrites its own files
+        rows = batch.filter("src <> dst")
+        gone = F.coalesce(F.col("op") == "delete", F.lit(False)) if "op" in batch.columns else F.lit(False)
+        rows.filter(~gone).select("src", "dst").write.mode("overwrite").parquet(f"{self.path}/delta/batch={number}")
+        if "op" in batch.columns:
+            rows.filter(gone).select("src", "dst").distinct().write.mode("overwrite").parquet(f"{self.path}/deleted/batch={number}")
 
     def follow(self, edges: DataFrame, on_batch: Callable[[DataFrame, int], None] | None = None) -> None:
-        """Commits all that the stream has now; on_batch sees each batch's edges (to schedule their ends)."""
+        """Commits all that the stream (src, dst, and op "add" or "delete" if any) has now.
+
+        A deletion takes away the edge as it stood before its batch. on_batch
+        sees each batch's edges (to schedule their ends).
+        """
 
         def commit(batch: DataFrame, number: int) -> None:
-            self._delta(batch, number)
+            self._commit(batch, number)
             if on_batch is not None:
                 on_batch(batch, number)
+            if self.due():
+                self.compact()
 
         query = edges.writeStream.foreachBatch(commit).option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).start()
         query.awaitTermination()
 
     def edges(self) -> DataFrame:
-        """Base and deltas together."""
-        return self.spark.read.schema("src long, dst long, batch long").parquet(f"{self.path}/delta").select("src", "dst")
+        """Base and additions together, without what was deleted after it came; buffered edges are seen at once."""
+        base = max(self._numbers("base"), default=None)
+        rows = self._since("delta")
+        if base is not None:
+            rows = rows.union(self.spark.read.schema("src long, dst long").parquet(f"{self.path}/base/upto={base}").withColumn("batch", F.lit(base).cast("long")))
+        gone = self._since("deleted").groupBy("src", "dst").agg(F.max("batch").alias("_gone"))
+        left = rows.join(gone, ["src", "dst"], "left").filter(F.col("_gone").isNull() | (F.col("batch") >= F.col("_gone")))
+        return left.select("src", "dst")
+
+    def degrees(self) -> DataFrame:
+        """id, degree after additions and deletions: each edge counts once for either end."""
+        return degree_stream(self.edges())
+
+    def due(self) -> bool:
+        """Whether the buffer is filled to compact_share, or deletions are delete_share of the base and buffer."""
+        added, gone = self._since("delta").count(), self._since("deleted").count()
+        if added >= self.compact_share * self.buffer_edges:
+            return True
+        return gone > 0 and gone >= self.delete_share * (added + self._base_size())
+
+    def _base_size(self) -> int:
+        base = max(self._numbers("base"), default=None)
+        return 0 if base is None else self.spark.read.parquet(f"{self.path}/base/upto={base}").count()
 
     def compact(self) -> DataFrame:
-        """All edges in ranges of dst, cut from the deltas."""
-        return cut(self.edges().repartitionByRange("dst").sortWithinPartitions("src"))
+        """Folds all batches into a new base, in ranges of dst sorted by src, and removes what it replaces."""
+        batches = self._numbers("delta")
+        old = self._numbers("base")
+        if batches and batches[-1] > max(old, default=-1):
+            last = batches[-1]
+            self.edges().repartitionByRange("dst").sortWithinPartitions("src").write.mode("overwrite").parquet(f"{self.path}/base/upto={last}")
+            for folder, numbers, name in (("delta", batches, "batch"), ("deleted", self._numbers("deleted"), "batch"), ("base", old, "upto")):
+                for n in numbers:
+                    if n <= last and (folder != "base" or n < last):
+                        path, system = self._files(f"{folder}/{name}={n}")
+                        system.delete(path, True)
+        return self.edges()
 
 
 def tumbling_counts(events: DataFrame, width: str, lateness: str = "1 day") -> DataFrame:

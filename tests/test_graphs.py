@@ -5,6 +5,8 @@ import random
 import pytest
 
 from tessera import graph as G
+from tessera import pregel as P
+from tessera.metrics import Metrics
 from tessera.operators import algorithms as A
 from tessera.pregel import Kernel, VertexProgram, run, run_kernel
 from pyspark.sql import functions as F
@@ -174,3 +176,104 @@ def test_kernel(spark):
     kernel = Kernel(F.lit(1.0), lambda v: v, F.sum, lambda own, got: F.coalesce(got, F.lit(0.0)))
     got = dict(rows(run_kernel(make(spark, [(1, 2), (3, 2)]), kernel, 1)))
     assert got == {1: 0.0, 2: 2.0, 3: 0.0}
+
+
+def test_long_paths_are_walked_to_the_end(spark):
+    path = G.Graph.from_edges(spark.range(90).selectExpr("id AS src", "id + 1 AS dst"))
+    assert A.shortest_hops(path, 0).agg({"hops": "max"}).first()[0] == 90
+    assert A.bfs_tree(path, 0).agg({"level": "max"}).first()[0] == 90
+    assert A.shortest_hops(path, 0, 3).filter("hops < 0").count() == 87
+
+
+def test_scheduled_vertices_only(spark):
+    class Spread(P.VertexProgram):
+        """Counts updates of the vertices that are scheduled: each superstep schedules the next vertex of a path."""
+
+        selective = True
+
+        def init(self):
+            return {"n": F.lit(0)}
+
+        def message(self):
+            return F.lit(1)
+
+        def apply(self):
+            return {"n": F.col("n") + 1}
+
+        def delta(self):
+            return F.col("n") - F.col("old_n")
+
+        def after_iteration(self, iteration, context):
+            if iteration < 2:
+                context.add_task(spark.range(iteration + 1, iteration + 2))
+
+    path = G.Graph.from_edges(spark.range(5).selectExpr("id AS src", "id + 1 AS dst"))
+    state, context = P.run(path, Spread(), None)
+    assert {r.id: r.n for r in state.collect()} == {0: 1, 1: 2, 2: 2, 3: 1, 4: 1, 5: 1}
+    assert [m["delta"] for m in context.metrics] == [6, 1, 1]
+    c = P.IterationContext(0, 1)
+    c.remove_tasks(0, 3, path.vertices)
+    assert c.num_tasks() == 3 and not c.is_scheduled(1) and c.is_scheduled(4)
+    c.add_task(spark.range(1, 2), also_this_iteration=True)
+    assert c.is_scheduled(1)
+
+
+def test_repeated_superstep_and_metrics(spark):
+    class Twice(P.VertexProgram):
+        def __init__(self):
+            self.left = 1
+
+        def init(self):
+            return {"n": F.lit(0)}
+
+        def message(self):
+            return F.lit(1)
+
+        def apply(self):
+            return {"n": F.col("n") + 1}
+
+        def changed(self):
+            return F.col("n") != F.col("old_n")
+
+        def repeat_updates(self, context):
+            self.left -= 1
+            return self.left >= 0
+
+    m = Metrics("test")
+    edge = G.Graph.from_edges(spark.createDataFrame([(0, 1)], "src long, dst long"))
+    state, _ = P.run(edge, Twice(), 1, metrics=m)
+    assert {r.n for r in state.collect()} == {2} and m.values["changed"] == [2, 2] and m.values["superstep"]["count"] == 2
+
+
+def test_gather_apply_scatter(spark):
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 2.0), (0, 2, 5.0), (2, 3, 1.0)], "src long, dst long, w double")
+    best = P.GasProgram(
+        init={"d": F.when(F.col("id") == 0, 0.0).otherwise(float("inf"))},
+        gather=F.col("n_d") + F.col("w"),
+        plus=F.min,
+        apply={"d": F.least("d", "combined")},
+        scatter={"slack": F.col("s_d") + F.col("w") - F.col("d_d")},
+        signal=F.col("d") < F.col("old_d"),
+    )
+    done = P.run_gas(G.Graph.from_edges(edges), best, 10)
+    assert {r.id: r.d for r in done.vertices.collect()} == {0: 0.0, 1: 1.0, 2: 3.0, 3: 4.0}
+    assert {(r.src, r.dst): r.slack for r in done.edges.collect()} == {(0, 1): 0.0, (1, 2): 0.0, (0, 2): 2.0, (2, 3): 0.0}
+    assert P.aggregate_edges(done, F.col("slack"), finalize=lambda x: -x) == -2.0
+
+
+def test_labels_and_degrees(spark, tmp_path):
+    g = G.Graph.from_edges(spark.createDataFrame([(0, 1), (1, 2), (4, 5)], "src long, dst long"))
+    labels = A.connected_components(g)
+    assert G.label_count(labels).first()[0] == 2
+    assert {r.id: r.outdegree for r in A.intra_degrees(g, labels).collect()} == {0: 1, 1: 1, 2: 0, 4: 1, 5: 0}
+    G.write_labels(labels, str(tmp_path / "labels"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "labels")).collect()) == ["1 1 0", "2 1 0", "3 1 0", "5 1 4", "6 1 4"]
+    assert sorted(tuple(r) for r in g.degrees_between(1, 5).collect()) == [(1, 2), (2, 1), (4, 1)]
+    assert tuple(g.degree_totals().first()) == (5, 3, 1, 1)
+    assert {r.x for r in g.reset_edges(x=3).edges.collect()} == {3} and {r.y for r in g.reset_vertices(y=1).vertices.collect()} == {1}
+    for style, want in (("adjlist", ["0 1 1", "1 1 2", "4 1 5"]), ("cassovary", ["0 1", "1", "1 1", "2", "4 1", "5"])):
+        g.write_adjacency(str(tmp_path / style), style)
+        assert sorted(r.value for r in spark.read.text(str(tmp_path / style)).collect()) == sorted(want)
+    same = spark.createDataFrame([(7, i % 2) for i in range(40)], "a long, b long")
+    ranked = G.rank_by(same, "n", "a", "b").collect()
+    assert sorted(r.n for r in ranked) == list(range(40)) and all((r.n >= 20) == (r.b == 1) for r in ranked)

@@ -4,13 +4,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import arrays as A
 from tessera.functions import hashes as H
+from tessera.operators import algorithms as L
 from tessera.operators import etl as E
 from tessera.operators import factors as M
 from tessera.operators import flows as W
 from tessera.operators import similarity as S
 from tessera.operators import tables as T
 from tessera.sources import generators as N
+from tessera.sources import packets as K
 from tessera.sources import readers as R
 from tessera.streaming import edges as X
 
@@ -106,12 +109,12 @@ def test_longest_prefix_wins(spark):
     assert [r.next_hop for r in T.lpm6_lookup(spark.createDataFrame([("1" * 128,)], "bits string"), six, "bits").collect()] == [2]
 
 
-def test_acl_priority_and_refusal(spark):
+def test_acl_priority_and_many_rules(spark):
     x = spark.createDataFrame([(5,), (50,), (500,)], "v long")
     rules = [T.AclRule({"v": ("range", 0, 100)}, 1, 7), T.AclRule({"v": ("range", 40, 60)}, 2, 8)]
     assert [r.class_0 for r in T.acl_classify(x, rules).collect()] == [7, 8, 0]
-    with pytest.raises(ValueError):
-        T.acl_classify(x, rules * T.MOST_RULES)
+    many = [T.AclRule({"v": ("range", 1000 + i, 1000 + i)}, 1, 9) for i in range(T.RULES + 5)] + [T.AclRule({"v": ("range", 0, 1000)}, 3, 4)]
+    assert [r.class_0 for r in T.acl_classify(x, [*rules, *many]).collect()] == [4, 4, 4]
 
 
 def test_meters_by_hand(spark):
@@ -203,6 +206,27 @@ def test_streamed_edges_are_committed_once(spark, tmp_path):
     assert rows(X.run_to_end(X.degree_stream(stream()), "complete", str(tmp_path / "c"))) == [(1, 1), (2, 2), (3, 1)]
 
 
+def test_deletions_and_compaction(spark, tmp_path):
+    schema = "src long, dst long, op string"
+    feed = lambda *edges: spark.createDataFrame(list(edges), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    graph = X.EvolvingGraph(spark, str(tmp_path / "g"), buffer_edges=100, delete_share=0.9)
+    feed((1, 2, "add"), (2, 3, "add"), (3, 4, "add"))
+    graph.follow(stream())
+    feed((2, 3, "delete"), (4, 5, "add"))
+    graph.follow(stream())
+    left = [(1, 2), (3, 4), (4, 5)]
+    assert rows(graph.edges()) == left and not graph.due()
+    assert rows(graph.degrees()) == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 1)]
+    assert rows(graph.compact()) == left and graph._numbers("delta") == [] and graph._numbers("deleted") == [] and len(graph._numbers("base")) == 1
+    feed((2, 3, "add"), (1, 2, "delete"))
+    graph.follow(stream())
+    assert rows(graph.edges()) == [(2, 3), (3, 4), (4, 5)]
+    graph.delete_share = 0.2
+    assert graph.due()
+    assert rows(graph.compact()) == [(2, 3), (3, 4), (4, 5)] and len(graph._numbers("base")) == 1
+
+
 def test_machine_and_cold_start(spark, planted):
     from tessera.operators.machines import Machine, sparse_rows
 
@@ -324,3 +348,146 @@ def test_machine_has_a_slot_for_every_value_and_the_last_item(spark):
     assert m._encoded(unseen).first()["_features"].numNonzeros() == 2 and m.predict(unseen).count() == 1
     few = spark.createDataFrame([(1, 5, 1), (1, 4, 2), (1, 3, 2), (2, 9, 0)], "user long, item long, time long")
     assert rows(with_last_item(few).select("user", "last_item").distinct()) == [(1, 4), (2, 9)]
+
+
+def test_validation_halts_and_blocks_rank_alike(spark, planted):
+    train, test = planted, planted.limit(40)
+    fitted = M.fit(train, M.BiasedGradient(size=2, rate=0.05), 3, validation=test)
+    assert 1 <= len(fitted.history) <= 3
+    mad = M.fit(train, M.Gradient(size=2, rate=50.0), 4, validation=test)
+    assert len(mad.history) < 4 or mad.history == sorted(mad.history, reverse=True)
+    with pytest.raises(ValueError):
+        M.fit(train.withColumn("rating", -F.col("rating") - 1), M.Nonnegative(size=2), 1)
+    for model in (M.LeastSquares(size=2), M.BiasedGradient(size=2), M.ImplicitGradient(size=2), M.LogisticGradient(size=2), M.Boltzmann(size=2)):
+        fitted = M.fit(train, model, 1)
+        rated = train.limit(30)
+        got = {(r.user, r.rank): (r.item, round(r.score, 6)) for r in M.top_items(fitted, rated, 3).collect()}
+        seen = {(r.user, r.item) for r in rated.collect()}
+        pairs = fitted.users.select(F.col("id").alias("user")).crossJoin(fitted.items.select(F.col("id").alias("item"))).withColumn("rating", F.lit(0.0))
+        each = {}
+        for r in fitted.predict(pairs).collect():
+            if (r.user, r.item) not in seen:
+                each.setdefault(r.user, []).append((-round(r.prediction, 6), r.item))
+        assert got == {(u, k + 1): (i, -p) for u, x in each.items() for k, (p, i) in enumerate(sorted(x)[:3])}
+
+
+def test_singular_vectors(spark, planted):
+    a = np.zeros((200, 200))
+    for r in planted.collect():
+        a[r.user, r.item] = r.rating
+    want = np.linalg.svd(a)[1][:2]
+    for found in (M.svd(planted, 2, iterations=12), M.svd_one_sided(planted, 2, iterations=12)):
+        assert found.values == pytest.approx(want, rel=1e-4) and (found.errors < 1e-2 * want[0]).all()
+        u = {r.id: r.f for r in found.left.collect()}
+        assert sum(f[0] ** 2 for f in u.values()) == pytest.approx(1, rel=1e-3)
+    x = spark.createDataFrame([(i, 1.0) for i in range(200)], "id long, f double")
+    got = {r.id: r.f for r in M.multiply(planted, x, x, c=2.0, d=1.0, div=4.0).collect()}
+    assert got[0] == pytest.approx((2 * a[0].sum() + 1) / 4)
+
+
+def test_reading_of_lists_and_pairs(spark, tmp_path):
+    numbered = lambda *lines: spark.createDataFrame(list(enumerate(lines)), "n long, value string")
+    assert rows(E.first_per_key(numbered("1 5 9", "1 2 8", "1 7 1", "2 3 4"), 2)) == [(1, [5, 2], [9.0, 8.0]), (2, [3], [4.0])]
+    lines = spark.createDataFrame([(0, "x", "y"), (1, "y", "x"), (2, "z", "y")], "n long, a string, b string")
+    out, found = E.first_seen_ids(lines, ["a", "b"])
+    assert rows(out) == [(0, 1, 1), (1, 2, 2), (2, 3, 1)]
+    out, found = E.first_seen_ids(lines, ["a", "b"], single_domain=True)
+    assert rows(out) == [(0, 1, 2), (1, 2, 1), (2, 3, 2)]
+    E.save_dictionary(found["all"], str(tmp_path / "ids"))
+    assert rows(E.load_dictionary(spark, str(tmp_path / "ids"))) == [("x", 1), ("y", 2), ("z", 3)]
+    edges, ids, size = E.adjacency_ids(numbered("b 2 a c", "a 1 c"))
+    assert rows(edges) == [(1, 3), (2, 1), (2, 3)] and size == {"rows": 3, "columns": 3, "entries": 3}
+    pairs, ids = E.ip_pairs(numbered("10.0.0.2 10.0.0.1 x", "10.0.0.1 10.0.0.1 y", "1.2.3 4 z"))
+    assert rows(pairs) == [(0, 0, "y"), (1, 0, "x")]
+    assert rows(E.tweets_per_user(numbered("T 1", "U http://t/Ann", "W a", "U http://t/ann", "U http://t/bob"))) == [("ann", 2), ("bob", 1)]
+    trusts = spark.createDataFrame([(u, i) for u in range(5) for i in range(6)], "user long, item long")
+    split = E.trust_split(trusts, popular=2, least=4, train=3)
+    assert split.filter("item < 2").count() == 0 and rows(split.groupBy("user", "part").count().filter("part = 'train'").select("count").distinct()) == [(3,)]
+    ini = numbered("[a]", "x = 1 ; one", "# no", "[b]", "x=2=3")
+    assert rows(E.parse_ini(ini)) == [("a", "x", "1"), ("b", "x", "2=3")]
+    assert spark.range(1).select(E.key_values(F.lit("a=1,b=2,c")).alias("m")).first().m == {"a": "1", "b": "2", "c": None}
+    assert rows(E.merge_sorted(spark.createDataFrame([(1, 5)], "a int, b int"), spark.createDataFrame([(2, 7)], "a int, b int"), order=[F.desc("b")])) == [(1, 5), (2, 7)]
+    np.array([[1, 2], [3, 3], [-1, 4]], "<i8").tofile(tmp_path / "pairs")
+    assert rows(R.long_pairs(spark, str(tmp_path / "pairs"))) == [(1, 2)]
+
+
+def test_packets_in_and_out(spark, tmp_path):
+    p = K.synthetic(spark, 50, 5)
+    assert p.count() == 50 and p.filter("len < 1 OR len > 1500 OR flow >= 5").count() == 0
+    pieces = K.fragmented(K.ring(p.filter("flow < 2"), p.filter("flow >= 2")), 256)
+    K.reassembled_to_table(pieces.filter("NOT (event_id = 3 AND offset = 0)"), str(tmp_path / "whole"))
+    assert rows(K.stored(spark, str(tmp_path / "whole"), "event_id long, len long")) == [(r.event_id, r.len) for r in p.orderBy("event_id").collect() if r.event_id != 3]
+    K.drop(p)
+    K.to_table(p, str(tmp_path / "in"))
+    K.stream_to_table(K.stored(spark, str(tmp_path / "in"), "event_id long, flow long, time long, len long", stream=True), str(tmp_path / "out"), str(tmp_path / "progress"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+    timed = spark.createDataFrame([("a", "b", 1, 0, 8, True, 0), ("a", "b", 1, 8, 4, False, 90), ("a", "c", 1, 0, 8, True, 0), ("a", "c", 1, 8, 4, False, 200)], "source string, target string, id int, offset long, size long, more boolean, time long")
+    assert [r.complete for r in W.reassemble(timed, ["source", "target", "id"], timeout=100).orderBy("target").collect()] == [True, False]
+
+
+def test_hierarchical_schedule(spark):
+    shaping = W.Shaping(port_rate=1000.0, subport_rate=1000.0, subport_size=400.0, pipe_rate=500.0, pipe_size=200.0, class_bytes=(200.0, 200.0, 200.0, 200.0), period=1.0, queue_limit=3)
+    made = [(i, 0, 0, i % 2, 3 - i % 4, 0, 0, 100) for i in range(8)] + [(8, 0, 0, 0, 0, 0, 0, 1000), *[(20 + i, 1, 0, 0, 0, 0, 0, 10) for i in range(5)]]
+    p = spark.createDataFrame(made, "event_id long, port long, subport long, pipe long, class long, queue long, time long, len long")
+    got = {r.event_id: r.sent for r in W.hierarchical_schedule(p, shaping).collect()}
+    assert set(got) == {m[0] for m in made} and got[8] is None
+    assert sum(got[20 + i] is None for i in range(5)) == 2  # beyond the queue's limit
+    first = min(x for e, x in got.items() if x is not None and e < 8)
+    assert first == 0.0
+    for pipe in (0, 1):  # smaller classes of a pipe go first
+        of = sorted((got[m[0]], m[4]) for m in made[:8] if m[3] == pipe)
+        assert [c for _, c in of] == sorted(c for _, c in of)
+    times = sorted(x for e, x in got.items() if x is not None and e < 8)
+    assert all(b - a >= 0.1 - 1e-9 for a, b in zip(times, times[1:]))  # the port's rate
+    assert times[-1] >= (400 - 200) / 500 - 0.1  # the pipes' rate
+
+
+def test_timers_and_jobs(spark):
+    t = spark.createDataFrame([("a", 0, 10), ("b", 5, None)], "timer string, start long, period long")
+    assert rows(W.timer_expiries(t, 25)) == [("a", 0), ("a", 10), ("a", 20), ("b", 5)]
+    runs = spark.createDataFrame([("j", 1.0, 10.0), ("j", 3.0, 10.0)], "job string, seconds double, period double")
+    assert rows(W.job_stats(runs, target=1.0)) == [("j", 2, 4.0, 1.0, 2.0, 3.0, 5.0)]
+
+
+def test_array_functions_and_draws(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first().x
+    a = F.array(F.lit(1.0), F.lit(2.0))
+    assert value(A.append(a, F.lit(3.0))) == [1, 2, 3] and value(A.put(a, 3, F.lit(9.0), F.lit(0.0))) == [1, 2, 0, 9] and value(A.drop_at(a, 0)) == [2]
+    m = F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))
+    assert value(A.mat_vec(m, a)) == [5, 11] and value(A.transpose(m)) == [[1, 3], [2, 4]] and value(A.trace(m)) == 5
+    assert value(A.outer(a, a)) == [[1, 2], [2, 4]] and value(A.determinant(m)) == pytest.approx(-2) and value(A.solve(m, a)) == pytest.approx([0, 0.5])
+    assert value(A.json_field(F.lit('{"a":{"b":7}}'), "$.a.b", "int")) == 7
+    draws = spark.range(20000).select(A.normal(1, "id").alias("n"), A.exponential(2, "id").alias("e"), A.chi_square(3, "id", freedom=3).alias("c"), A.gamma(F.lit(2.0), F.col("id")).alias("g"))
+    r = draws.agg(F.avg("n"), F.stddev("n"), F.avg("e"), F.avg("c"), F.avg("g")).first()
+    assert list(r) == pytest.approx([0, 1, 1, 3, 2], abs=0.08)
+    rng = np.random.default_rng(0)
+    assert np.mean([A.wishart(rng, 5, np.eye(2)) for _ in range(2000)], axis=0) == pytest.approx(5 * np.eye(2), abs=0.3)
+    assert np.mean([A.multivariate_normal(rng, np.array([1.0, 2.0]), np.eye(2)) for _ in range(4000)], axis=0) == pytest.approx([1, 2], abs=0.1)
+
+
+def test_jenkins(spark):
+    def slow(a, b, c):
+        m = 0xFFFFFFFF
+        a, b, c = ((x + 0xDEADBEEF + 12) & m for x in (a, b, c))
+        rot = lambda x, k: (x << k | x >> (32 - k)) & m
+        c = ((c ^ b) - rot(b, 14)) & m
+        a = ((a ^ c) - rot(c, 11)) & m
+        b = ((b ^ a) - rot(a, 25)) & m
+        c = ((c ^ b) - rot(b, 16)) & m
+        a = ((a ^ c) - rot(c, 4)) & m
+        b = ((b ^ a) - rot(a, 14)) & m
+        return ((c ^ b) - rot(b, 24)) & m
+
+    x = [(1, 2, 3), (0, 0, 0), (0xFFFFFFFF, 5, 77)]
+    got = spark.createDataFrame(x, "a long, b long, c long").select(H.jenkins(F.col("a"), F.col("b"), F.col("c")).alias("h")).collect()
+    assert [r.h for r in got] == [slow(*y) for y in x]
+
+
+def test_coem(spark):
+    pairs = spark.createDataFrame([("p", "c1", 2), ("q", "c1", 1), ("q", "c2", 1), ("n", "c2", 3)], "phrase string, context string, count long")
+    seeds = spark.createDataFrame([("p", 1.0), ("n", 0.0)], "phrase string, p double")
+    got = {(r.side, r.id): r.p for r in L.coem(pairs, seeds, 1, tf_idf=False).collect()}
+    c1, c2 = (2 + 0.5) / 3, 0.5 / 4
+    q = (c1 + c2) / 2
+    assert got["phrase", "q"] == pytest.approx(q) and got["phrase", "p"] == 1 and got["context", "c1"] == pytest.approx((2 + q) / 3)
