@@ -3,7 +3,7 @@
 Every window of `width` tokens is known by its least k-gram (kernels.anchors):
 equal windows have equal ones. Consecutive windows of a document with one
 least k-gram form a segment, keyed by the k-gram's hash. Only segments whose
-key occurs twice go on. Segments of equal bytes (known by 128 bits of hash) are
+key occurs twice go on. Segments of equal bytes (known by 96 bits of hash, besides their key's 64) are
 one content with the earliest place it starts; contents are dealt to shards by
 key, so that equal windows always meet, and each shard is searched on its own
 (suffix array or FM-index), by the tokens themselves. A content whose key is
@@ -72,12 +72,13 @@ def _segments(rows: DataFrame, w: Windows, whole: bool) -> DataFrame:
                 a = tb[doc] + start
                 raw = memoryview(data.tobytes())
                 digest = b"".join([xxhash.xxh3_128_digest(raw[x:y], K.SEED) for x, y in zip(first[a].tolist(), last[a + n + w.width - 2].tolist())])
-                g, f = np.frombuffer(digest, np.int64).reshape(-1, 2).T
+                parts = np.frombuffer(digest, np.dtype([("g", "<i8"), ("f", "<i4"), ("rest", "<i4")]))
+                g, f = parts["g"].copy(), parts["f"].copy()
                 yield record(h=h, g=g, f=f, doc_id=batch.column("doc_id").to_numpy()[doc], start=start.astype(np.int32), n=n.astype(np.int32))
             else:
                 yield record(h=h)
 
-    return rows.mapInArrow(run, "h long, g long, f long, doc_id long, start int, n int" if whole else "h long")
+    return rows.mapInArrow(run, "h long, g long, f int, doc_id long, start int, n int" if whole else "h long")
 
 
 def _contents(rows: DataFrame, firsts: DataFrame, w: Windows) -> DataFrame:
@@ -116,7 +117,7 @@ def _contents(rows: DataFrame, firsts: DataFrame, w: Windows) -> DataFrame:
                 yield record(**{k: v[s] for k, v in columns.items()}, content=pa.array(text[s], pa.binary()))
 
     joined_ = rows.join(by_doc, "doc_id").select("doc_id", "text", "parts")
-    return joined_.mapInArrow(run, "route long, h long, g long, f long, doc_id long, start int, n int, off int, content binary")
+    return joined_.mapInArrow(run, "route long, h long, g long, f int, doc_id long, start int, n int, off int, content binary")
 
 
 #: Contents, their routes, first documents, first places and numbers of windows, to every window's first document and place.
@@ -163,7 +164,7 @@ def removed_spans(rows: DataFrame, w: Windows, search: Search, strict: bool) ->
         return pa.table({"h": found.column("h"), "g": found.column("g"), "f": found.column("f"), "runs": runs_of(n, *first, off)})
 
     dealt = _contents(rows, firsts, w).withColumn("shard", F.pmod(F.col("route"), F.lit(shards)))
-    found = dealt.groupBy("shard").applyInArrow(find, f"h long, g long, f long, runs {RUNS}")
+    found = dealt.groupBy("shard").applyInArrow(find, f"h long, g long, f int, runs {RUNS}")
     verdict = hits.join(found, ["h", "g", "f"]).select("doc_id", "start", F.explode("runs").alias("r"))
     earlier = F.col("r.doc") < F.col("doc_id")
     if not strict:

@@ -20,7 +20,7 @@ from .common import joined, record, session, slices, table
 from .induced_sort import sorted_suffixes
 from .repeats import Windows, covered, removed_spans
 
-WINDOWS = Windows("bytes", width=100, k=24, shard_tokens=4_000_000)
+WINDOWS = Windows("bytes", width=100, k=24, shard_tokens=3_000_000)
 
 
 def first_places(contents: pa.Array, route: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, width: int = WINDOWS.width):
