@@ -23,6 +23,12 @@ BATCH_ROWS = 512
 BATCH_BYTES = 2 << 20
 
 
+#: The words of each document, as SQL.
+WORDS_SQL = r"""words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+)"""
+
+
 def session(df_or_spark) -> SparkSession:
     """The session, with small Arrow batches and a checkpoint folder.
 

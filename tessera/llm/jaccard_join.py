@@ -8,13 +8,15 @@ Verification compares shingles as words, in three steps, each of which leaves
 out what the links found before have already joined:
 1. each text with the least text of all that it shares a signature with;
 2. each text with the least text of every signature that isn't one component yet;
-3. signatures that still hold several components, of three texts or more: all
-   pairs of their texts, laid out in blocks, each pair of blocks in one task.
+3. signatures that still hold several components, of three texts or more: texts
+   whose sketches allow a link form clusters, and each cluster's texts are
+   compared, laid out in blocks, each pair of blocks in one task.
 Two texts that share a signature are thus compared themselves, or were joined
-by verified links before. Pairs whose parity sketches differ in more bits than
-linked sets can differ in items are left out before their texts are read; that
-drops no link. Equal texts are one text from the start, known by 128 bits of a
-cryptographic hash of their words.
+by verified links before, or their parity sketches differ in more bits than
+linked sets can differ in items. Steps 1 and 2 look at sketches first too. No
+step hands on more rows than it takes in texts: links and clusters travel as
+spanning forests. Equal texts are one text from the start, known by 128 bits
+of a cryptographic hash of their words; candidates then get a number.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ from ..operators.algorithms import connected_components
 from . import jaccard_kernels as J
 from .common import Written, cut, free_name, joined, record, session, slices, table
 
-#: A block of a signature's texts holds about so many.
-BLOCK_SETS = 256
+#: A block holds about so many texts, or so many shingles, whichever comes first.
+BLOCK_SETS, BLOCK_ITEMS = 256, 400_000
 #: A text that is compared with more others than this is dealt to several tasks.
 SPREAD = 512
 #: Pairs whose sketches are compared at once.
 PAIRS = 1 << 15
+#: Columns of the matrices that are multiplied at once.
+COLUMNS = 4096
 
 
 def shingle_counts(docs: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def set_signatures(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(whole, n, sketch, text) of the wanted (whole, lead), each read from a document with doc_id lead."""
+    """(id, n, sketch, text) of the wanted (id, whole, lead), each read from a document with doc_id lead."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -87,12 +91,12 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in slices(batches):
             token, bounds = J.shingle_sets(*joined(batch.column("text")))
             sketch = pa.array([x.tobytes() for x in J.sketches(token, bounds)], pa.binary())
-            yield record(whole=batch.column("whole"), n=np.diff(bounds), sketch=sketch, text=batch.column("text"))
+            yield record(id=batch.column("id"), n=np.diff(bounds), sketch=sketch, text=batch.column("text"))
 
     keyed = docs.mapInArrow(keys, "doc_id long, key binary, text string")
     found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("lead")) & (F.col("key") == F.col("whole")))
-    found = found.select("lead", "whole", "text").dropDuplicates(["lead", "whole"]).select("whole", "text")
-    return found.mapInArrow(sketched, "whole binary, n long, sketch binary, text string")
+    found = found.select("lead", "whole", "id", "text").dropDuplicates(["lead", "whole"]).select("id", "text")
+    return found.mapInArrow(sketched, "id long, n long, sketch binary, text string")
 
 
 def _words64(column: pa.Array) -> np.ndarray:
@@ -108,8 +112,8 @@ def likely(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             ok = J.may_link(x, y, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    side = lambda k: texts.select(F.col("whole").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    return edges.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
+    side = lambda k: texts.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    return edges.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def compared(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -119,9 +123,9 @@ def compared(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     holds one batch; a b with many a is dealt to several tasks.
     """
     hub = edges.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts"))
-    text = texts.select(F.col("whole").alias("_k"), "text")
+    text = texts.select(F.col("id").alias("_k"), "text")
     hubs = hub.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    head = hubs.join(text, F.col("b") == F.col("_k")).select("b", "part", F.lit(None).cast("binary").alias("a"), "text")
+    head = hubs.join(text, F.col("b") == F.col("_k")).select("b", "part", F.lit(None).cast("long").alias("a"), "text")
     rest = edges.join(hub, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     rest = rest.join(text, F.col("a") == F.col("_k")).select("b", "part", "a", "text")
 
@@ -143,38 +147,89 @@ def compared(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             both = np.bincount(row[hubs[at] == key] if len(hubs) else row[:0], minlength=len(a))
             linked = ~is_hub & (100 * both >= percent * (size + size[own] - both))
             at = np.flatnonzero(linked).tolist()
-            yield record(a=pa.array([a[i] for i in at], pa.binary()), b=pa.array([b[i] for i in at], pa.binary()))
+            yield record(a=pa.array([a[i] for i in at], pa.int64()), b=pa.array([b[i] for i in at], pa.int64()))
             hub_text, hub_key = text[own[-1]], b[own[-1]]
 
     dealt = head.unionByName(rest).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return dealt.mapInArrow(compare, "a binary, b binary")
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
-def likely_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (sig, whole, part) of one signature and different parts whose sketches don't rule a link out.
+def links_of(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i of left, j of right) of linked sets; right None: pairs i < j of left.
+
+    Intersections are counted exactly, by products of 0/1 matrices over the
+    items that occur in two sets or more.
+    """
+    sets = left if right is None else left + right
+    size = np.array([len(x) for x in sets])
+    item, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    column = np.cumsum(often > 1) - 1
+    use = often[inverse] > 1
+    col, row = column[inverse[use]], owner[use]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    n, m = len(left), len(sets) - len(left) if right is not None else len(left)
+    both = np.zeros((n, m), np.float32)
+    last = int(col[-1]) + 1 if len(col) else 0
+    for c in range(0, last, COLUMNS):
+        s, e = np.searchsorted(col, [c, c + COLUMNS])
+        x = np.zeros((len(sets), min(COLUMNS, last - c)), np.float32)
+        x[row[s:e], col[s:e] - c] = 1
+        both += x[:n] @ (x[:n] if right is None else x[n:]).T
+    a, b = size[:n], size[:n] if right is None else size[n:]
+    both = both.astype(np.int64)
+    linked = 100 * both >= percent * (a[:, None] + b[None, :] - both)
+    if right is None:
+        linked = np.triu(linked, 1)
+    return np.nonzero(linked)
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Indices of edges that connect what all edges (i, j) connect."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+    return kept
+
+
+def likely_forest(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all members (sig, id, part) of one signature and different parts whose sketches allow a link.
 
     Signatures with the same members are looked at once. A signature's texts
     are laid out in blocks by a hash; the rows of blocks (i, j) lie together
     in one partition, so no task holds more than two blocks of sketches at
-    once, whatever a signature's size.
+    once, whatever a signature's size, and hands on fewer edges than rows.
     """
-    groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), F.bit_xor(F.xxhash64("whole")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "whole")).alias("y"))
+    groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     groups = groups.groupBy("sets", "x", "y").agg(F.min("sig").alias("sig"))
     groups = groups.select("sig", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
-    laid = members.join(groups, "sig").withColumn("block", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
-    laid = laid.select("sig", "block", "whole", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    laid = laid.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "whole", "part")
-    laid = laid.join(texts.select("whole", "n", "sketch"), "whole").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    laid = members.join(groups, "sig").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    laid = laid.select("sig", "block", "id", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    laid = laid.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "part")
+    laid = laid.join(texts.select("id", "n", "sketch"), "id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
-    def pairs(rows: pa.RecordBatch, head: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Pairs of rows of the same group; head: where groups start."""
+    def forest(rows: pa.RecordBatch, head: np.ndarray) -> pa.RecordBatch:
+        """Of the pairs of rows of the same group (groups start at head), a spanning forest of those that may link."""
         size = np.diff(np.append(head, rows.num_rows))
         end = np.repeat(head + size, size)
         later = end - 1 - np.arange(rows.num_rows)  # rows of the group after each row
         until = np.concatenate([[0], np.cumsum(later)])
-        sketch, n, block = _words64(rows.column("sketch")), *(rows.column(c).to_numpy() for c in ("n", "block"))
-        part = rows.column("part").dictionary_encode().indices.to_numpy()
-        across = np.repeat((rows.column("i").to_numpy() != rows.column("j").to_numpy())[head], size)
+        sketch = _words64(rows.column("sketch"))
+        id_, n, part, block, i, j = (rows.column(c).to_numpy() for c in ("id", "n", "part", "block", "i", "j"))
+        across = i != j
+        left, right = [], []
         for start in range(0, int(until[-1]), PAIRS):
             k = np.arange(start, min(start + PAIRS, int(until[-1])))
             x = np.searchsorted(until, k, side="right") - 1
@@ -182,8 +237,11 @@ def likely_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFram
             ok = (part[x] != part[y]) & (~across[x] | (block[x] != block[y]))
             x, y = x[ok], y[ok]
             ok = J.may_link(sketch[x], sketch[y], n[x], n[y], percent)
-            x, y = (rows.column("whole").take(pa.array(z[ok])) for z in (x, y))
-            yield record(a=x, b=y)
+            x, y = np.concatenate([*left, x[ok]]), np.concatenate([*right, y[ok]])
+            kept = spanning(rows.num_rows, x, y)
+            left, right = [x[kept]], [y[kept]]
+        x, y = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (left, right))
+        return record(a=id_[x], b=id_[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -194,30 +252,62 @@ def likely_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFram
             key = np.column_stack([rows.column(c).to_numpy() for c in ("sig", "i", "j")])
             head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
             if len(head) > 1:  # the last group may go on in the next batch
-                yield from pairs(rows.slice(0, head[-1]), head[:-1])
+                yield forest(rows.slice(0, head[-1]), head[:-1])
             held = [rows.slice(head[-1])]
         for rows in held:
-            yield from pairs(rows, np.zeros(1, np.int64))
+            yield forest(rows, np.zeros(1, np.int64))
 
-    return laid.mapInArrow(run, "a binary, b binary").distinct()
+    return laid.mapInArrow(run, "a long, b long").distinct()
+
+
+def cluster_links(clusters: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all that is linked within each cluster (id, part: the cluster).
+
+    A cluster's texts are laid out in blocks by a hash; the task of blocks
+    (i, j) compares the texts of i with those of j, so no task holds more than
+    two blocks, whatever a cluster's size.
+    """
+    sized = clusters.join(texts.select("id", "n"), "id")
+    sizes = sized.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    laid = clusters.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    laid = laid.select("part", "block", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    laid = laid.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
+    laid = laid.join(texts.select("id", "text"), "id").repartition("part", "i", "j")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key[1:])
+        id_, block = rows.column("id").to_numpy(), rows.column("block").to_numpy()
+        token, bounds = J.exact_sets(rows.column("text"))
+        items = np.split(token, bounds[1:-1])
+        a = np.flatnonzero(block == i)
+        if i == j:
+            x, y = links_of(items, None, percent)
+        else:
+            b = np.flatnonzero(block == j)
+            x, y = links_of([items[k] for k in a], [items[k] for k in b], percent) if len(a) and len(b) else (a[:0], b[:0])
+            x, y = a[x], b[y]
+        kept = spanning(len(items), x, y)
+        return pa.table({"a": id_[x[kept]], "b": id_[y[kept]]})
+
+    return laid.groupBy("part", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _components(links: DataFrame) -> DataFrame:
-    """(whole, part): the component of every text that has a link."""
+    """(id, part): the component of every text that has a link."""
     found = connected_components(Graph(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    return found.select(F.col("id").alias("whole"), F.col("label").alias("part"))
+    return found.select("id", F.col("label").alias("part"))
 
 
 def _apart(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """The edges (a, b) whose texts are in different components."""
-    side = lambda k: parts.select(F.col("whole").alias(k), F.col("part").alias(f"p{k}"))
+    side = lambda k: parts.select(F.col("id").alias(k), F.col("part").alias(f"p{k}"))
     both = edges.join(side("a"), "a", "left").join(side("b"), "b", "left")
     return both.filter(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
 
 
 def _open(members: DataFrame, parts: DataFrame, least: int) -> DataFrame:
-    """(sig, whole, part): the members of signatures that hold `least` texts or more in several components."""
-    placed = members.join(parts, "whole", "left").select("sig", "whole", F.coalesce("part", "whole").alias("part"))
+    """(sig, id, part): the members of signatures that hold `least` texts or more in several components."""
+    placed = members.join(parts, "id", "left").select("sig", "id", F.coalesce("part", "id").alias("part"))
     several = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
     return placed.join(several.filter((F.col("n") >= least) & (F.col("low") != F.col("high"))).select("sig"), "sig", "left_semi")
 
@@ -268,33 +358,36 @@ def _answers(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     signed = set_signatures(rows, percent)
     shared = cut(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), release=True)
     met = Written(signed.join(shared, "sig", "left_semi").distinct())
-    # a signature of copies of one text decides nothing
-    several = met.df.groupBy("sig").agg(F.min("whole").alias("centre"), F.max("whole").alias("last")).filter("centre <> last").select("sig", "centre")
-    members = Written(met.df.join(several, "sig"))
+    # tables, so that Spark knows their sizes when it chooses how to join; candidates are numbered
+    ids = Written(met.df.select("whole").distinct().join(first.select("whole", "lead"), "whole").withColumn("id", F.monotonically_increasing_id()))
+    numbered = Written(met.df.join(ids.df.select("whole", "id"), "whole").select("sig", "id"))
     met.drop()
-    sides = members.df.select("sig", "whole")
-    spokes = members.df.filter("whole <> centre").select(F.col("whole").alias("a"), F.col("centre").alias("b"))
-    # tables, so that Spark knows their sizes when it chooses how to join
-    wanted = Written(sides.select("whole").distinct().join(first.select("whole", "lead"), "whole"))
-    texts = Written(texts_of(rows, wanted.df))
-
-    one = spokes.groupBy("a").agg(F.min("b").alias("b"))
+    # a signature of copies of one text decides nothing
+    several = numbered.df.groupBy("sig").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre <> last").select("sig", "centre")
+    members = Written(numbered.df.join(several, "sig"))
+    numbered.drop()
+    spokes = Written(members.df.filter("id <> centre").groupBy(F.col("id").alias("a"), F.col("centre").alias("b")).agg(F.lit(1).alias("_")).select("a", "b"))
+    inside = members.df.select("id").distinct()
+    texts = Written(texts_of(rows, ids.df.join(inside, "id", "left_semi")))
+
+    one = spokes.df.groupBy("a").agg(F.min("b").alias("b"))
     links = cut(compared(likely(one, texts.df, percent), texts.df, percent))
     parts = _components(links)
     # what isn't joined yet, with the least text of each of its signatures; a's least was compared before
-    apart = spokes.distinct().join(one.select("a", F.col("b").alias("least")), "a").filter("b <> least").select("a", "b")
+    apart = spokes.df.join(one.select("a", F.col("b").alias("least")), "a").filter("b <> least").select("a", "b")
     links = cut(links.union(compared(likely(_apart(apart, parts), texts.df, percent), texts.df, percent)))
     parts = _components(links)
-    rest = cut(likely_pairs(_open(sides, parts, 3), texts.df, percent), release=True)
-    links = cut(links.union(compared(rest, texts.df, percent)), release=True)
-    parts = _components(links)
-    for written in (members, wanted, texts):
+    rest = cut(likely_forest(_open(members.df.select("sig", "id"), parts, 3), texts.df, percent), release=True)
+    links = cut(links.union(cluster_links(_components(rest), texts.df, percent)), release=True)
+    parts = _components(links).join(ids.df.select("id", "whole"), "id").select("whole", "part")
+    parts = cut(parts)
+    for written in (members, spokes, texts, ids):
         written.drop()
 
     # a component's least doc_id, by way of each text's least doc_id
-    lead = first.join(parts, "whole", "left").select("whole", "lead", "copies", F.coalesce("part", "whole").alias("part"))
-    least = lead.groupBy("part").agg(F.min("lead").alias("component_id"))
-    answer = lead.join(least, "part")
+    lead = first.join(parts, "whole", "left").select("whole", "lead", "copies", "part")
+    least = lead.filter("part IS NOT NULL").groupBy("part").agg(F.min("lead").alias("least"))
+    answer = lead.join(least, "part", "left").withColumn("component_id", F.when(F.col("part").isNull(), F.col("lead")).otherwise(F.col("least")))
     # only texts whose answer isn't each document's own id need a join
     moved = answer.filter((F.col("copies") > 1) | ~F.col("component_id").eqNullSafe(F.col("lead"))).select("whole", "component_id", F.lit(True).alias("moved"))
     return counted.join(moved, "whole", "left").select("doc_id", "whole", "n_shingles", F.when(F.col("moved"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -302,3 +395,18 @@ def _answers(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 3, 1) END)) AS i FROM words),
+sets AS (SELECT DISTINCT doc_id, md5(list_aggregate(w[i + 1 : i + 4], 'string_agg', ' ')) AS g FROM x),
+size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+content AS (SELECT doc_id, n, (SELECT 1) AS one FROM size),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_ JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 100 * k >= 85 * (s.n + t.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, w.b FROM reach r JOIN ways w ON w.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents LEFT JOIN size USING (doc_id) JOIN least ON a = doc_id
+"""

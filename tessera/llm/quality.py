@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import joined, per_document, record, session, slices, table
+from .common import WORDS_SQL, joined, per_document, record, session, slices, table
 
 #: Largest share of a text's word characters that may stand in n-grams that occur twice or more, by n.
 NGRAM_SHARE = {5: 0.20, 6: 0.20, 7: 0.20, 8: 0.20, 9: 0.20, 10: 0.20}
@@ -149,4 +149,26 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    """The contract's columns; shares and reasons are the operator's."""
+    done = quality_rules(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP1_SQL = rf"""
+WITH {WORDS_SQL},
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, w FROM words),
+chars AS (SELECT doc_id, sum(length(word)) AS word_chars FROM x GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+dup AS (SELECT doc_id, sum(n - 1) AS n_dup_lines, sum((n - 1) * c) AS dup_chars FROM (
+  SELECT doc_id, line, count(*) AS n, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS c FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) AS l GROUP BY doc_id),
+grams AS (SELECT doc_id, i, n, list_aggregate(w[i + 1 : i + n], 'string_agg', ' ') AS gram FROM x, (SELECT unnest([5, 6, 7, 8, 9, 10]) AS n) AS lengths WHERE i + n <= len(w)),
+twice AS (SELECT doc_id, i, n FROM (SELECT doc_id, i, n, count(*) OVER (PARTITION BY doc_id, n, gram) AS k FROM grams) AS g WHERE k > 1),
+hit AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS j FROM twice),
+shares AS (SELECT h.doc_id, n, count(*) AS words, sum(length(word)) AS c FROM hit h JOIN x ON x.doc_id = h.doc_id AND x.i = h.j GROUP BY h.doc_id, n),
+bad AS (SELECT doc_id, max(words) FILTER (WHERE n = 5) AS n_repeat_words, max(c) AS most FROM shares GROUP BY doc_id),
+a AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(len(coalesce(text, '')) - len(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(dup_chars, 0) AS dup_chars, coalesce(most, 0) AS most
+  FROM documents d JOIN words USING (doc_id) LEFT JOIN chars USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN bad USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND dup_chars / greatest(word_chars, 1) <= 0.3 AND most / greatest(word_chars, 1) <= 0.2 AS kept FROM a
+"""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from .byte_bpe import op9_byte_bpe
 from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP3_SQL, op3_exact_dedup
-from .jaccard_join import op6_jaccard_join
+from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .language import op10_language_id
 from .packing import op7_packing
-from .quality import op1_quality_rules
-from .substring_dedup import op4_substring_dedup
-from .suffix_dedup import op2_suffix_dedup
+from .quality import OP1_SQL, op1_quality_rules
+from .substring_dedup import OP4_SQL, op4_substring_dedup
+from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 from .toxicity import op5_toxicity
 
 QUERIES = {
@@ -27,6 +27,10 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_quality_rules": OP1_SQL,
+    "op2_suffix_dedup": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op6_jaccard_join": OP6_SQL,
     "op8_chat_format": OP8_SQL,
 }

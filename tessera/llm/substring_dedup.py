@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import joined, record, session, slices, table
+from .common import WORDS_SQL, joined, record, session, slices, table
 from .fm_index import FMIndex
 from .repeats import Windows, covered, removed_spans
 
@@ -142,3 +142,16 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = rf"""
+WITH {WORDS_SQL},
+x AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 49, 0))) AS i FROM words),
+win AS (SELECT doc_id, i, md5(list_aggregate(w[i + 1 : i + 50], 'string_agg', ' ')) AS g FROM x),
+first AS (SELECT g, min(doc_id) AS least FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN first USING (g) WHERE least < doc_id),
+lost AS (SELECT doc_id, list(j) AS j FROM gone GROUP BY doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS j FROM words),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.j) AS t FROM each e ANTI JOIN gone ON gone.doc_id = e.doc_id AND gone.j = e.j GROUP BY e.doc_id)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(len(j), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -85,3 +85,20 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(greatest(n - 99, 0))) AS i FROM bytes) AS s),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM win) AS w WHERE r > 1),
+marked AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM later),
+runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM marked),
+spans AS (SELECT doc_id, r, min(i) AS lo, max(i) + 100 AS hi FROM runs GROUP BY doc_id, r),
+ends AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS from_ FROM spans),
+parts AS (SELECT doc_id, from_ AS place, substr(h, 2 * from_ + 1, 2 * (lo - from_)) AS part FROM ends JOIN bytes USING (doc_id)
+  UNION ALL SELECT doc_id, hi, substr(h, 2 * hi + 1) FROM (SELECT doc_id, max(hi) AS hi FROM spans GROUP BY doc_id) AS l JOIN bytes USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(part, '' ORDER BY place) AS k FROM parts GROUP BY doc_id),
+total AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM bytes LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
