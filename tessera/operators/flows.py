@@ -7,7 +7,6 @@ current flow's few counters are in memory, however long a flow is.
 
 from __future__ import annotations
 
-import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -128,6 +127,13 @@ class DropProfile:
     most: float
 
 
+def _draw(number: int, seed: int) -> float:
+    """A number in [0, 1) from a multiplicative hash, the same whenever it is drawn."""
+    x = (number * 2654435761 + seed * 40503) % 4294967296
+    x = (x ^ x >> 15) * 2246822519 % 4294967296
+    return (x ^ x >> 13) / 4294967296
+
+
 def early_drop(
     packets: DataFrame, low: float, high: float, most: float, weight: float = 0.002, drain: float = 1.0, seed: int = 0, colours: dict[int, DropProfile] | None = None
 ) -> DataFrame:
@@ -161,7 +167,7 @@ def early_drop(
                 s["count"] += 1
                 pb = p.most * (s["avg"] - p.low) / (p.high - p.low)
                 pa_ = pb / max(1e-9, 1 - s["count"] * pb)
-                if zlib.crc32(f"{seed}:{event_id}".encode()) / 2**32 < pa_:
+                if _draw(event_id, seed) < pa_:
                     drop, s["count"] = True, 0
             else:
                 s["count"] = -1

@@ -167,9 +167,28 @@ for _name, _make in {
     QUERIES[_name] = _meter(_make)
 
 
-@query()
+RED_SQL = f"""WITH RECURSIVE {PACKETS.strip()}, o AS (SELECT event_id, flow, epoch_us(ts) AS t, row_number() OVER (PARTITION BY flow ORDER BY epoch_us(ts), event_id) AS r FROM packets),
+d AS (SELECT *, (event_id * 2654435761) % 4294967296 AS h FROM o), e AS (SELECT *, CAST(CAST(xor(h, h >> 15) AS HUGEINT) * 2246822519 % 4294967296 AS BIGINT) AS g FROM d), u AS (SELECT *, xor(g, g >> 13) / 4294967296.0e0 AS u FROM e),
+m AS (SELECT event_id, flow, r, t, 0.0e0 AS average, false AS dropped, 1.0e0 AS q, CAST(-1 AS BIGINT) AS k FROM u WHERE r = 1
+  UNION ALL SELECT event_id, flow, r, t, average, dropped, CASE WHEN dropped THEN q ELSE q + 1 END, CASE WHEN dropped THEN 0 WHEN average > 1.0 THEN k + 1 ELSE -1 END FROM (
+    SELECT *, average >= 8.0 OR (average > 1.0 AND u < pb / greatest(1e-9, 1 - (k + 1) * pb)) AS dropped FROM (
+      SELECT *, 0.5e0 * (average - 1.0e0) / 7.0e0 AS pb FROM (
+        SELECT event_id, flow, r, t, u, q, k, a + 0.2e0 * (q - a) AS average FROM (
+          SELECT n.event_id, n.flow, n.r, n.t, n.u, greatest(0.0e0, m.q - (n.t - m.t) / 1e6 * 1e-6) AS q, m.average * pow(0.8e0, greatest(0.0e0, (n.t - m.t) / 1e6 * 1e-6 - m.q)) AS a, m.k FROM m JOIN u n ON n.flow = m.flow AND n.r = m.r + 1
+        ) AS s1) AS s2) AS s3) AS s4)
+SELECT event_id, flow, round(average, 6) AS average, dropped FROM m"""
+
+
+@query(RED_SQL)
 def red_drop(spark, sf_dir):
-    return W.early_drop(_timed(spark, sf_dir), 1.0, 8.0, 0.5, weight=0.2, drain=1e-6)
+    return W.early_drop(_timed(spark, sf_dir).drop("colour"), 1.0, 8.0, 0.5, weight=0.2, drain=1e-6).withColumn("average", F.round("average", 6))
+
+
+@query()
+def wred_drop(spark, sf_dir):
+    """Packets of colour 2 are dropped sooner, those of colour 0 later."""
+    colours = {0: W.DropProfile(2.0, 10.0, 0.3), 2: W.DropProfile(0.5, 4.0, 0.9)}
+    return W.early_drop(_timed(spark, sf_dir), 1.0, 8.0, 0.5, weight=0.2, drain=1e-6, colours=colours).withColumn("average", F.round("average", 6))
 
 
 @query("SELECT event_id, user_id AS flow, event_id % 7 + event_id // 7 * 7 AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 7 + event_id // 7 * 7, event_id) AS place FROM events")

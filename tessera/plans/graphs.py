@@ -131,12 +131,35 @@ def bfs_parents(spark, sf_dir):
     return A.bfs_tree(bought(spark, sf_dir), SOURCE).select("id", "parent")
 
 
-@query("SELECT \"check\", CAST(violations AS BIGINT) AS violations FROM (VALUES ('root', 0), ('levels', 0), ('reached', 0), ('parent level', 0), ('parent edge', 0)) AS t(\"check\", violations)")
+def bfs_checks_sql(tree: str) -> str:
+    """The five rules counted by SQL over a tree made from t (id, parent, level)."""
+    return f"""{BFS}, t AS (SELECT v.id, CASE WHEN v.id = {SOURCE} THEN v.id ELSE min(u.id) END AS parent, any_value(v.h) AS level
+  FROM h10 v LEFT JOIN both_ways e ON e.dst = v.id LEFT JOIN h10 u ON u.id = e.src AND u.h = v.h - 1 WHERE v.h IS NOT NULL GROUP BY v.id),
+a AS ({tree}), und AS (SELECT DISTINCT src, dst FROM both_ways),
+ends AS (SELECT x.level AS x, y.level AS y FROM und LEFT JOIN a x ON x.id = src LEFT JOIN a y ON y.id = dst)
+SELECT 'root' AS "check", count(*) AS violations FROM a WHERE id = {SOURCE} AND parent <> {SOURCE}
+UNION ALL SELECT 'levels', count(*) FROM ends WHERE abs(x - y) > 1
+UNION ALL SELECT 'reached', count(*) FROM ends WHERE (x IS NULL) <> (y IS NULL)
+UNION ALL SELECT 'parent level', count(*) FROM a LEFT JOIN a p ON p.id = a.parent WHERE a.id <> {SOURCE} AND (p.level IS NULL OR a.level <> p.level + 1)
+UNION ALL SELECT 'parent edge', count(*) FROM a WHERE id <> {SOURCE} AND NOT EXISTS (SELECT 1 FROM und WHERE src = a.parent AND dst = a.id)"""
+
+
+@query(bfs_checks_sql("SELECT * FROM t"))
 def bfs_valid(spark, sf_dir):
     g = bought(spark, sf_dir)
     return A.bfs_violations(g, A.bfs_tree(g, SOURCE), SOURCE)
 
 
+@query(bfs_checks_sql("SELECT id, CASE WHEN id % 50 = 11 THEN id + 1 ELSE parent END AS parent, CASE WHEN id % 50 = 7 THEN level + 2 ELSE level END AS level FROM t WHERE id % 50 <> 9"))
+def bfs_broken(spark, sf_dir):
+    """The same counts for a tree of which some levels and parents are wrong and some vertices are missing."""
+    g = bought(spark, sf_dir)
+    wrong = A.bfs_tree(g, SOURCE).filter("id % 50 <> 9").withColumns(
+        {"parent": F.when(F.col("id") % 50 == 11, F.col("id") + 1).otherwise(F.col("parent")), "level": F.when(F.col("id") % 50 == 7, F.col("level") + 2).otherwise(F.col("level"))}
+    )
+    return A.bfs_violations(g, wrong, SOURCE)
+
+
 @query(BFS + " SELECT CAST(min(h) AS DOUBLE) AS least, round(quantile_cont(h, 0.25), 6) AS first_quartile, round(median(h), 6) AS median, round(quantile_cont(h, 0.75), 6) AS third_quartile, CAST(max(h) AS DOUBLE) AS largest, round(avg(h), 6) AS mean, round(stddev(h), 6) AS deviation, round(count(*) / sum(1.0 / h), 6) AS harmonic_mean FROM h10 WHERE h > 0")
 def bfs_statistics(spark, sf_dir):
     levels = A.bfs_tree(bought(spark, sf_dir), SOURCE).filter("level > 0").select(F.col("level").cast("double").alias("level"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import factor_models, flows, graphs, recommend, streams
+from . import engine, factor_models, flows, graphs, recommend, streams
 from .graphs import flagship  # noqa: F401
 
-QUERIES = {**graphs.QUERIES, **recommend.QUERIES, **factor_models.QUERIES, **flows.QUERIES, **streams.QUERIES}
-SQL = {**graphs.SQL, **recommend.SQL, **factor_models.SQL, **flows.SQL, **streams.SQL}
+QUERIES = {**graphs.QUERIES, **recommend.QUERIES, **factor_models.QUERIES, **flows.QUERIES, **streams.QUERIES, **engine.QUERIES}
+SQL = {**graphs.SQL, **recommend.SQL, **factor_models.SQL, **flows.SQL, **streams.SQL, **engine.SQL}
