@@ -4,19 +4,17 @@ Candidates: each distinct text's shingles are hashed into segments by its size
 band; linked sets share a segment, or one that differs by one item
 (jaccard_kernels). So all that links shares a signature.
 
-Verification compares shingles as words, in three steps, each of which leaves
-out what the links found before have already joined:
+Verification compares shingles as words:
 1. each text with the least text of all that it shares a signature with;
-2. each text with the least text of every signature that isn't one component yet;
-3. signatures that still hold several components, of three texts or more: texts
-   whose sketches allow a link form clusters, and each cluster's texts are
-   compared, laid out in blocks, each pair of blocks in one task.
+2. in signatures whose texts those links haven't joined to one component yet,
+   texts whose parity sketches allow a link form clusters, and each cluster's
+   texts are compared, laid out in blocks, each pair of blocks in one task.
 Two texts that share a signature are thus compared themselves, or were joined
-by verified links before, or their parity sketches differ in more bits than
-linked sets can differ in items. Steps 1 and 2 look at sketches first too. No
-step hands on more rows than it takes in texts: links and clusters travel as
-spanning forests. Equal texts are one text from the start, known by 128 bits
-of a cryptographic hash of their words; candidates then get a number.
+by verified links before, or their sketches differ in more bits than linked
+sets can differ in items. Step 1 looks at sketches first too. No step hands on
+more rows than it takes in texts: links and clusters travel as spanning
+forests. Equal texts are one text from the start, known by 128 bits of a
+cryptographic hash of their words; candidates then get a number.
 """
 
 from __future__ import annotations
@@ -207,18 +205,28 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
 def likely_forest(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect all members (sig, id, part) of one signature and different parts whose sketches allow a link.
 
-    Signatures with the same members are looked at once. A signature's texts
-    are laid out in blocks by a hash; the rows of blocks (i, j) lie together
-    in one partition, so no task holds more than two blocks of sketches at
-    once, whatever a signature's size, and hands on fewer edges than rows.
+    Signatures with the same members are looked at once; those that hang
+    together are looked at as one group where that takes fewer rows. A group's
+    texts are laid out in blocks by a hash; the rows of blocks (i, j) lie
+    together in one partition, so no task holds more than two blocks of
+    sketches at once, whatever a group's size, and hands on fewer edges than
+    rows.
     """
-    groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    groups = groups.groupBy("sets", "x", "y").agg(F.min("sig").alias("sig"))
-    groups = groups.select("sig", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
-    laid = members.join(groups, "sig").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    laid = laid.select("sig", "block", "id", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    laid = laid.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "part")
-    laid = laid.join(texts.select("id", "n", "sketch"), "id").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    members = cut(members)
+    least = members.groupBy("sig").agg(F.min("id").alias("b"))
+    hung = _components(members.join(least, "sig").select(F.col("id").alias("a"), "b").filter("a <> b")).withColumnRenamed("part", "whole_group")
+    placed = members.join(hung, "id")
+    costs = placed.groupBy("whole_group").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("id").alias("texts"))
+    one = F.col("texts") * F.ceil(F.col("texts") / BLOCK_SETS) < F.col("rows")
+    placed = placed.join(costs.select("whole_group", one.alias("one")), "whole_group")
+    together = placed.filter("one").select(F.col("whole_group").alias("sig"), "id", "part").distinct()
+    members = cut(placed.filter("NOT one").select("sig", "id", "part").withColumn("kind", F.lit(0)).union(together.withColumn("kind", F.lit(1))))
+    groups = members.groupBy("kind", "sig").agg(F.count(F.lit(1)).alias("sets"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    groups = groups.groupBy("sets", "x", "y").agg(F.min(F.struct("kind", "sig")).alias("g")).select("g.kind", "g.sig", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
+    laid = members.join(groups, ["kind", "sig"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    laid = laid.select("kind", "sig", "block", "id", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    laid = laid.select("kind", "sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "part")
+    laid = laid.join(texts.select("id", "n", "sketch"), "id").repartition("kind", "sig", "i", "j").sortWithinPartitions("kind", "sig", "i", "j")
 
     def forest(rows: pa.RecordBatch, head: np.ndarray) -> pa.RecordBatch:
         """Of the pairs of rows of the same group (groups start at head), a spanning forest of those that may link."""
@@ -249,7 +257,7 @@ def likely_forest(members: DataFrame, texts: DataFrame, percent: int) -> DataFra
             if not batch.num_rows:
                 continue
             rows = pa.concat_batches([*held, batch])
-            key = np.column_stack([rows.column(c).to_numpy() for c in ("sig", "i", "j")])
+            key = np.column_stack([rows.column(c).to_numpy() for c in ("kind", "sig", "i", "j")])
             head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
             if len(head) > 1:  # the last group may go on in the next batch
                 yield forest(rows.slice(0, head[-1]), head[:-1])
@@ -298,18 +306,14 @@ def _components(links: DataFrame) -> DataFrame:
     return found.select("id", F.col("label").alias("part"))
 
 
-def _apart(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """The edges (a, b) whose texts are in different components."""
-    side = lambda k: parts.select(F.col("id").alias(k), F.col("part").alias(f"p{k}"))
-    both = edges.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.filter(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
-
-
-def _open(members: DataFrame, parts: DataFrame, least: int) -> DataFrame:
-    """(sig, id, part): the members of signatures that hold `least` texts or more in several components."""
-    placed = members.join(parts, "id", "left").select("sig", "id", F.coalesce("part", "id").alias("part"))
-    several = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-    return placed.join(several.filter((F.col("n") >= least) & (F.col("low") != F.col("high"))).select("sig"), "sig", "left_semi")
+def _open(members: DataFrame, parts: DataFrame, one: DataFrame) -> DataFrame:
+    """(sig, id, part): the members (sig, id, centre) of signatures in several components, unless one (a, b) has their only pair."""
+    placed = members.join(parts, "id", "left").join(one.select(F.col("a").alias("id"), F.col("b").alias("_b")), "id", "left")
+    placed = placed.select("sig", "id", F.coalesce("part", "id").alias("part"), (F.col("id") != F.col("centre")) & (F.col("_b") != F.col("centre")))
+    placed = placed.toDF("sig", "id", "part", "fresh")
+    several = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.max("fresh").alias("fresh"))
+    several = several.filter((F.col("low") != F.col("high")) & ((F.col("n") > 2) | F.col("fresh"))).select("sig")
+    return placed.select("sig", "id", "part").join(several, "sig", "left_semi")
 
 
 def keep_representatives(docs: DataFrame, percent: int = J.PERCENT) -> DataFrame:
@@ -366,22 +370,15 @@ def _answers(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     several = numbered.df.groupBy("sig").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre <> last").select("sig", "centre")
     members = Written(numbered.df.join(several, "sig"))
     numbered.drop()
-    spokes = Written(members.df.filter("id <> centre").groupBy(F.col("id").alias("a"), F.col("centre").alias("b")).agg(F.lit(1).alias("_")).select("a", "b"))
     inside = members.df.select("id").distinct()
     texts = Written(texts_of(rows, ids.df.join(inside, "id", "left_semi")))
 
-    one = spokes.df.groupBy("a").agg(F.min("b").alias("b"))
-    links = cut(compared(likely(one, texts.df, percent), texts.df, percent))
-    parts = _components(links)
-    # what isn't joined yet, with the least text of each of its signatures; a's least was compared before
-    apart = spokes.df.join(one.select("a", F.col("b").alias("least")), "a").filter("b <> least").select("a", "b")
-    links = cut(links.union(compared(likely(_apart(apart, parts), texts.df, percent), texts.df, percent)))
-    parts = _components(links)
-    rest = cut(likely_forest(_open(members.df.select("sig", "id"), parts, 3), texts.df, percent), release=True)
+    one = cut(members.df.filter("id <> centre").groupBy(F.col("id").alias("a")).agg(F.min("centre").alias("b")))
+    links = cut(compared(likely(one, texts.df, percent), texts.df, percent), release=True)
+    rest = cut(likely_forest(_open(members.df, _components(links), one), texts.df, percent), release=True)
     links = cut(links.union(cluster_links(_components(rest), texts.df, percent)), release=True)
-    parts = _components(links).join(ids.df.select("id", "whole"), "id").select("whole", "part")
-    parts = cut(parts)
-    for written in (members, spokes, texts, ids):
+    parts = cut(_components(links).join(ids.df.select("id", "whole"), "id").select("whole", "part"))
+    for written in (members, texts, ids):
         written.drop()
 
     # a component's least doc_id, by way of each text's least doc_id
