@@ -5,8 +5,10 @@ the assistant's and the others' as named users'; narrators (the system role)
 stay what they are and get no rendering of their own. Only the assistant's
 words are unmasked for the loss. DataFrame functions only.
 
-A dialogue longer than `turns_per_part` turns is rendered in consecutive
-parts, so a task never holds more than one part, however long a dialogue is.
+A dialogue's rendering is one text, however long. Beyond `turns_per_part` turns
+it comes in consecutive parts, each with the number of characters before it, so
+that no task or cell has to hold it all; put together they are the rendering,
+and spans count from its start.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ def rotate_perspectives(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS
     """One row per dialogue, participant and part: its rendering and its loss spans.
 
     turns: conv_id, turn, role, text; other columns are ignored. Columns out:
-    conv_id, perspective, block, part, n_turns, n_chars, rendered, spans
-    (array of [start, end) in characters: the assistant's words with their end
-    mark, to learn from). Turns are in order of turn, then role, then text;
+    conv_id, perspective, block, part, offset (characters of the parts before
+    it), n_turns, n_chars, rendered, spans (array of [start, end) in
+    characters of the whole rendering: the assistant's words with their end
+    mark, to learn from). In order of block and part, the parts of a dialogue
+    and participant are one rendering from the first turn on. Turns are in order of turn, then role, then text;
     repeated rows are rendered as often as they stand there. Parts are cut at
     multiples of turns_per_part of the turn's number (block), and again where
     repeated numbers make a block longer. A null conv_id is one dialogue, a
@@ -60,22 +64,26 @@ def rotate_perspectives(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS
     seen = seen.select("conv_id", "perspective", "block", "part", "rank", "said", F.when(own, F.struct(start.alias("start"), end.alias("end"))).alias("span"))
     turn = F.sort_array(F.collect_list(F.struct("rank", "said", "span")))
     parts = seen.groupBy("conv_id", "perspective", "block", "part").agg(turn.alias("t"), F.sum(F.length("said")).alias("n_chars"))
+    before = Window.partitionBy("conv_id", "perspective").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("offset", F.coalesce(F.sum("n_chars").over(before), F.lit(0)))
+    spans = F.filter("t.span", lambda s: s.isNotNull())
     return parts.select(
         "conv_id",
         "perspective",
         "block",
         "part",
+        "offset",
         F.size("t").cast("long").alias("n_turns"),
         "n_chars",
         F.array_join("t.said", "").alias("rendered"),
-        F.filter("t.span", lambda s: s.isNotNull()).alias("spans"),
+        F.transform(spans, lambda s: F.struct((s["start"] + F.col("offset")).alias("start"), (s["end"] + F.col("offset")).alias("end"))).alias("spans"),
     )
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = rotate_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return done.select("conv_id", "perspective", "block", "part", "n_turns", "n_chars", F.sha2("rendered", 256).alias("rendered_sha256"), spans.alias("spans"))
+    return done.select("conv_id", "perspective", "block", "part", "offset", "n_turns", "n_chars", F.sha2("rendered", 256).alias("rendered_sha256"), spans.alias("spans"))
 
 
 OP8_SQL = f"""
@@ -98,9 +106,9 @@ WITH ranked AS (
 ), said AS (
   SELECT *, head || text || '<|end|>' || chr(10) AS said FROM seen
 ), placed AS (
-  SELECT *, CAST(sum(length(said)) OVER (PARTITION BY conv_id, block, part, perspective ORDER BY rnk) AS BIGINT) AS stop FROM said
+  SELECT *, CAST(sum(length(said)) OVER (PARTITION BY conv_id, perspective ORDER BY block, part, rnk) AS BIGINT) AS stop FROM said
 )
-SELECT conv_id, perspective, block, part, count(*) AS n_turns, CAST(sum(length(said)) AS BIGINT) AS n_chars,
+SELECT conv_id, perspective, block, part, min(stop - length(said)) AS "offset", count(*) AS n_turns, CAST(sum(length(said)) AS BIGINT) AS n_chars,
        sha256(string_agg(said, '' ORDER BY rnk)) AS rendered_sha256,
        coalesce(string_agg((stop - length(said) + length(head)) || '-' || stop, ',' ORDER BY rnk) FILTER (WHERE own), '') AS spans
 FROM placed GROUP BY conv_id, perspective, block, part

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import byte_bpe, chat_format, exact_dedup, induced_sort, jaccard_join, jaccard_kernels, language, packing, quality, substring_dedup, suffix_dedup, toxicity
+from tessera.llm import byte_bpe, chat_format, exact_dedup, induced_sort, jaccard_join, jaccard_kernels, kernels, language, packing, quality, registry, repeats
+from tessera.llm import substring_dedup, suffix_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -282,7 +283,10 @@ def test_chat_format(spark):
     assert [got[1, "bob"].rendered[s.start : s.end] for s in got[1, "bob"].spans] == ["hello\nann<|end|>\n"] * 2
     long = spark.createDataFrame([(1, i, "ab"[i % 2], str(i)) for i in range(25)], "conv_id long, turn long, role string, text string")
     parts = chat_format.rotate_perspectives(long, turns_per_part=10).filter("perspective = 'a'").orderBy("block", "part").collect()
-    assert [r.n_turns for r in parts] == [10, 10, 5] and "".join(r.rendered for r in parts).count("<|end|>") == 25
+    assert [r.n_turns for r in parts] == [10, 10, 5]
+    whole = chat_format.rotate_perspectives(long).filter("perspective = 'a'").first()
+    assert "".join(r.rendered for r in parts) == whole.rendered and [s for r in parts for s in r.spans] == whole.spans
+    assert [whole.rendered[r.offset : r.offset + r.n_chars] for r in parts] == [r.rendered for r in parts]
     assert chat_format.rotate_perspectives(df.limit(0)).count() == 0
 
 
@@ -413,3 +417,123 @@ def test_sql_of_chat_format_and_dedup(spark, tmp_path, rows):
     docs = spark.createDataFrame(con.sql("SELECT * FROM documents").fetchall(), "doc_id long, text string")
     want = con.sql(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({exact_dedup.OP3_SQL}) AS q ORDER BY 1").fetchall()
     assert [tuple(r) for r in exact_dedup.exact_dedup(docs).orderBy("doc_id").collect()] == want
+
+
+def test_toxicity_against_plain_loops(spark, docs, rows):
+    """Sentences, features, weights and the noisy-or, one by one."""
+    learn = spark.createDataFrame([(i, prose(40 + i, 30) + (". you vilewort now" if i % 3 == 0 else ". all is well"), int(i % 3 == 0)) for i in range(90)], "doc_id long, text string, toxic int")
+    model = toxicity.train(learn)
+    weight = dict(zip(model.vocabulary.tolist(), model.weights.tolist()))
+
+    def hashed(data):
+        pre = kernels.prefix(kernels.BYTE_VALUE[np.frombuffer(data, np.uint8)])
+        return int(kernels.span_hash(pre, np.array([0]), np.array([len(data)]))[0])
+
+    def score(text):
+        left = 1.0
+        for sentence in re.findall(rb"[^.!?\n]*[.!?\n]|[^.!?\n]+", (text or "").encode()):
+            z = model.bias
+            for word in re.findall(rb"[a-z0-9\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in sentence)):
+                z += weight.get(hashed(word), 0.0)
+                z += sum(weight.get(hashed(word[k : k + 6]) ^ 1, 0.0) for k in range(len(word) - 5))
+            left *= 1 - 1 / (1 + np.exp(-z))
+        return 1 - left
+
+    short = [(i, t) for i, t in rows if t is None or len(t) < 3000] + [(900, None), (901, "You VILEWORT! now. fine")]
+    got = found(toxicity.score_toxicity(spark.createDataFrame(short + short[:3], "doc_id long, text string"), model))
+    for i, t in short:
+        assert got[i].score == pytest.approx(score(t), abs=1e-9) and got[i].predicted == int(score(t) >= 0.3)
+    nameless = toxicity.score_toxicity(spark.createDataFrame([(None, "vilewort"), (None, None)], "doc_id long, text string"), model).collect()
+    assert len(nameless) == 2 and all(r.doc_id is None and not r.held_out for r in nameless)
+
+
+def test_language_against_plain_loops(spark, languages):
+    model = language.train(languages)
+    f = language.FEATURES
+
+    def predict(text):
+        fold = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode())
+        counts = collections.Counter()
+        for k in range(len(fold) - 2):
+            if sum(fold[k : k + 3]) != 96:
+                code = (fold[k] << 16 | fold[k + 1] << 8 | fold[k + 2]) * 2654435761 % (1 << 32)
+                counts[code >> (32 - f.bit_length() + 1)] += 1
+        total = sum(counts.values()) or 1
+        loss = []
+        for row in model.code:
+            part = 0.0
+            for bit in range(len(row)):
+                margin = 4 * (sum(np.sqrt(n / total) * model.weights[c, bit] for c, n in counts.items()) + model.bias[bit])
+                part += model.bit_weight[bit] * np.log1p(np.exp(-margin * row[bit]))
+            loss.append(part)
+        share = [np.exp(-8 * (x - min(loss))) for x in loss]
+        two = sorted(loss)[:2]
+        return model.languages[int(np.argmin(loss))], 1 / sum(share), two[1] - two[0] < language.LEAD
+
+    texts = ["kalomi lokami", "schung ein ungein", "Quequeau oui que", "ka sch que", "x", "ÄÖ üß", "kalo " * 50]
+    rows_ = [(i, t) for i, t in enumerate(texts)] + [(50, None), (51, "12 34 !"), (52, ""), (3, texts[3])]
+    got = found(language.identify(spark.createDataFrame(rows_, "doc_id long, text string"), model))
+    for i, t in enumerate(texts):
+        name, score, close = predict(t)
+        assert got[i].lang_pred == name and got[i].score == pytest.approx(score, abs=1e-4) and got[i].ambiguous == close
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (50, 51, 52))
+    tie = language.LanguageModel(["a", "b"], np.array([[1.0], [-1.0]]), np.zeros((f, 1), np.float32), np.zeros(1), np.ones(1))
+    equal = found(language.identify(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), tie))[1]
+    assert equal.lang_pred == "a" and equal.ambiguous and equal.score == pytest.approx(0.5)
+
+
+def test_null_ids_repeats_and_clashing_names(spark):
+    base = prose(2, 300).split()
+    near = [" ".join(base[:k] + ["z"] + base[k + 1 :]) for k in (100, 150, 160, 170, 180)]
+    far = " ".join(w if i % 40 else "q" for i, w in enumerate(base))
+    # two ends that only a text without a doc_id links
+    bridge = [(1, " ".join(base)), (None, " ".join(base[24:])), (2, " ".join(base[48:]))]
+    got = sorted((r.doc_id or -1, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(bridge, "doc_id long, text string")).collect())
+    assert got == [(-1, 1), (1, 1), (2, 1)]
+    only = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (5, "x y"), (5, "x y"), (5, "p q r"), (6, "p q r")], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.jaccard_join(only).collect())
+    assert got == [(-1, 2, -1), (-1, 2, -1), (5, 1, 5), (5, 1, 5), (5, 1, 5), (6, 1, 5)]
+    made = [(i, t, "k", 1, "s", 2, "d", 3) for i, t in [*enumerate(near), (9, far), (None, near[0]), (None, "alone and without a name"), (4, "another text of four"), (7, None), (8, "")]]
+    names = "doc_id long, text string, kept string, n_words int, spans string, n_removed int, digest string, key int"
+    docs = spark.createDataFrame(made, names)
+    for stage in (corpus_pipeline.language_stage, corpus_pipeline.exact_stage, corpus_pipeline.near_stage, corpus_pipeline.substring_stage):
+        empty = stage(spark, docs.limit(0).withColumn("lang", F.lit("en")), "")
+        assert empty.columns == [*docs.columns, "lang"] and empty.count() == 0
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), "").count() == 0
+    exact = corpus_pipeline.exact_stage(spark, docs, "")
+    assert exact.columns == docs.columns
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in exact.collect()) == sorted((i if i is not None else -1, t) for i, t, *_ in made if not (i is None and t == near[0]) and i != 7)
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.kept) for r in corpus_pipeline.near_stage(spark, docs, "").collect())
+    assert kept == [(-1, "k"), (0, "k"), (4, "k"), (7, "k"), (8, "k"), (9, "k")] or kept == [(-1, "k"), (0, "k"), (4, "k"), (7, "k"), (8, "k")]
+    cut = {(r.doc_id, r.key): r for r in corpus_pipeline.substring_stage(spark, docs, "").collect()}
+    assert all(r.kept == "k" and r.digest == "d" and r.spans == "s" for r in cut.values()) and cut[0, 3].text == near[0] and len(cut[1, 3].text) < len(near[1])
+
+
+def test_sql_of_the_search_operators(spark, tmp_path, rows):
+    made = [(i, t.replace("\x00", "")) if t else (i, t) for i, t in rows if t is None or len(t) < 9000]
+    spark.createDataFrame(made, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("op1_quality_rules", "op2_suffix_dedup", "op4_substring_dedup", "op6_jaccard_join"):
+        want = con.sql(registry.SQL[name])
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r[c] for c in want.columns)) for r in got.collect())
+
+
+def test_hot_keys_are_cut_again(spark):
+    """A k-gram with many surroundings: every key is taken for hot."""
+    rng = random.Random(5)
+    rule = "= " * 30
+    made = [(i, prose(600 + i % 7, rng.randrange(20, 60)) + " " + rule + prose(700 + i % 5, rng.randrange(20, 80))) for i in range(60)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    for module, kept in ((substring_dedup, words_kept(made)), (suffix_dedup, None)):
+        usual = module.WINDOWS
+        try:
+            module.WINDOWS = repeats.Windows(usual.unit, usual.width, usual.k, 4 * usual.width)
+            assert module.WINDOWS.hot == 1
+            run = module.substring_dedup if kept else module.suffix_dedup
+            got = {r.doc_id: (r.n_removed, r.kept) for r in run(docs).collect()}
+        finally:
+            module.WINDOWS = usual
+        want = {r.doc_id: (r.n_removed, r.kept) for r in run(docs).collect()}
+        assert got == want and (kept is None or {i: (k[1], k[2]) for i, k in kept.items()} == got)
