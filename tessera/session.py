@@ -7,12 +7,22 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder; executors may be lost afterwards.
+def checkpoint_folder(context) -> str:
+    """The folder that spark.checkpoint.dir names; on one machine, where it is unset, one of our own.
 
-    spark.checkpoint.dir holds; a folder of our own is made only where it is unset.
+    On a cluster a folder of one machine would be out of the others' reach, so there an unset folder is an error.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    folder = context._jsc.sc().getCheckpointDir()
+    if folder.isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        folder = context._jsc.sc().getCheckpointDir()
+    return folder.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder; executors may be lost afterwards."""
+    checkpoint_folder(df.sparkSession.sparkContext)
     return df.checkpoint()
