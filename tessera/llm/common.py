@@ -6,7 +6,6 @@ import ctypes
 import functools
 import gc
 import operator
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -17,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder
+
 #: Rows of one Arrow batch; keeps a Python worker's memory small.
 BATCH_ROWS = 512
 #: Bytes of text that a kernel works on at once; a longer document goes alone.
@@ -30,17 +31,10 @@ WORDS_SQL = r"""words AS (
 
 
 def session(df_or_spark) -> SparkSession:
-    """The session, with small Arrow batches and a checkpoint folder.
-
-    The folder named by spark.checkpoint.dir holds; one of our own is made
-    only where the session has none (tests on one machine).
-    """
+    """The session, with small Arrow batches and a checkpoint folder (that of spark.checkpoint.dir, see checkpoint_folder)."""
     spark = df_or_spark if isinstance(df_or_spark, SparkSession) else df_or_spark.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    checkpoint_folder(spark.sparkContext)
     return spark
 
 
