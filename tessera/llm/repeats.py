@@ -155,25 +155,27 @@ def removed_spans(rows: DataFrame, w: Windows, search: Search, strict: bool) ->
     firsts = hits.groupBy("h", "g", "f").agg(F.min(F.struct("doc_id", "start")).alias("p"), F.first("n").alias("n"), F.first("hot").alias("hot"))
     firsts = firsts.select("h", "g", "f", "p.doc_id", "p.start", "n", "hot")
     # about how many tokens the contents have; a scan, so that they aren't grouped twice
-    contents, mean = hits.agg(F.approx_count_distinct("g"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
-    shards = 1 + int(contents * (mean + w.width)) // w.shard_tokens
+    many, mean = hits.agg(F.approx_count_distinct("g"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
+    shards = 1 + int(many * (mean + w.width)) // w.shard_tokens
 
     def find(found: pa.Table) -> pa.Table:
         route, doc, start, n, off = (found.column(x).to_numpy().astype(np.int64) for x in ("route", "doc_id", "start", "n", "off"))
         first = search(found.column("content").combine_chunks(), route, doc, start, n)
         return pa.table({"h": found.column("h"), "g": found.column("g"), "f": found.column("f"), "runs": runs_of(n, *first, off)})
 
-    dealt = _contents(rows, firsts, w).withColumn("shard", F.pmod(F.col("route"), F.lit(shards)))
-    found = dealt.groupBy("shard").applyInArrow(find, f"h long, g long, f int, runs {RUNS}")
+    # written, so that the texts' shuffles are gone before the contents are dealt; neighbouring contents compress well
+    contents = Written(_contents(rows, firsts, w))
+    found = contents.df.withColumn("shard", F.pmod(F.col("route"), F.lit(shards))).groupBy("shard").applyInArrow(find, f"h long, g long, f int, runs {RUNS}")
     verdict = hits.join(found, ["h", "g", "f"]).select("doc_id", "start", F.explode("runs").alias("r"))
     earlier = F.col("r.doc") < F.col("doc_id")
     if not strict:
         earlier = earlier | ((F.col("r.doc") == F.col("doc_id")) & (F.col("r.pos") < F.col("start") + F.col("r.off")))
     lo = F.col("start") + F.col("r.off")
     gone = verdict.filter(earlier).select("doc_id", F.struct(lo.alias("lo"), (lo + F.col("r.len") + (w.width - 1)).alias("hi")).alias("span"))
-    # cut, so that the contents' shuffles are gone before the texts are joined
+    # cut, so that the contents' shuffles are gone before the texts are joined again
     spans = cut(gone.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), release=True)
     kept.drop()
+    contents.drop()
     return spans
 
 
