@@ -82,3 +82,40 @@ def sparse_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     pairs = F.transform(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda t: F.split(t, ":"))
     cells = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p[0].cast("long"), p[1].cast("double"))))
     return lines.select(x[0].cast("double").alias("label"), cells.alias("features"))
+
+
+def with_features(rows: DataFrame, user_features: DataFrame | None = None, item_features: DataFrame | None = None) -> DataFrame:
+    """rows with the feature columns of their user and item, from feature files keyed by `user` and `item`; absent ones are null."""
+    if user_features is not None:
+        rows = rows.join(user_features, "user", "left")
+    return rows if item_features is None else rows.join(item_features, "item", "left")
+
+
+def with_links(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with links (how many users their user is linked to, by src and dst) and linked_mean (those users' mean rating)."""
+    own = rows.groupBy("user").agg(F.avg("rating").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    met = links.select("src", "dst").distinct().join(own.withColumnRenamed("user", "dst"), "dst", "left")
+    sums = met.groupBy(F.col("src").alias("user")).agg(F.count(F.lit(1)).alias("links"), (F.sum(F.col("_m") * F.col("_n")) / F.sum("_n")).alias("linked_mean"))
+    return rows.join(sums, "user", "left").na.fill(0, ["links"])
+
+
+def cut_off(rows: DataFrame, least: float) -> DataFrame:
+    """rows with rating 1 where it was at least so much, else 0."""
+    return rows.withColumn("rating", (F.col("rating") >= least).cast("double"))
+
+
+def sparse_vectors(rows: DataFrame, folder: str) -> DataFrame:
+    """label, features (a sparse vector) of sparse_rows, by way of a text table in the folder, which all executors share.
+
+    The vectors are made by Spark's own reader; ids count from 0.
+    """
+    cells = F.transform(F.array_sort(F.map_entries("features")), lambda c: F.concat_ws(":", (c["key"] + 1).cast("string"), c["value"].cast("string")))
+    rows.select(F.concat(F.col("label").cast("string"), F.lit(" "), F.concat_ws(" ", cells))).write.mode("overwrite").text(folder)
+    most = rows.agg(F.max(F.array_max(F.map_keys("features")))).first()[0]
+    return rows.sparkSession.read.format("libsvm").option("numFeatures", str((most or 0) + 1)).load(folder)
+
+
+def fit_sparse(vectors: DataFrame, size: int = 4, steps: int = 20, regularization: float = 0.01):
+    """A factorization machine on sparse vectors (label, features); transform() of the result predicts."""
+    learner = FMRegressor(featuresCol="features", labelCol="label", predictionCol="prediction", factorSize=size, maxIter=steps, stepSize=0.05, regParam=regularization, seed=5)
+    return learner.fit(vectors)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators import factors as M
 from ..operators import similarity as S
-from ..operators.machines import Machine, with_last_item
-from .views import RATINGS, ratings
+from ..operators.machines import Machine, fit_sparse, sparse_rows, sparse_vectors, with_last_item
+from .views import RATINGS, ratings, read
 
 QUERIES, SQL = {}, {}
 
@@ -87,7 +87,20 @@ def _machine(make):
     return run
 
 
+def sparse_machine(spark, sf_dir):
+    """A machine on sparse rows `label id:value ..` of parts: brand, size and price."""
+    from .engine import _folder
+
+    part = read(spark, sf_dir, "part")
+    brand = F.regexp_extract("p_brand", r"(\d+)", 1)
+    line = F.concat_ws(" ", (F.col("p_retailprice") / 1000).cast("string"), F.concat(brand, F.lit(":1")), F.concat(F.lit("100:"), (F.col("p_size") / 50).cast("string")))
+    vectors = sparse_vectors(sparse_rows(part.select(line.alias("value"))), _folder(spark, "sparse"))
+    fitted = fit_sparse(vectors, steps=5).transform(vectors).withColumnRenamed("label", "rating")
+    return S.losses(fitted).select(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), "n")
+
+
 QUERIES |= {
+    "sparse_machine": sparse_machine,
     "climf": climf,
     "als_topn": als_topn,
     "svd": svd,

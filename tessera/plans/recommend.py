@@ -50,6 +50,7 @@ METRICS = {
     "sim_cosine": ("cosine_distance", "1 - xy / (sqrt(qi) * sqrt(qj))"),
     "sim_manhattan": ("manhattan", "d1 + si - x + sj - y"),
     "sim_euclidean": ("euclidean", "sqrt(qi + qj - 2 * xy)"),
+    "sim_dot": ("dot", "xy"),
     "sim_tanimoto": ("tanimoto_distance", "1 - xy / (qi + qj - xy)"),
     "sim_slopeone": ("slope_one", "(si - sj) / n"),
     "sim_loglik": ("log_likelihood", f"1 - 1 / (1 + {TWO_LOG})"),

@@ -10,6 +10,7 @@ from tessera.operators import algorithms as L
 from tessera.operators import etl as E
 from tessera.operators import factors as M
 from tessera.operators import flows as W
+from tessera.operators import machines as Z
 from tessera.operators import similarity as S
 from tessera.operators import tables as T
 from tessera.sources import generators as N
@@ -491,3 +492,16 @@ def test_coem(spark):
     c1, c2 = (2 + 0.5) / 3, 0.5 / 4
     q = (c1 + c2) / 2
     assert got["phrase", "q"] == pytest.approx(q) and got["phrase", "p"] == 1 and got["context", "c1"] == pytest.approx((2 + q) / 3)
+
+
+def test_features_links_and_sparse_vectors(spark, tmp_path):
+    r = spark.createDataFrame([(1, 5, 2.0), (2, 5, 4.0), (2, 6, 6.0)], "user long, item long, rating double")
+    out = Z.with_features(r, spark.createDataFrame([(1, 30)], "user long, age int"), spark.createDataFrame([(5, "a")], "item long, kind string"))
+    assert sorted((x.user, x.item, x.age or 0, x.kind or "") for x in out.collect()) == [(1, 5, 30, "a"), (2, 5, 0, "a"), (2, 6, 0, "")]
+    linked = Z.with_links(r, spark.createDataFrame([(1, 2), (1, 2), (1, 9)], "src long, dst long"))
+    assert {(x.user, x.links, x.linked_mean) for x in linked.collect()} == {(1, 2, 5.0), (2, 0, None)}
+    assert [x.rating for x in Z.cut_off(r, 4.0).orderBy("rating").collect()] == [0, 1, 1]
+    lines = spark.createDataFrame([("1.5 0:2 7:0.5",), ("2.0 3:1",), ("0.5 1:1",)], "value string")
+    vectors = Z.sparse_vectors(Z.sparse_rows(lines), str(tmp_path / "v"))
+    assert sorted((x.label, x.features.size, x.features.toArray().nonzero()[0].tolist()) for x in vectors.collect()) == [(0.5, 8, [1]), (1.5, 8, [0, 7]), (2.0, 8, [3])]
+    assert Z.fit_sparse(vectors, steps=2).transform(vectors).filter("prediction IS NOT NULL").count() == 3
