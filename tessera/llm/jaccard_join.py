@@ -370,15 +370,15 @@ def _answers(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     several = numbered.df.groupBy("sig").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre <> last").select("sig", "centre")
     members = Written(numbered.df.join(several, "sig"))
     numbered.drop()
-    inside = members.df.select("id").distinct()
-    texts = Written(texts_of(rows, ids.df.join(inside, "id", "left_semi")))
+    wanted = Written(ids.df.join(members.df.select("id").distinct(), "id", "left_semi"))
+    texts = Written(texts_of(rows, wanted.df))
 
     one = cut(members.df.filter("id <> centre").groupBy(F.col("id").alias("a")).agg(F.min("centre").alias("b")))
     links = cut(compared(likely(one, texts.df, percent), texts.df, percent), release=True)
     rest = cut(likely_forest(_open(members.df, _components(links), one), texts.df, percent), release=True)
     links = cut(links.union(cluster_links(_components(rest), texts.df, percent)), release=True)
     parts = cut(_components(links).join(ids.df.select("id", "whole"), "id").select("whole", "part"))
-    for written in (members, texts, ids):
+    for written in (members, wanted, texts, ids):
         written.drop()
 
     # a component's least doc_id, by way of each text's least doc_id
