@@ -242,3 +242,29 @@ for _name in ("als", "bias_sgd", "svdpp"):
     _cls, _steps, _predict, _widths, _filled = SMALL[_name]
     QUERIES[f"{_name}_size2_top"] = _small_top(_cls)
     SQL[f"{_name}_size2_top"] = _fit_sql(*_steps, _widths, _filled) + _top_sql(_predict)
+
+
+def _tensor_sql(steps: int = 2) -> str:
+    """ALS with a third side: each side's normal equations over the product of the other two factors."""
+    keys = ('"user"', "item", "time")
+    parts = ['r AS (SELECT *, "user" % 4 AS time FROM ratings)']
+    for side, name in enumerate("uvt"):
+        parts.append(f"{name}0 AS (SELECT id, {_start_sql(side, 2, 2)} FROM (SELECT DISTINCT {keys[side]} AS id FROM r) AS d)")
+    now = [f"{name}0" for name in "uvt"]
+    x = [f"(p.f{j} * q.f{j})" for j in range(2)]
+    gather = [f"{x[0]} * {x[0]}", f"{x[0]} * {x[1]}", f"{x[1]} * {x[1]}", f"rating * {x[0]}", f"rating * {x[1]}"]
+    apply = _least_squares("")[1](0)
+    for i in range(1, steps + 1):
+        for side, name in enumerate("uvt"):
+            a, b = (k for k in range(3) if k != side)
+            sums = ", ".join(f"sum({e}) AS s{j}" for j, e in enumerate(gather))
+            parts.append(f"s{name}{i} AS (SELECT r.{keys[side]} AS id, {sums} FROM r JOIN {now[a]} p ON p.id = r.{keys[a]} JOIN {now[b]} q ON q.id = r.{keys[b]} GROUP BY 1)")
+            now[side] = f"{name}{i}"
+            parts.append(f"{now[side]} AS (SELECT id, {', '.join(f'{e} AS f{j}' for j, e in enumerate(apply))} FROM s{name}{i})")
+    predict = " + ".join(f"u.f{j} * v.f{j} * t.f{j}" for j in range(2))
+    return f"""WITH {RATINGS.strip()}, {", ".join(parts)}, e AS (SELECT rating - greatest(least({predict}, 200.0), 0.0) AS e FROM r JOIN {now[0]} u ON u.id = r."user" JOIN {now[1]} v ON v.id = item JOIN {now[2]} t ON t.id = r.time)
+    SELECT round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae, count(*) AS n FROM e"""
+
+
+QUERIES["als_tensor_size2"] = _small_losses(M.TensorLeastSquares)
+SQL["als_tensor_size2"] = _tensor_sql()
