@@ -22,7 +22,7 @@ import tempfile
 import numpy as np
 
 #: Tuples that a queue keeps in memory; the rest waits on disk.
-QUEUE_TUPLES = 4 << 20
+QUEUE_TUPLES = 1 << 18
 FAR = 250
 
 

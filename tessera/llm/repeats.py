@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Written, cut, joined, record, slices
+from .common import BATCH_BYTES, Written, cut, joined, record, slices
 
 #: Where the windows off .. off + len - 1 of a content start first: document and token position of the window at off.
 RUNS = "array<struct<off:int,len:int,doc:long,pos:long>>"
@@ -50,6 +50,11 @@ class Windows:
         """A key that more segments than this have is hot."""
         return self.shard_tokens // (4 * self.width)
 
+    @property
+    def batch_bytes(self) -> int:
+        """Text looked at once: bytes gain from arrays that stay in a core's cache, words from numbering many at a time."""
+        return BATCH_BYTES // 2 if self.unit == "bytes" else BATCH_BYTES
+
     def tokens(self, data: np.ndarray, bounds: np.ndarray):
         """Token values, document bounds in tokens, and each token's first and last byte."""
         if self.unit == "bytes":
@@ -63,7 +68,7 @@ def _segments(rows: DataFrame, w: Windows, whole: bool) -> DataFrame:
     """(h) of every segment, or with whole=True (h, g, f, doc_id, start, n), where g and f are the hash of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=w.batch_bytes):
             data, bounds = joined(batch.column("text"))
             value, tb, first, last = w.tokens(data, bounds)
             doc, start, n, h = K.anchors(value, tb, w.width, w.k)
