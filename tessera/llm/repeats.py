@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import rank_by
 from . import kernels as K
 from .common import BATCH_BYTES, Written, cut, joined, record, slices
 
@@ -184,6 +185,24 @@ def removed_spans(rows: DataFrame, w: Windows, search: Search, strict: bool) ->
     return spans
 
 
+def with_spans(rows: DataFrame, w: Windows, search: Search, strict: bool) -> DataFrame:
+    """rows (doc_id, text, ...) with spans; null where nothing goes.
+
+    A doc_id that stands with several texts counts as that many documents, one
+    after another in the order of the texts' hashes.
+    """
+    keyed = rows.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    if keyed.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rows.join(removed_spans(keyed, w, search, strict), "doc_id", "left")
+    place, text = F.xxhash64("text").alias("_t"), F.col("text")
+    texts = keyed.select("doc_id", place, "text").groupBy("doc_id", "_t", "text").agg(F.lit(1).alias("_")).select("doc_id", "_t", text)
+    numbered = rank_by(texts, "_n", "doc_id", "_t", "text")
+    spans = removed_spans(numbered.select(F.col("_n").alias("doc_id"), "text"), w, search, strict)
+    spans = numbered.join(spans.withColumnRenamed("doc_id", "_n"), "_n").select("doc_id", "_t", text.alias("_text"), "spans")
+    same = [F.col("r.doc_id") == F.col("s.doc_id"), F.xxhash64("r.text") == F.col("s._t"), F.col("r.text") == F.col("s._text")]
+    return rows.alias("r").join(spans.alias("s"), same, "left").select("r.*", "s.spans")
+
+
 def covered(spans: pa.Array, bounds: np.ndarray) -> np.ndarray:
     """True for every token that a span of its document covers."""
     change = np.zeros(int(bounds[-1]) + 1, np.int32)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import WORDS_SQL, joined, record, session, slices, table
 from .fm_index import FMIndex
-from .repeats import Windows, covered, removed_spans
+from .repeats import Windows, covered, with_spans
 
 WINDOWS = Windows("words", width=50, k=16, shard_tokens=300_000)
 
@@ -125,18 +125,17 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A word goes if a window of 50 consecutive words that covers it also starts
     in a document of smaller doc_id, judged on the input. doc_id is the key of
-    docs: rows that repeat it with the same text get the same answer. Rows
-    with a null doc_id keep all words and take none from others. Null and
+    docs: rows that repeat it with the same text get the same answer; with
+    another text it counts as another document right behind. Rows with a
+    null doc_id keep all words and take none from others. Null and
     empty texts have no words; texts shorter than a window keep all. An empty
     table gives no rows. Other columns of docs are ignored; with_row adds the
     whole row of docs as one column `row`, whatever its columns' names.
     """
     session(docs)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spans = removed_spans(rows, WINDOWS, least_documents, strict=True)
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*docs.columns).alias("row")] if with_row else []))
     schema = "doc_id long, n_words long, n_removed long, kept string" + (f", row {whole.schema['row'].dataType.simpleString()}" if with_row else "")
-    return whole.join(spans, "doc_id", "left").mapInArrow(lambda x: _rows(x, with_row), schema)
+    return with_spans(whole, WINDOWS, least_documents, strict=True).mapInArrow(lambda x: _rows(x, with_row), schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

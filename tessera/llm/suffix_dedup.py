@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import joined, record, session, slices, table
 from .induced_sort import sorted_suffixes
-from .repeats import Windows, covered, removed_spans
+from .repeats import Windows, covered, with_spans
 
 WINDOWS = Windows("bytes", width=100, k=24, shard_tokens=3_000_000)
 
@@ -72,14 +72,14 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     A byte goes if a 100-byte string that covers it also starts earlier: in a
     smaller doc_id, or before it in the same document; overlaps count, and all
     is judged on the input. doc_id is the key of docs: rows that repeat it
-    with the same text get the same answer. Rows with a null doc_id keep all
-    bytes and take none from others. Null texts are empty; texts under 100
+    with the same text get the same answer; with another text it counts as
+    another document right behind. Rows with a null doc_id keep all bytes and
+    take none from others. Null texts are empty; texts under 100
     bytes keep all. Other columns of docs are ignored.
     """
     session(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spans = removed_spans(rows, WINDOWS, first_places, strict=False)
-    return rows.join(spans, "doc_id", "left").mapInArrow(_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_spans(rows, WINDOWS, first_places, strict=False).mapInArrow(_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
