@@ -376,7 +376,7 @@ def test_toxicity(spark, docs, empty, rows):
 
 def test_pipeline(spark, tmp_path, rows):
     shared = prose(1, 70)
-    extra = [(200 + i, prose(3000 + i, 80) + " " + shared) for i in range(5)]
+    extra = [(300 + i, prose(3000 + i, 80) + " " + shared) for i in range(5)]
     every = [(i, t, "en" if i % 2 else None, "s", len(t or "")) for i, t in [*rows, *extra]]
     schema = T.StructType.fromDDL("doc_id long, text string, lang string, source string, n_chars long")
     docs = spark.createDataFrame(every, schema)
