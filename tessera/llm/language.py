@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, joined, record, sample_by_class, session, slices, table
+from .common import BATCH_BYTES, held_out, joined, record, release, sample_by_class, session, slices, table
 
 FEATURES = 4096
 #: Training texts of each language, at most about.
@@ -99,20 +99,29 @@ class LanguageModel:
         return best, score, two[:, 1] - two[:, 0] < LEAD
 
 
-def fit(x: np.ndarray, labels: np.ndarray, languages: list[str], ridge: float = 0.3) -> LanguageModel:
-    """Regularized least squares for every bit, solved in the smaller dimension."""
+def fit(x: np.ndarray, labels: np.ndarray, languages: list[str], ridge: float = 0.3, steps: int = 300, enough: float = 1e-5) -> LanguageModel:
+    """Regularized least squares for every bit, by conjugate gradients: besides x only vectors are held. x is centred in place."""
     code = codewords(len(languages))
     y = code[labels]
-    mean, bias = x.mean(axis=0), y.mean(axis=0)
-    z = (x - mean).astype(np.float64)
-    if len(z) < z.shape[1]:
-        weights = z.T @ np.linalg.solve(z @ z.T + ridge * np.eye(len(z)), y - bias)
-    else:
-        weights = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ (y - bias))
-    bias = bias - mean @ weights
+    mean, bias = x.mean(axis=0, dtype=np.float64), y.mean(axis=0)
+    x -= mean.astype(x.dtype)
+    target = (y - bias).astype(np.float32)
+    weights = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    rest = x.T @ target
+    move, left = rest.copy(), (rest.astype(np.float64) ** 2).sum(axis=0)
+    goal = enough**2 * np.maximum(left, 1e-30)
+    for _ in range(steps):
+        if (left <= goal).all():
+            break
+        image = x.T @ (x @ move) + np.float32(ridge) * move
+        rate = left / np.maximum((move.astype(np.float64) * image).sum(axis=0), 1e-30)
+        weights += (move * rate).astype(np.float32)
+        rest -= (image * rate).astype(np.float32)
+        before, left = left, (rest.astype(np.float64) ** 2).sum(axis=0)
+        move = rest + (move * (left / np.maximum(before, 1e-30))).astype(np.float32)
     hinge = np.clip(1 - y * (x @ weights + bias), 0, 2).mean(axis=0)
     bit = np.maximum(1e-3, 1 - hinge)
-    return LanguageModel(languages, code, weights.astype(np.float32), bias, bit / bit.sum())
+    return LanguageModel(languages, code, weights, bias - mean @ weights, bit / bit.sum())
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, features: int = FEATURES) -> LanguageModel | None:
@@ -135,7 +144,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, features: int = FEA
         if names:
             languages = sorted(set(names))
             index = {k: i for i, k in enumerate(languages)}
-            m = fit(np.concatenate(x), np.array([index[n] for n in names]), languages)
+            table_ = np.concatenate(x)
+            x.clear()
+            m = fit(table_, np.array([index[n] for n in names]), languages)
+            del table_
+            release()
             yield record(
                 languages=pa.array([languages]), weights=pa.array([m.weights.tobytes()]), bias=pa.array([m.bias.tobytes()]), bit=pa.array([m.bit_weight.tobytes()])
             )
@@ -159,7 +172,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, doc_id: str = "doc_id
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH_BYTES // 4):
             texts = batch.column("text")
             readable = np.array([bool(t and _letter.search(t)) for t in texts.to_pylist()]) & (model is not None)
             if model is None:
@@ -184,7 +197,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH_BYTES // 4):
             texts = batch.column("text")
             keep = np.array([bool(t and _letter.search(t)) for t in texts.to_pylist()])
             if model is not None:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import held_out, joined, record, sample_by_class, session, slices, table
+from .common import held_out, joined, record, release, sample_by_class, session, slices, table
 
 #: Training documents of each label, at most about; the fit's only bound.
 PER_LABEL = 3000
@@ -147,7 +147,11 @@ def train(labelled: DataFrame, per_label: int = PER_LABEL) -> ToxicityModel | No
             n_sent += len(start)
             labels += batch.column("toxic").to_pylist()
         if labels:
-            m = fit(*(np.concatenate(x) for x in zip(*parts)), np.array(labels))
+            hashes, of, doc = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            m = fit(hashes, of, doc, np.array(labels))
+            del hashes, of, doc
+            release()
             yield record(words=pa.array([m.vocabulary.tobytes()]), weights=pa.array([m.weights.tobytes()]), bias=[m.bias])
 
     got = thin.mapInArrow(fit_task, "words binary, weights binary, bias double").collect()
