@@ -215,12 +215,15 @@ def likely_forest(members: DataFrame, texts: DataFrame, percent: int) -> DataFra
     members = cut(members)
     least = members.groupBy("sig").agg(F.min("id").alias("b"))
     hung = _components(members.join(least, "sig").select(F.col("id").alias("a"), "b").filter("a <> b")).withColumnRenamed("part", "whole_group")
-    placed = members.join(hung, "id")
+    placed = cut(members.join(hung, "id"))
     costs = placed.groupBy("whole_group").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("id").alias("texts"))
     one = F.col("texts") * F.ceil(F.col("texts") / BLOCK_SETS) < F.col("rows")
-    placed = placed.join(costs.select("whole_group", one.alias("one")), "whole_group")
+    # a table, so that Spark knows its size: joined without dealing the members by group, some of which are large
+    costs = Written(costs.select("whole_group", one.alias("one")))
+    placed = placed.join(costs.df, "whole_group")
     together = placed.filter("one").select(F.col("whole_group").alias("sig"), "id", "part").distinct()
     members = cut(placed.filter("NOT one").select("sig", "id", "part").withColumn("kind", F.lit(0)).union(together.withColumn("kind", F.lit(1))))
+    costs.drop()
     groups = members.groupBy("kind", "sig").agg(F.count(F.lit(1)).alias("sets"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     groups = groups.groupBy("sets", "x", "y").agg(F.min(F.struct("kind", "sig")).alias("g")).select("g.kind", "g.sig", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
     laid = members.join(groups, ["kind", "sig"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
