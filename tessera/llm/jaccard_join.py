@@ -92,7 +92,8 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield record(id=batch.column("id"), n=np.diff(bounds), sketch=sketch, text=batch.column("text"))
 
     keyed = docs.mapInArrow(keys, "doc_id long, key binary, text string")
-    found = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("lead")) & (F.col("key") == F.col("whole")))
+    # dealt by key at every size: candidates are no bounded table
+    found = keyed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("lead")) & (F.col("key") == F.col("whole")))
     found = found.select("lead", "whole", "id", "text").dropDuplicates(["lead", "whole"]).select("id", "text")
     return found.mapInArrow(sketched, "id long, n long, sketch binary, text string")
 
