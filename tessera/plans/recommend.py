@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import similarity as S
-from .views import COPURCHASE, RATINGS, copurchase, ratings, read
+from .views import COPURCHASE, RATINGS, copurchase, ratings
 
 QUERIES, SQL = {}, {}
 #: Pairs need so many users in common.
