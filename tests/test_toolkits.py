@@ -545,3 +545,13 @@ def test_rounds_give_the_same_factors(spark, planted, monkeypatch):
             parts = {x.id: x.f for x in fitted.items.collect()}
             assert M.predicted(fitted, r).count() == r.count()
         assert whole.keys() == parts.keys() and all(parts[i] == pytest.approx(f, rel=1e-9) for i, f in whole.items())
+
+
+def test_pairs_in_rounds_are_the_same(spark, planted, monkeypatch):
+    """Counted in rounds, then summed; before, all pairs went with all their sums at once."""
+    want = {(r.i, r.j): r.asDict() for r in S.pair_stats(planted, 3).collect()}
+    degrees = [r["count"] for r in planted.groupBy("user").count().collect()]
+    monkeypatch.setattr(S, "ROUND", sum(n * (n - 1) for n in degrees) // 5)
+    got = {(r.i, r.j): r.asDict() for r in S.pair_stats(planted, 3).collect()}
+    assert got.keys() == want.keys() and len(got) > 0
+    assert all(got[k][c] == pytest.approx(want[k][c], rel=1e-9, abs=1e-9) for k in want for c in want[k])
