@@ -7,10 +7,14 @@ current flow's few counters are in memory, however long a flow is.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -285,6 +289,8 @@ class Shaping:
 
 
 class _Bucket:
+    __slots__ = ("rate", "size", "tokens", "time")
+
     def __init__(self, rate: float, size: float):
         self.rate, self.size, self.tokens, self.time = rate, size, size, 0.0
 
@@ -294,6 +300,162 @@ class _Bucket:
         return self.tokens
 
 
+class _Least:
+    """Numbers by place, infinite at first; next() finds the first place in turn whose number is small enough."""
+
+    def __init__(self, n: int):
+        self.half = 1 << max(n - 1, 0).bit_length()
+        self.tree = [math.inf] * (2 * self.half)
+
+    def put(self, i: int, x: float) -> None:
+        tree, i = self.tree, i + self.half
+        tree[i] = x
+        while i > 1:
+            i >>= 1
+            least = min(tree[2 * i], tree[2 * i + 1])
+            if tree[i] == least:
+                return
+            tree[i] = least
+
+    def next(self, start: int, most: float) -> int | None:
+        """The first place at or after start with a number up to most, else the first of all."""
+        tree = self.tree
+        if tree[1] > most:
+            return None
+        i = start + self.half
+        if start < self.half and tree[i] > most:
+            while i > 1 and (i & 1 or tree[i + 1] > most):  # up, until a right neighbour has one
+                i >>= 1
+            i = i + 1 if i > 1 else 1
+        elif start >= self.half:
+            i = 1
+        while i < self.half:
+            i = 2 * i if tree[2 * i] <= most else 2 * i + 1
+        return i - self.half
+
+
+class _Pipe:
+    __slots__ = ("place", "sub", "local", "bucket", "period", "used", "version", "ready")
+
+    def __init__(self, place: int, sub: int, local: int, shaping: Shaping):
+        self.place, self.sub, self.local, self.bucket = place, sub, local, _Bucket(shaping.pipe_rate, shaping.pipe_size)
+        self.period, self.used, self.version, self.ready = 0, [0.0] * 4, 0, [math.inf] * 4
+
+
+def _port(shaping: Shaping, column: dict) -> np.ndarray:
+    """When each packet of a port is sent, in seconds; not a number where the queue was full. Packets come in order of time.
+
+    No pipe that can't send is asked: pipes whose own bucket and period allow a packet stand in their subport's tree by
+    that packet's length; the others wait in a heap for the time from which they may. A step asks each subport once.
+    Queues are chained lists, as most pipes have few packets.
+    """
+    lengths, times, lines = column["len"].tolist(), (column["time"] / 1e6).tolist(), (column["class"] * 4 + column["queue"]).tolist()
+    n, sent = len(times), np.full(len(times), np.nan)
+    pipes: list[_Pipe] = []
+    numbers: dict = {}
+    subs: dict = {}
+    of: list[list[int]] = []  # the subports' pipes
+    places = []
+    for x in zip(column["subport"], column["pipe"]):  # pipes take turns in order of their first packets
+        if x not in numbers:
+            sub = subs.setdefault(x[0], len(subs))
+            if sub == len(of):
+                of.append([])
+            numbers[x] = len(pipes)
+            pipes.append(_Pipe(len(pipes), sub, len(of[sub]), shaping))
+            of[sub].append(numbers[x])
+        places.append(numbers[x])
+    del numbers
+    buckets, trees = [_Bucket(shaping.subport_rate, shaping.subport_size) for _ in of], [_Least(len(x)) for x in of]
+    first, last, count, served, after = [-1] * (16 * len(pipes)), [-1] * (16 * len(pipes)), [0] * (16 * len(pipes)), [0.0] * (16 * len(pipes)), [-1] * n
+    later: list[tuple] = []
+
+    def head(p: _Pipe, tc: int) -> int | None:
+        """The line of the queue of the class whose turn it is."""
+        a = 16 * p.place + 4 * tc
+        found = [(served[a + q] / shaping.weights[q], a + q) for q in range(4) if count[a + q]]
+        return min(found)[1] if found else None
+
+    def renew(p: _Pipe, now: float) -> None:
+        period = int(now / shaping.period)
+        if period != p.period:
+            p.period, p.used = period, [0.0] * 4
+
+    def look(p: _Pipe, now: float) -> None:
+        """Where the pipe stands: in its tree if it may send but for its subport, and in the heap for what it may send later."""
+        renew(p, now)
+        room, p.version, p.ready = p.bucket.fill(now), p.version + 1, [math.inf] * 4
+        for tc in range(4):
+            line = head(p, tc)
+            if line is None:
+                continue
+            length = lengths[first[line]]
+            if p.used[tc] + length <= shaping.class_bytes[tc] and length <= room:
+                p.ready[tc] = length
+                continue
+            if p.used[tc] + length > shaping.class_bytes[tc]:
+                at = (p.period + 1) * shaping.period
+            else:
+                at = now + (length - room) / shaping.pipe_rate if shaping.pipe_rate else math.inf
+            # rather a little early, so that rounding can't make it late
+            heapq.heappush(later, (max(at - 1e-9 * at if at < math.inf else at, math.nextafter(now, math.inf)), p.place, p.version))
+        trees[p.sub].put(p.local, min(p.ready))
+
+    now, i, turn, waiting, known = 0.0, 0, 0, 0, 0
+    while i < n or waiting:
+        if not waiting:
+            now = max(now, times[i])
+        changed = set()
+        while i < n and times[i] <= now:
+            place = places[i]
+            line = 16 * place + lines[i]
+            known = max(known, place + 1)
+            if count[line] < shaping.queue_limit:
+                if count[line]:
+                    after[last[line]] = i
+                else:
+                    first[line] = i
+                    changed.add(place)
+                last[line] = i
+                count[line] += 1
+                waiting += 1
+            i += 1
+        while later and later[0][0] <= now:
+            _, place, version = heapq.heappop(later)
+            if pipes[place].version == version:
+                changed.add(place)
+        for place in changed:
+            look(pipes[place], now)
+        found = None
+        for own, tree, bucket in zip(of, trees, buckets):
+            at = tree.next(bisect.bisect_left(own, turn), bucket.fill(now))
+            if at is not None and (found is None or (own[at] - turn) % known < (found - turn) % known):
+                found = own[at]
+        if found is not None:
+            p = pipes[found]
+            renew(p, now)
+            p.bucket.fill(now)
+            tc = next(c for c in range(4) if p.ready[c] <= buckets[p.sub].tokens)
+            line = head(p, tc)
+            event = first[line]
+            first[line], length = after[event], lengths[event]
+            count[line] -= 1
+            waiting -= 1
+            served[line] += length
+            p.used[tc] += length
+            p.bucket.tokens -= length
+            buckets[p.sub].tokens -= length
+            turn = (found + 1) % known
+            sent[event] = now
+            look(p, now)
+            now += length / shaping.port_rate
+        elif waiting:
+            # nothing may go: on to the next arrival, or a little later
+            soon = now + shaping.period / 16
+            now = min(soon, times[i]) if i < n else soon
+    return sent
+
+
 def hierarchical_schedule(packets: DataFrame, shaping: Shaping) -> DataFrame:
     """event_id, port, sent (seconds; null: dropped at the queue's limit) of packets (event_id, port, subport, pipe, class 0..3, queue 0..3, time in microseconds, len).
 
@@ -306,73 +468,15 @@ def hierarchical_schedule(packets: DataFrame, shaping: Shaping) -> DataFrame:
     independent; one port's packets stay in one task, as it is sequential.
     """
 
-    def simulate(rows: list[tuple]) -> list[tuple]:
-        subports: dict = {}
-        pipes: dict = {}
-        out, now, i, turn, waiting = [], 0.0, 0, 0, 0
-        order: list = []
-        while i < len(rows) or waiting:
-            if not waiting:
-                now = max(now, rows[i][5])
-            while i < len(rows) and rows[i][5] <= now:
-                event, subport, pipe, tc, queue, time, length = rows[i]
-                key = (subport, pipe)
-                if key not in pipes:
-                    subports.setdefault(subport, _Bucket(shaping.subport_rate, shaping.subport_size))
-                    pipes[key] = {"bucket": _Bucket(shaping.pipe_rate, shaping.pipe_size), "used": [0.0] * 4, "period": 0, "queues": [[deque() for _ in range(4)] for _ in range(4)], "served": [[0.0] * 4 for _ in range(4)]}
-                    order.append(key)
-                line = pipes[key]["queues"][tc][queue]
-                if len(line) >= shaping.queue_limit:
-                    out.append((event, None))
-                else:
-                    line.append((event, length))
-                    waiting += 1
-                i += 1
-            sent = None
-            for k in range(len(order)):
-                key = order[(turn + k) % len(order)]
-                p = pipes[key]
-                period = int(now / shaping.period)
-                if period != p["period"]:
-                    p["period"], p["used"] = period, [0.0] * 4
-                room = min(subports[key[0]].fill(now), p["bucket"].fill(now))
-                for tc in range(4):
-                    ready = [q for q in range(4) if p["queues"][tc][q]]
-                    if not ready:
-                        continue
-                    q = min(ready, key=lambda x: (p["served"][tc][x] / shaping.weights[x], x))
-                    event, length = p["queues"][tc][q][0]
-                    if length <= room and p["used"][tc] + length <= shaping.class_bytes[tc]:
-                        sent = key, tc, q, event, length
-                        break
-                if sent:
-                    turn = (turn + k + 1) % len(order)
-                    break
-            if sent:
-                key, tc, q, event, length = sent
-                p = pipes[key]
-                p["queues"][tc][q].popleft()
-                waiting -= 1
-                p["served"][tc][q] += length
-                p["used"][tc] += length
-                p["bucket"].tokens -= length
-                subports[key[0]].tokens -= length
-                out.append((event, now))
-                now += length / shaping.port_rate
-            elif waiting:
-                # nothing may go: on to the next arrival, or a little later
-                later = now + shaping.period / 16
-                now = min(later, rows[i][5]) if i < len(rows) else later
-        return out
-
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("time", "event_id", "subport", "pipe", "class", "queue", "len"))))
-        done = simulate([(e, s, p, c, q, t / 1e6, n) for t, e, s, p, c, q, n in rows])
-        return pa.table({"event_id": pa.array([e for e, _ in done], pa.int64()), "port": pa.array([key[0].as_py()] * len(done), pa.int64()), "sent": pa.array([t for _, t in done], pa.float64())})
+        table = table.sort_by([("time", "ascending"), ("event_id", "ascending"), *((c, "ascending") for c in ("subport", "pipe", "class", "queue", "len"))])
+        column = {c: table.column(c).to_numpy() if c not in ("subport", "pipe") else table.column(c).to_pylist() for c in table.column_names}
+        sent = _port(shaping, column)
+        return pa.table({"event_id": pa.array(column["event_id"], pa.int64()), "port": pa.array(np.full(len(sent), key[0].as_py()), pa.int64()), "sent": pa.array(sent, mask=np.isnan(sent))})
 
     room = F.least(F.lit(shaping.subport_size), F.lit(shaping.pipe_size), F.element_at(F.array(*map(F.lit, shaping.class_bytes)), F.col("class").cast("int") + 1))
     never = packets.filter(F.col("len") > room).select("event_id", "port", F.lit(None).cast("double").alias("sent"))
-    return packets.filter(F.col("len") <= room).groupBy("port").applyInArrow(run, "event_id long, port long, sent double").union(never)
+    return packets.filter(F.col("len") <= room).select("event_id", "port", "subport", "pipe", "class", "queue", "time", "len").groupBy("port").applyInArrow(run, "event_id long, port long, sent double").union(never)
 
 
 def timer_expiries(timers: DataFrame, until: int) -> DataFrame:

@@ -576,3 +576,20 @@ def test_blocks_add_up_all_ratings(planted, monkeypatch):
         assert got[i] == pytest.approx([*f[0][i], *f[0][i] * len(of), *sum(f[1][j] * r for j, r in zip(of.item, of.rating)), len(of)])
     fitted = M.fit(planted, model, 2)
     assert S.losses(M.predicted(fitted, planted)).first() == pytest.approx(S.losses(fitted.predict(planted)).first())
+
+
+def test_schedule_asks_no_pipe_that_cannot_send():
+    import time
+
+    def column(packets):
+        out = dict(zip(("time", "event_id", "subport", "pipe", "class", "queue", "len"), zip(*sorted(packets))))
+        return {c: list(x) if c in ("subport", "pipe") else np.array(x) for c, x in out.items()}
+
+    shaping = W.Shaping(port_rate=64.0, subport_rate=32.0, subport_size=64.0, pipe_rate=8.0, pipe_size=32.0, class_bytes=(32.0, 32.0, 32.0, 32.0), period=16.0)
+    few = [(0, 0, 0, 0, 1, 0, 32), (0, 1, 0, 0, 0, 0, 32), (0, 2, 0, 1, 0, 0, 32), (0, 3, 1, 2, 0, 0, 32), (0, 4, 0, 0, 0, 0, 32)]
+    # pipes in turn, the small class first; the first pipe's bucket has 32 again after 4 s, its class 0 in the next period
+    assert W._port(shaping, column(few)).tolist() == [4.5, 0.0, 0.5, 1.0, 16.0]
+    many = [(0, i, i % 2, i % 20_000, i % 3, i % 4, 16) for i in range(40_000)]
+    began = time.time()
+    sent = np.sort(W._port(shaping, column(many)))
+    assert not np.isnan(sent).any() and (np.diff(sent) >= 16 / 64 - 1e-9).all() and time.time() - began < 60
