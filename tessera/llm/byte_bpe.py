@@ -1,9 +1,9 @@
 """Byte-level BPE: encoding by a segment tree over byte positions, and decoding.
 
 Texts are cut by the vocabulary's pattern; each match is merged on its own. A
-segment tree over the match's byte positions stores the leftmost least pair
-rank, so each merge is found at the root and changes at most three leaves, in
-logarithmic time: a match of any length costs n log n. A worker remembers the
+segment tree over the match's byte positions, with wide nodes, stores the
+leftmost least pair rank, so each merge is found at the root and changes at
+most three leaves, in logarithmic time: a match of any length costs n log n. A worker remembers the
 ids of the matches it met; texts stream through without a shuffle.
 """
 
@@ -29,6 +29,8 @@ CACHED_MATCHES, CACHED_CHUNKS, CACHED_CHARS = 450_000, 200_000, 64
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = 1 << 62
+#: Children of a node of the segment tree; most matches fit into one node, whose minimum is one call.
+FAN_OUT = 32
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -36,47 +38,40 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    size = 1 << (n - 1).bit_length()
-    get = ranks.get
-    tree = [_NONE] * (2 * size)
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            tree[size + i] = r << 32 | i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+    n, get = len(piece), ranks.get
+    leaves = [_NONE if (r := get(piece[i : i + 2])) is None else r << 32 | i for i in range(n - 1)]
+    leaves.append(_NONE)
+    levels = [leaves]  # each has the minima of so many nodes of the one before
+    while len(levels[-1]) > FAN_OUT:
+        below = levels[-1]
+        levels.append([min(below[i : i + FAN_OUT]) for i in range(0, len(below), FAN_OUT)])
+    top, inner = levels[-1], levels[1:]
     end = list(range(1, n + 1))  # of the token that starts there; the next token starts at that place
     before = list(range(-1, n))  # start of the token before
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        while i > 1:
-            other = tree[i ^ 1]
-            if other < value:
-                value = other
-            i >>= 1
-            if tree[i] == value:
-                return
-            tree[i] = value
-
-    while tree[1] != _NONE:
-        i = tree[1] & 0xFFFFFFFF
+    while (least := min(top)) != _NONE:
+        i = h = least & 0xFFFFFFFF
         j = end[i]
         k = end[i] = end[j]
-        put(j, _NONE)
+        leaves[j] = leaves[i] = _NONE
         if k < n:
             before[k] = i
             r = get(piece[i : end[k]])
-            put(i, _NONE if r is None else r << 32 | i)
-        else:
-            put(i, _NONE)
+            if r is not None:
+                leaves[i] = r << 32 | i
         if i:
             h = before[i]
             r = get(piece[h:k])
-            put(h, _NONE if r is None else r << 32 | h)
+            leaves[h] = _NONE if r is None else r << 32 | h
+        if inner:
+            for place in (j, i, h):
+                below = leaves
+                for level in inner:
+                    place //= FAN_OUT
+                    value = min(below[place * FAN_OUT : (place + 1) * FAN_OUT])
+                    if level[place] == value:
+                        break
+                    level[place] = value
+                    below = level
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import duckdb
@@ -304,6 +305,21 @@ def test_byte_bpe(docs, empty, rows):
     assert byte_bpe.encode_decode(empty).count() == 0
 
 
+def test_merges_of_short_and_long_matches():
+    bpe = byte_bpe.codec(byte_bpe.VOCABULARY)
+    known = tiktoken.Encoding("own", pat_str=byte_bpe.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    r = random.Random(8)
+    for n in (*range(1, 70), 1023, 1024, 1025, 1056, 40_000):
+        for letters in ("a", "ab", "etaoinshr", "äßé漢"):
+            t = "".join(r.choice(letters) for _ in range(n))
+            assert bpe.encode(t) == known.encode_ordinary(t)
+    calls = []
+    sys.setprofile(lambda frame, event, what: calls.append(frame.f_code.co_name) if event == "call" else None)
+    byte_bpe.merge(b" qzunbelievablyxq", bpe.ranks)
+    sys.setprofile(None)
+    assert calls == ["merge"]  # no call in Python for each change of the tree
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 6, 9, 30):
         code = language.codewords(n)
