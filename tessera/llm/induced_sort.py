@@ -12,7 +12,7 @@ a range minimum over the tuples between two induced ones, plus one.
 
 Orders and common prefixes are exact up to `depth` symbols, which is all that
 windows of that width need. On the next level, where names are many, names are
-sorted by doubling up to that depth.
+sorted by doubling up to that depth; each doubling sorts those still tied.
 """
 
 from __future__ import annotations
@@ -76,22 +76,25 @@ class Queue:
 def _range_min(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """min(x[low : high]) for nonempty ranges."""
     width = high - low
-    level = np.log2(width).astype(np.int64) if len(width) else width
+    level = np.frexp(width.astype(np.float64))[1] - 1
     rows = [x]
     for k in range(1, int(level.max(initial=0)) + 1):
         last, h = rows[-1], 1 << (k - 1)
         nxt = last.copy()
         nxt[: len(x) - h] = np.minimum(last[: len(x) - h], last[h:])
         rows.append(nxt)
-    table = np.stack(rows)
-    return np.minimum(table[level, low], table[level, high - (np.int64(1) << level)])
+    table, row = np.concatenate(rows), level * np.int64(len(x))
+    return np.minimum(table[row + low], table[row + high - (np.int64(1) << level)])
 
 
 class _Sweep:
     """One induction sweep: which suffixes the sources induce, with common prefixes."""
 
     def __init__(self, text: np.ndarray, wanted: np.ndarray, depth: int):
-        self.text, self.wanted, self.depth = text, wanted, depth
+        self.depth = depth
+        # a suffix's first symbol, or FAR where it isn't wanted; none has the last one behind it, so that stands for "no suffix" too
+        self.first = np.where(wanted, text, np.uint8(FAR))
+        self.first[-1] = FAR
         self.since = np.full(256, -1, np.int64)  # least common prefix since the last tuple of a symbol; -1: none yet
         self.queue = Queue()
 
@@ -101,12 +104,13 @@ class _Sweep:
         if not len(source):
             return none
         before = source - 1
-        pick = np.flatnonzero((source > 0) & self.wanted[before])
+        first = self.first[before]
+        pick = np.flatnonzero(first != FAR)
         lead = np.minimum.accumulate(common)
         if not len(pick):
             self.since = np.where(self.since >= 0, np.minimum(self.since, lead[-1]), -1)
             return none
-        first = self.text[before[pick]]
+        first = first[pick]
         order = np.argsort(first, kind="stable")
         at, first = pick[order], first[order]
         head = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
@@ -143,49 +147,90 @@ class _Sweep:
 
 def _words(text: np.ndarray) -> np.ndarray:
     """At each place the next 8 symbols as one big-endian number."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    out = np.zeros(len(text), np.uint64)
-    for t in range(8):
-        out = out << np.uint64(8) | padded[t : t + len(text)].astype(np.uint64)
+    padded = np.concatenate([text, np.zeros(7, np.uint8)])
+    two = padded[:-1].astype(np.uint16) << np.uint16(8) | padded[1:]
+    four = two[:-2].astype(np.uint32) << np.uint32(16) | two[2:]
+    return four[:-4].astype(np.uint64) << np.uint64(32) | four[4:]
+
+
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, head): the keys' stable order, and where in it another key begins. Keys are below 2**bits."""
+    own = len(key).bit_length()
+    if bits + own <= 64:  # place and key in one number: sorting numbers is several times as fast as sorting places
+        packed = key.astype(np.uint64) << np.uint64(own)
+        packed |= np.arange(len(key), dtype=np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << own) - 1)).astype(np.int64)
+        packed >>= np.uint64(own)
+    else:
+        order = np.argsort(key, kind="stable")
+        packed = key[order]
+    head = np.ones(len(key), bool)
+    np.not_equal(packed[1:], packed[:-1], out=head[1:])
+    return order, head
+
+
+def _dense(key: np.ndarray, bits: int) -> np.ndarray:
+    """Ranks of the keys, equal for equal ones, without gaps."""
+    order, head = _sorted(key, bits)
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(head) - 1
     return out
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    return np.unique(key, return_inverse=True)[1].astype(np.int64)
+def _pair(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers in the order of the pairs (a, b) of nonnegative numbers, and their bits."""
+    low, high = int(b.max(initial=0)).bit_length(), int(a.max(initial=0)).bit_length()
+    return a << low | b, low + high
 
 
-def _names(word: np.ndarray, start: np.ndarray, length: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the LMS substrings; equal ones (up to depth) get one name.
+def _names(word: np.ndarray, start: np.ndarray, length: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
+    """Numbers in the order of the LMS substrings, and their bits; equal ones (up to depth) get one name.
 
     What follows a substring's end counts as larger than any symbol: where
-    one goes on longer, its next symbol is of the falling kind.
+    one goes on longer, its next symbol is of the falling kind. Symbols are
+    looked at by fives, from the last to the first.
     """
     length = np.minimum(length, depth + 8)
-    blocks = int(length.max(initial=1) - 1) // 8 + 1
+    blocks = int(length.max(initial=1) - 1) // 5 + 1
 
     def column(b: int, at: np.ndarray) -> np.ndarray:
-        left = np.clip(length[at] - 8 * b, 0, 8)
-        ones = np.where(left == 0, ~np.uint64(0), (np.uint64(1) << ((8 - np.maximum(left, 1)) * 8).astype(np.uint64)) - np.uint64(1))
-        return word[np.minimum(start[at] + 8 * b, len(word) - 1)] | ones
+        left = np.clip(length[at] - 5 * b, 0, 5)
+        ones = (np.uint64(1) << ((5 - left) * 8).astype(np.uint64)) - np.uint64(1)
+        return word[np.minimum(start[at] + 5 * b, len(word) - 1)] >> np.uint64(24) | ones
 
     rest = np.zeros(len(start), np.int64)
     for b in range(blocks - 1, 0, -1):
-        at = np.flatnonzero(length >= 8 * b)
-        key = _dense(column(b, at))
-        rest[at] = 1 + _dense(key * (int(rest.max()) + 1) + rest[at])
-    first = _dense(column(0, np.arange(len(start))))
-    return _dense(first * (int(rest.max(initial=0)) + 1) + rest)
+        at = np.flatnonzero(length >= 5 * b)
+        rest[at] = 1 + _dense(*_pair(_dense(column(b, at), 40), rest[at]))
+    return _pair(_dense(column(0, np.arange(len(start))), 40), rest)
 
 
-def _order_names(name: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the name string's suffixes by their first `depth` names, by doubling."""
-    rank, done, n = name, 1, len(name)
-    while done < depth and n and rank.max() < n - 1:
-        after = np.zeros(n, np.int64)
-        after[: n - done] = rank[done:] + 1
-        rank = _dense(rank * (n + 2) + after)
-        done *= 2
-    return np.argsort(rank, kind="stable")
+def _order_names(name: np.ndarray, bits: int, start: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the name string's suffixes by their first `depth` symbols, by doubling.
+
+    Only names that are still tied, and whose common names have fewer symbols
+    than depth, go on. start: the place of each name's first symbol.
+    """
+    n, done = len(name), 1
+    order, head = _sorted(name, bits)
+    rank = np.empty(n, np.int64)
+    at = np.arange(n)  # places in the order that are looked at; each group of ties has all its places here
+    rank[order] = np.maximum.accumulate(np.where(head, at, 0))
+    while True:
+        tied = ~(head & np.append(head[1:], True))
+        at, head = at[tied], head[tied]
+        who = order[at]
+        there = who + done
+        short = np.append(start, start[-1:] + depth)[np.minimum(there, n)] - start[who] < depth
+        at, head, who, there = at[short], head[short], who[short], there[short]
+        if not len(at):
+            return order
+        after = np.append(rank + 1, 0)[np.minimum(there, n)]
+        moved, new = _sorted(*_pair(np.cumsum(head) - 1, after))
+        order[at] = who[moved]
+        rank[order[at]] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        head, done = new, 2 * done
 
 
 def _common(word: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -209,7 +254,7 @@ def _common(word: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nd
 def sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): suffixes in order of their first `depth` symbols, and common prefixes with the one before.
 
-    text: uint8, its last symbol smaller than all others.
+    text: uint8, its symbols below FAR and its last symbol smaller than all others.
     """
     n = len(text)
     step = np.sign(text[1:].astype(np.int16) - text[:-1])
@@ -217,15 +262,15 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     place = np.minimum.accumulate(place[::-1])[::-1] if n > 1 else place
     rising = np.ones(n, bool)
     rising[:-1] = np.where(place < n, step[np.minimum(place, n - 2)] > 0, False)
-    # how often a suffix's first symbol repeats
-    same_until = np.minimum(place + 1, n)
-    run = np.ones(n, np.int64)
-    run[:-1] = same_until - np.arange(n - 1)
-    run = np.minimum(run, depth)
+
+    def run(i: int) -> int:
+        """How often a suffix's first symbol repeats."""
+        return min(int(place[i]) + 1 - i, n - i, depth) if i < n - 1 else 1
+
     low = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     word = _words(text)
     length = np.append(np.diff(low) + 1, 1) if len(low) else low
-    order = low[_order_names(_names(word, low, length, depth), depth)] if len(low) else low
+    order = low[_order_names(*_names(word, low, length, depth), low, depth)] if len(low) else low
     common = np.zeros(len(order), np.uint8)
     common[1:] = _common(word, order[:-1], order[1:], depth)
     symbols = np.flatnonzero(np.bincount(text, minlength=256))
@@ -238,7 +283,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
         falls[s] = sweep.rounds(s)
         p, c = order[low_cut[s] : low_cut[s + 1]], common[low_cut[s] : low_cut[s + 1]].copy()
         if len(p):
-            c[0] = min(run[falls[s][0][-1]], run[p[0]]) if len(falls[s][0]) else 0
+            c[0] = min(run(int(falls[s][0][-1])), run(int(p[0]))) if len(falls[s][0]) else 0
             sweep.induce(p, c, s)
     sweep.queue.close()
 
@@ -249,7 +294,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
         if s == text[-1]:
             up, up_common = np.append(up, n - 1).astype(np.int32), np.append(up_common, 0).astype(np.uint8)
         p, c = falls.pop(s)
-        border = min(run[up[-1]], run[p[-1]]) if len(up) and len(p) else 0
+        border = min(run(int(up[-1])), run(int(p[-1]))) if len(up) and len(p) else 0
         if len(p):
             back = np.append(border, c[::-1][:-1]).astype(np.uint8)
             sweep.induce(p[::-1], back, s)

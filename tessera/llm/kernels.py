@@ -20,6 +20,7 @@ BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 #: Seed of the hashes of whole words and contents.
 SEED = 0x5DEECE66D
 _powers: dict[int, np.ndarray] = {}
+_places = np.arange(0)
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -37,6 +38,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[: n + 1]
 
 
+def places(n: int) -> np.ndarray:
+    """0 .. n - 1; not to be changed."""
+    global _places
+    if n > len(_places):
+        if n > 1 << 22:  # not kept
+            return np.arange(n)
+        _places = np.arange(n)
+    return _places[:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose bits all depend on all input bits."""
     x = x ^ (x >> U64(30))
@@ -116,25 +127,29 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def spans(bounds: np.ndarray, width: int) -> np.ndarray:
     """True at every position where `width` values fit into the document."""
     n = int(bounds[-1])
-    ok = np.zeros(n + 1, np.int32)
+    ok = np.zeros(n + 1, np.int8)  # one of the documents at most is open at a place
     length = np.diff(bounds)
     fit = length >= width
     np.add.at(ok, bounds[:-1][fit], 1)
     np.add.at(ok, bounds[1:][fit] - width + 1, -1)
-    return np.cumsum(ok[:-1]) > 0
+    return np.cumsum(ok[:-1], dtype=np.int8) > 0
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """min(x[i : i + w]) for every i where the window fits."""
-    n = len(x) - w + 1
-    if n <= 0:
+    if len(x) < w:
         return x[:0]
-    pad = -len(x) % w
-    y = np.concatenate([x, np.full(pad, np.iinfo(x.dtype).max, x.dtype)]) if pad else x
-    y = y.reshape(-1, w)
-    head = np.minimum.accumulate(y, axis=1).ravel()
-    tail = np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(tail[:n], head[w - 1 : w - 1 + n])
+    size = 1
+    while 2 * size <= w:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - w + size], x[w - size :]) if size < w else x
+
+
+#: Windows that anchors() looks at together, so that their arrays stay in a core's cache.
+BLOCK = 1 << 15
+_LOW = U64((1 << 20) - 1)
+_place = np.arange(BLOCK, dtype=U64)
 
 
 def anchors(values: np.ndarray, bounds: np.ndarray, width: int, k: int):
@@ -143,25 +158,37 @@ def anchors(values: np.ndarray, bounds: np.ndarray, width: int, k: int):
     Two equal windows have the same least k-gram, so they get the same hash,
     wherever they stand. Consecutive windows of a document that share it form
     one segment. Returns arrays: document, first window's start in the
-    document, number of windows, the k-gram's hash.
+    document, number of windows, the k-gram's hash. A hash's last 20 bits
+    don't count for which is least; width is at most 2**19.
     """
+    global _place
     empty = np.empty(0, np.int64)
     none = empty, empty, empty, empty.astype(U64)
     ok = spans(bounds, width)
     if not ok.any():
         return none
-    pre = prefix(values)
-    gram = rolling(pre, k)
-    bits = max(1, int(len(gram)).bit_length())
-    low = U64((1 << bits) - 1)
-    packed = (gram & ~low) | np.arange(len(gram), dtype=U64)
-    least = (sliding_min(packed, width - k + 1) & low).astype(np.int64)
-    start = np.flatnonzero(ok[: len(least)])
-    at = least[start]
-    first = np.ones(len(start), bool)
-    first[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
-    head = np.flatnonzero(first)
-    count = np.diff(np.append(head, len(start)))
-    s0 = start[head]
-    doc = np.searchsorted(bounds, s0, side="right") - 1
-    return doc, s0 - bounds[doc], count, gram[at[head]]
+    if len(_place) < BLOCK + width:
+        _place = np.arange(BLOCK + width, dtype=U64)
+    new = np.zeros(len(ok), bool)
+    new[bounds[:-1][np.diff(bounds) >= width]] = True
+    heads, grams, last = [], [], -1
+    for a in range(0, len(values) - width + 1, BLOCK):
+        b = min(a + BLOCK, len(values) - width + 1)
+        gram = rolling(prefix(values[a : b + width - 1]), k)
+        packed = gram & ~_LOW
+        packed |= _place[: len(gram)]
+        least = sliding_min(packed, width - k + 1)
+        # a place's number is part of what is compared: where the least differs, it stands elsewhere
+        moved = np.empty(b - a, bool)
+        np.not_equal(least[1:], least[:-1], out=moved[1:])
+        moved[0] = a + int(least[0] & _LOW) != last
+        moved &= ok[a:b]
+        moved |= new[a:b]
+        at = np.flatnonzero(moved)
+        heads.append(a + at)
+        grams.append(gram[(least[at] & _LOW).astype(np.int64)])
+        last = a + int(least[-1] & _LOW)
+    head = np.concatenate(heads)
+    doc = np.searchsorted(bounds, head, side="right") - 1
+    count = np.minimum(np.append(head[1:], len(values)), bounds[doc + 1] - width + 1) - head
+    return doc, head - bounds[doc], count, np.concatenate(grams)

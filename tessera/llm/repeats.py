@@ -59,8 +59,8 @@ class Windows:
     def tokens(self, data: np.ndarray, bounds: np.ndarray):
         """Token values, document bounds in tokens, and each token's first and last byte."""
         if self.unit == "bytes":
-            at = np.arange(len(data))
-            return K.BYTE_VALUE[data], bounds, at, at + 1
+            at = K.places(len(data) + 1)
+            return K.BYTE_VALUE[data], bounds, at[:-1], at[1:]
         starts, ends, wb = K.words(data, bounds)
         return K.word_hashes(data, starts, ends), wb, starts, ends
 

@@ -29,7 +29,9 @@ def first_places(contents: pa.Array, route: np.ndarray, doc: np.ndarray, start:
     size = n + width - 1
     begin = np.cumsum(size + 1) - size - 1
     text = np.ones(int(size.sum()) + len(size) + 1, np.uint8)
-    text[np.repeat(begin, size) + _within(size)] = joined(contents)[0] + np.uint8(2)
+    symbols = np.ones(len(text), bool)
+    symbols[begin + size] = symbols[-1] = False
+    text[symbols] = joined(contents)[0] + np.uint8(2)
     text[-1] = 0
     order, common = sorted_suffixes(text, width)
     window = np.zeros(len(text), bool)
@@ -38,7 +40,7 @@ def first_places(contents: pa.Array, route: np.ndarray, doc: np.ndarray, start:
     use = window[order]
     order, group = order[use], group[use]
     docs, rank = np.unique(doc, return_inverse=True)
-    content = np.searchsorted(begin, order, side="right") - 1
+    content = np.repeat(np.arange(len(size), dtype=np.int32), np.append(np.diff(begin), len(text) - begin[-1:]))[order]
     place = start[content] + order - begin[content]
     key = rank[content] << 40 | place
     head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))

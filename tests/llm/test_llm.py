@@ -145,6 +145,37 @@ def test_queue_on_disk():
     assert room and all((a == b).all() for a, b in zip(want, got))
 
 
+def test_only_tied_names_are_sorted_again(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = rng.integers(1, 200, 20_000)
+    text[15_000:15_400] = text[3_000:3_400]
+    text = np.append(text, 0).astype(np.uint8)
+    sizes, sort = [], induced_sort._sorted
+    monkeypatch.setattr(induced_sort, "_sorted", lambda key, bits: sizes.append(len(key)) or sort(key, bits))
+    order, common = induced_sort.sorted_suffixes(text, 100)
+    names = int(((text[1:-1] < text[:-2]) & (text[1:-1] < text[2:])).sum())
+    assert 2 * names < sum(sizes) < 4 * names  # naming takes two sorts and their order one
+    b = text.tobytes()
+    assert all(b[x : x + 100] <= b[y : y + 100] for x, y in zip(order, order[1:]))
+    assert all(c == 100 or b[x + c] < b[y + c] for x, y, c in zip(order.tolist(), order[1:].tolist(), common[1:].tolist()))
+    # keys too long to be packed with their places
+    key = rng.integers(0, 50, 3000) << 56
+    for got, want in zip(sort(key, 62), sort(key >> 56, 6)):
+        assert (got == want).all()
+
+
+def test_least_grams_do_not_depend_on_the_batch(monkeypatch):
+    """Two grams whose hashes differ by a low bit: equal windows have one anchor, however long their batch is, and wherever blocks end."""
+    monkeypatch.setattr(kernels, "mix", lambda x: x)
+    values = np.random.default_rng(6).integers(1 << 40, 1 << 60, 5000).astype(np.uint64)
+    values[1:5] = [(1 << 30) + 1024, 1 << 39, 1 << 30, 1 << 39]
+    alone = kernels.anchors(values[:6], np.array([0, 6]), 6, 1)
+    whole = kernels.anchors(values, np.array([0, 5000]), 6, 1)
+    assert alone[3][0] == whole[3][0]
+    monkeypatch.setattr(kernels, "BLOCK", 7)
+    assert all((a == b).all() for a, b in zip(whole, kernels.anchors(values, np.array([0, 5000]), 6, 1)))
+
+
 def test_suffix_dedup(docs, empty, rows):
     got = found(suffix_dedup.suffix_dedup(docs))
     seen = set()
