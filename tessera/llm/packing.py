@@ -17,7 +17,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,14 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 #: Marks that make one part of their own behind a word's letters.
 MARKS = b".,;:!?*%$&#()-"
+#: A longer run of marks stays with its word.
+MOST_MARKS = 8
+_mark = np.zeros(256, bool)
+_mark[list(MARKS)] = True
+_letter = np.zeros(256, bool)
+_letter[[*range(65, 91), *range(97, 123)]] = True
+_lower = np.arange(256, dtype=np.uint8)
+_lower[65:91] += 32
 #: The characters by which the vocabulary spells bytes (read as Latin-1): those that don't print have others.
 _spelled = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
@@ -62,7 +70,6 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.marks: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
     def of(self, words: list[bytes]) -> list[bytes]:
@@ -80,32 +87,27 @@ class WordIds(dict):
     def _learn(self, words: set[bytes]) -> None:
         for word in words.intersection(self.old):
             self[word] = self.old[word]
-        other = []
+        other, tokenize = [], self.model.tokenize
         for word in words.difference(self.old):
-            letters = word.rstrip(MARKS)
             # letters of Latin-1 are one part, which the merges see in lower case; all else takes the whole way
-            if letters.isalpha():
-                text = letters.lower().decode()
-            elif (text := letters.decode()).isalpha() and max(text) <= "\xff":
+            if word.isalpha():
+                text = word.lower().decode()
+            elif (text := word.decode()).isalpha() and max(text) <= "\xff":
                 text = text.lower().encode().decode("latin-1").translate(_spelled)
             else:
                 other.append(word)
                 continue
-            ids = [x.id for x in self.model.tokenize(text)]
-            self[word] = struct.pack(f"<{len(ids)}I", *ids) + self._mark(word[len(letters) :])
+            ids = [x.id for x in tokenize(text)]
+            self[word] = _packer(len(ids))(*ids)
         for i in range(0, len(other), 4096):
             part = other[i : i + 4096]
             for word, x in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 self[word] = struct.pack(f"<{len(x.ids)}I", *x.ids)
 
-    def _mark(self, marks: bytes) -> bytes:
-        found = self.marks.get(marks)
-        if found is None:
-            ids = self.tokenizer.encode(marks.decode(), add_special_tokens=False).ids
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(marks) <= 3:
-                self.marks[marks] = found
-        return found
+
+@lru_cache(256)
+def _packer(n: int):
+    return struct.Struct(f"<{n}I").pack
 
 
 @cache
@@ -113,23 +115,63 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def parts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The parts of all words: each part's number, the distinct parts by number, and the documents' bounds in parts.
+
+    Letters with marks behind them are two parts, as the tokenizer splits
+    there, and letters come in lower case: far fewer of them are distinct.
+    Every other word is one part as it stands.
+    """
+    starts, ends, wb = K.words(data, bounds)
+    letter = _letter[data]
+    # Latin-1's letters of two bytes, but for a few signs that take the whole way
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    letter[lead] = letter[lead + 1] = True
+    until = ends.copy()
+    open_ = np.arange(len(ends))
+    for _ in range(MOST_MARKS):
+        open_ = open_[_mark[data[until[open_] - 1]]]
+        until[open_] -= 1
+        open_ = open_[until[open_] > starts[open_]]
+    strange = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(~letter, out=strange[1:])
+    plain = (strange[until] == strange[starts]) & (until > starts)
+    until[~plain] = ends[~plain]
+    behind = until < ends
+    first = np.arange(len(starts)) + np.cumsum(behind) - behind
+    number = np.empty(len(starts) + int(behind.sum()), np.int64)
+    lettered, distinct = K.interned(_lower[data], starts[plain], until[plain])
+    number[first[plain]] = lettered
+    rest = np.ones(len(number), bool)
+    rest[first[plain]] = False
+    begin, end = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+    begin[first], end[first] = starts, until
+    begin[first[behind] + 1], end[first[behind] + 1] = until[behind], ends[behind]
+    others, more = K.interned(data, begin[rest], end[rest])
+    number[rest] = others + np.int64(len(distinct))
+    return number, pa.concat_arrays([distinct, more]), np.append(first, len(number))[wb]
+
+
 def document_ids(data: np.ndarray, bounds: np.ndarray, known: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all documents one after another, each with end_id behind, and their bounds."""
-    starts, ends, wb = K.words(data, bounds)
-    number, distinct = K.interned(data, starts, ends)
+    number, distinct, pb = parts(data, bounds)
     coded = known.of(distinct.to_pylist())
     size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     first = np.cumsum(size) - size
     flat = np.frombuffer(b"".join(coded), "<u4")
     until = np.concatenate([[0], np.cumsum(size[number])])
-    out_bounds = until[wb] + np.arange(len(wb))
+    out_bounds = until[pb] + np.arange(len(pb))
     ids = np.full(int(out_bounds[-1]), end_id, "<u4")
-    doc = np.repeat(np.arange(len(wb) - 1), np.diff(wb))
-    for i in range(0, len(number), CHUNK):  # so that a very long text needs little besides its ids
+    free = np.ones(len(ids), bool)
+    free[out_bounds[1:] - 1] = False
+    doc = np.searchsorted(pb, np.arange(0, len(number) + CHUNK, CHUNK).clip(max=len(number)), side="right") - 1
+    for i, d, e in zip(range(0, len(number), CHUNK), doc[:-1].tolist(), doc[1:].tolist()):  # so that a very long text needs little besides its ids
         part = number[i : i + CHUNK]
         n = size[part]
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        ids[np.repeat(until[i : i + len(part)] + doc[i : i + CHUNK], n) + within] = flat[np.repeat(first[part], n) + within]
+        a, b = int(until[i]), int(until[i + len(part)])
+        at = np.repeat(first[part] - (until[i : i + len(part)] - a), n) + np.arange(b - a)
+        ids[a + d : b + e][free[a + d : b + e]] = flat[at]
     return ids, out_bounds
 
 

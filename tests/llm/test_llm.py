@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import byte_bpe, chat_format, exact_dedup, induced_sort, jaccard_join, jaccard_kernels, kernels, language, packing, quality, registry, repeats
+from tessera.llm import byte_bpe, chat_format, common, exact_dedup, induced_sort, jaccard_join, jaccard_kernels, kernels, language, packing, quality, registry, repeats
 from tessera.llm import substring_dedup, suffix_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -291,6 +292,24 @@ def test_packing(docs, empty, rows):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_words_are_tokenized_by_letters(monkeypatch):
+    known = packing.WordIds(packing.VOCABULARY)
+    text = b"Word word, WORD. word WORD, Word! word. \xc3\x89t\xc3\xa9! \xc3\xa9t\xc3\xa9"
+    packing.document_ids(np.frombuffer(text, np.uint8), np.array([0, len(text)]), known, packing.END_ID)
+    assert len(known) == 6  # three words and three marks
+    rng, whole = random.Random(8), Tokenizer.from_file(packing.VOCABULARY)
+    parts = [*"aZé×Éßªµ÷Āñ中1_'\"|<>e\u0301", *map(chr, packing.MARKS), "<|endoftext|>", "<|ENDOFTEXT|>", "Haus", "the", "'S", "." * 11, " ", " ", "\n", "\xa0", "\x1c"]
+    for chunk in (1, 7, packing.CHUNK):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        texts = ["", "a", *("".join(rng.choices(parts, k=rng.randrange(0, 30))) for _ in range(400)), "", "."]
+        data, bounds = common.joined(pa.array(texts))
+        ids, at = packing.document_ids(data, bounds, known, packing.END_ID)
+        for t, x, y in zip(texts, at, at[1:]):
+            assert ids[x:y].tolist() == [*whole.encode(t, add_special_tokens=False).ids, packing.END_ID], t
+    ids, at = packing.document_ids(*common.joined(pa.array(["", None], pa.string())), known, packing.END_ID)
+    assert ids.tolist() == [packing.END_ID] * 2 and at.tolist() == [0, 1, 2]
+
+
 def test_closest_fill_is_best():
     rng = random.Random(2)
     for _ in range(60):
